@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary
+from . import binary, fingerprint, html, langid, packing
 from .tokens import tokenizer_path
 
 
@@ -12,9 +12,36 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, _table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, size=4096)
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(3, 1).alias("held_out"))
+    learned = langid.samples(docs, ~F.col("held_out"))
+    return langid.predict(docs, learned, "held_out").select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_files(spark, _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
 
-QUERIES = {f.__name__: f for f in (op8_token_binary,)}
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_best_fit_packing,
+        op4_language_id,
+        op8_token_binary,
+        op9_order_minhash,
+        op10_html_extraction,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
