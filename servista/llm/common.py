@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Raw text bytes that one vectorised step handles at once; a longer single text is a step of its own.
 STEP_BYTES = 2_000_000
+#: Texts that one step handles at most.
+STEP_ROWS = 4096
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -76,7 +78,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", step: int =
         i = 0
         while i < b.num_rows:
             j = int(np.searchsorted(offs, offs[i] + step, side="right")) - 1
-            j = min(max(j, i + 1), b.num_rows)
+            j = min(max(j, i + 1), i + STEP_ROWS, b.num_rows)
             yield b.slice(i, j - i)
             i = j
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary, fingerprint, html, langid, packing
+from . import binary, fingerprint, html, langid, neardup, packing
 from .tokens import tokenizer_path
 
 
@@ -22,6 +22,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, learned, "held_out").select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(_table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_files(spark, _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
@@ -39,6 +43,7 @@ QUERIES = {
     for f in (
         op2_best_fit_packing,
         op4_language_id,
+        op5_minhash_bayes,
         op8_token_binary,
         op9_order_minhash,
         op10_html_extraction,
