@@ -172,6 +172,28 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def _low_pairs() -> np.ndarray:
+    low = np.arange(0x800, dtype=np.uint16)
+    for c in range(0x80, 0x800):
+        x = chr(c).lower()
+        if len(x) == 1 and 0x80 <= ord(x) < 0x800:
+            low[c] = ord(x)
+    return low
+
+
+_LOW_PAIRS = _low_pairs()
+
+
+def lower_letters(data: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and of letters of two UTF-8 bytes (Latin, Greek, Cyrillic and more); places stay."""
+    data = _LOWER[data]
+    at = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+    if len(at):
+        low = _LOW_PAIRS[((data[at].astype(np.uint16) & 0x1F) << 6) | (data[at + 1] & 0x3F)]
+        data[at], data[at + 1] = 0xC0 | (low >> 6), 0x80 | (low & 0x3F)
+    return data
+
+
 def ranges(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """The concatenation of arange(s, s + l) for each pair."""
     total = int(lens.sum())
