@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -17,6 +18,9 @@ STEP_BYTES = 2_000_000
 #: Texts that one step handles at most.
 STEP_ROWS = 4096
 
+#: A table of single numbers is broadcast where it has at most so many rows, else it is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -54,6 +58,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles are of no more use, so that their files go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the size of df's sources, used to choose numbers of partitions only."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

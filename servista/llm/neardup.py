@@ -37,8 +37,6 @@ from .graph import components
 BANDS, ROWS = 40, 5
 STEP, MISS = 40, 1e-6
 BLOCK = 128
-#: A table of nodes is broadcast where it has at most so many rows of 16 bytes, else it is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.Generator(np.random.PCG64(5))
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -205,7 +203,7 @@ def verify(pairs: DataFrame, width: int, percent: int) -> DataFrame:
 def _with(df: DataFrame, side: DataFrame, on: str) -> DataFrame:
     """df restricted to the nodes of side: by broadcast where their number is small, else by a shuffle."""
     side = side.select(on).distinct()
-    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if side.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
         side = F.broadcast(side)
     return df.join(side, on, "left_semi")
 

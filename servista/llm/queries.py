@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary, decontaminate, fingerprint, html, langid, neardup, packing
+from . import binary, decontaminate, fingerprint, html, langid, neardup, packing, suffixes
 from .tokens import tokenizer_path
 
 
@@ -20,6 +20,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, _table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1, size=4096)
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", langid.held_out(3, 1).alias("held_out"))
     learned = langid.samples(docs, ~F.col("held_out"))
@@ -47,6 +51,7 @@ QUERIES = {
     for f in (
         op1_decontamination,
         op2_best_fit_packing,
+        op3_suffix_dedup,
         op4_language_id,
         op5_minhash_bayes,
         op8_token_binary,
