@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary, decontaminate, fingerprint, html, langid, neardup, packing, suffixes
+from . import binary, decontaminate, fingerprint, html, langid, neardup, packing, suffixes, urls
 from .tokens import tokenizer_path
 
 
@@ -34,6 +34,14 @@ def op5_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+#: Verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(spark, _table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_files(spark, _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
@@ -54,6 +62,7 @@ QUERIES = {
         op3_suffix_dedup,
         op4_language_id,
         op5_minhash_bayes,
+        op6_url_rules,
         op8_token_binary,
         op9_order_minhash,
         op10_html_extraction,
