@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary, decontaminate, fingerprint, html, langid, neardup, packing, suffixes, urls
+from . import binary, decontaminate, fingerprint, hpylm, html, langid, neardup, packing, suffixes, urls
 from .tokens import tokenizer_path
 
 
@@ -42,6 +42,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark, _table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(_table(spark, sf_dir, "documents"), langid.held_out(10, 0))
+
+
 def op8_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.token_files(spark, _table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), 2)
 
@@ -63,6 +67,7 @@ QUERIES = {
         op4_language_id,
         op5_minhash_bayes,
         op6_url_rules,
+        op7_pitman_yor,
         op8_token_binary,
         op9_order_minhash,
         op10_html_extraction,
