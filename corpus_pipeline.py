@@ -1,12 +1,71 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline over documents: five stages, each one operator of servista.llm.
+
+Every function takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the
+next one's docs. All but the last return the columns of documents. Rows are judged by their whole text; a null text
+has no letter and goes at the first stage; an empty table stays empty through all stages.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from servista.llm import common, decontaminate, langid, neardup, packing, suffixes
+from servista.llm.tokens import tokenizer_path
+
+#: A document whose best language explains it no better than another one has no language.
+LEAST_SCORE = 1e-9
+SHINGLE, PERCENT = 5, 80
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go: null or letterless texts, and those no language fits best."""
+    own = docs.select("doc_id", "text", "lang", langid.held_out(3, 1).alias("held_out"))
+    learned = langid.samples(own, ~F.col("held_out"))
+    rows = docs.select(F.struct(*docs.columns).alias("all"), "doc_id", "text")
+    said = langid.predict(rows, learned, "all")
+    return said.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= LEAST_SCORE)).select("all.*")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the smallest doc_id."""
+    kept = common.materialise(neardup.groups(docs, SHINGLE, PERCENT).filter("kept").select("doc_id"), "kept")
+    left = common.by_key(docs, kept, "doc_id")
+    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
+    return left.dropDuplicates(["doc_id"]) if repeated else left
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 200 bytes and more that occur elsewhere too are cut out; documents of nothing else go."""
+    cut = suffixes.cleaned(docs)
+    columns = [F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return cut.select(*columns).filter(F.col("text").rlike(r"\S"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id")
+    return common.by_key(docs, common.materialise(found, "leaks"), "doc_id", "left_anti")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences of 4096 tokens."""
+    return packing.pack(spark, docs, tokenizer_path("word_bpe_49k.json"), end_id=1, size=4096)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
-STAGES: list = []
+#: Suffix sorting, language models and tokens are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = common.materialise(stage(spark, docs, sf_dir), name)
+    return docs

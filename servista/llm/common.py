@@ -58,6 +58,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_key(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose column `on` is (left_semi) or isn't (left_anti) the only column of keys; nulls count as equal.
+
+    keys is broadcast where it has at most BROADCAST_ROWS rows, so that df needn't be shuffled; else both are.
+    """
+    keys = keys.toDF("__key").distinct()
+    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return df.join(keys, df[on].eqNullSafe(F.col("__key")), how)
+
+
 def tidy(spark: SparkSession) -> None:
     """Let the driver notice which shuffles are of no more use, so that their files go."""
     gc.collect()

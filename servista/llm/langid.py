@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from . import common
 
@@ -179,5 +179,5 @@ def predict(docs: DataFrame, learned: dict[str, str], *keep: str) -> DataFrame:
             lang, score, bits = m.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names)
 
-    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
-    return rows.mapInArrow(run, ", ".join(["doc_id long", *kinds, "lang_pred string", "score double", "bits double"]))
+    schema = T.StructType([rows.schema[c] for c in ("doc_id", *keep)]).add("lang_pred", "string").add("score", "double").add("bits", "double")
+    return rows.mapInArrow(run, schema)

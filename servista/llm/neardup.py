@@ -200,14 +200,6 @@ def verify(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _with(df: DataFrame, side: DataFrame, on: str) -> DataFrame:
-    """df restricted to the nodes of side: by broadcast where their number is small, else by a shuffle."""
-    side = side.select(on).distinct()
-    if side.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
-        side = F.broadcast(side)
-    return df.join(side, on, "left_semi")
-
-
 def block_links(small: DataFrame, large: DataFrame, width: int, percent: int) -> DataFrame:
     """Links between blocks: small and large have (big, comp, node, packed); compared where big is equal and comp is not."""
 
@@ -250,7 +242,7 @@ def groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     members = common.materialise(keyed.join(buckets, "key").groupBy("key", "node").agg(F.first("first").alias("first")), "buckets")
 
     pairs = common.materialise(members.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "candidates")
-    involved = _with(seen.select("node", "sig", "packed"), members, "node").groupBy("node").agg(F.min(F.struct("packed", "sig")).alias("x")).select("node", "x.sig", "x.packed")
+    involved = common.by_key(seen.select("node", "sig", "packed"), members.select("node"), "node").groupBy("node").agg(F.min(F.struct("packed", "sig")).alias("x")).select("node", "x.sig", "x.packed")
     involved = common.materialise(involved, "involved")
     a, b = (involved.select(F.col("node").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("packed").alias(f"text_{s}")) for s in ("a", "b"))
     left = prune(pairs.join(a.select("a", "sig_a"), "a").join(b.select("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b"), percent / 100)
