@@ -79,8 +79,10 @@ class Automaton:
             s = rows[j, :n]
             to = flat[state[:n] * np.int32(width) + s]
             miss = np.flatnonzero(to == 0)
-            to[miss] = root[s[miss]]
-            count[miss] += 1
+            again = root[s[miss]]
+            # a phrase ends here, and a symbol that never occurs is a phrase of its own
+            count[miss] += (state[miss] > 0).astype(np.int32) + (again == 0)
+            to[miss] = again
             state[:n] = to
         return count + (state > 0)
 
