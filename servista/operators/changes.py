@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of each key with the greatest order value; rows without a key go, nulls order last, ties by content."""
-    first = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last(), F.xxhash64(*df.columns))
-    return df.filter(F.col(key).isNotNull()).withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
+    """The row of each key with the greatest order value; rows without a key go, nulls order last, ties by content.
+
+    An aggregate, so a key with very many rows is combined before the shuffle.
+    """
+    rank = F.struct(F.col(order).isNotNull().alias("has"), F.col(order).alias("order"), F.xxhash64(*df.columns).alias("content"))
+    best = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*df.columns), rank).alias("row"))
+    return best.select("row.*")
 
 
 def recent(df: DataFrame, column: str, days: int, today: Column) -> DataFrame:

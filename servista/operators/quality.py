@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 ACTIONS = ("fail", "warn", "drop", "info")
 
@@ -243,5 +243,5 @@ def with_violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def duplicates(df: DataFrame, key: str) -> DataFrame:
     """All rows of keys that occur more than once."""
-    n = F.count("*").over(Window.partitionBy(key))
-    return df.filter(F.col(key).isNotNull()).withColumn("__n", n).filter("__n > 1").drop("__n")
+    twice = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+    return df.join(twice, key, "left_semi")
