@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,11 @@ STEP_ROWS = 4096
 #: A table of single numbers is broadcast where it has at most so many rows, else it is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
+#: Size that a table without an estimate is taken to have.
+UNKNOWN_BYTES = 256 << 20
+#: Rows that Spark hands to Python at once.
+ARROW_ROWS = 2000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -78,15 +86,39 @@ def tidy(spark: SparkSession) -> None:
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the size of df's sources, used to choose numbers of partitions only."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(n, 1 << 50)
+    return n if n < 1 << 60 else UNKNOWN_BYTES  # rows that came from no file have no estimate
 
 
 def parts(df: DataFrame, each: int = 16 << 20, least: int = 1, most: int = 100_000) -> int:
     return max(least, min(most, -(-input_bytes(df) // each)))
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
+_resident: list = [None, None]
+
+
+def resident(key: object, make: Callable[[], Any]) -> Any:
+    """make()'s object, kept for later tasks of this worker process until another key is asked for: one large object at a time."""
+    if _resident[0] != key:
+        _resident[:] = [None, None]
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _resident[:] = [key, make()]
+    return _resident[1]
+
+
 def text_only(docs: DataFrame, *cols: str) -> DataFrame:
-    """doc_id as long and text with nulls as empty; other columns only if named. Extra or clashing ones go."""
+    """doc_id as long and text with nulls as empty; other columns only if named. Extra or clashing ones go.
+
+    Also makes Spark hand texts to Python in batches of ARROW_ROWS, as a batch of long texts takes much memory.
+    """
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[F.col(c) for c in cols])
 
 

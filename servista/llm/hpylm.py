@@ -10,11 +10,12 @@ customer to the parent. With customers c, tables t, discount d and strength s th
 Sampling: a cell's number of tables is drawn from its conditional given all others, seat by seat: the j-th customer
 opens a table with weight (s + d t_u) P(w) against j - d t. Cells are dealt into buckets by word, so a word's
 restaurants are together and a sweep is one narrow pass over the buckets; the totals of each context come from the
-sweep before. After BURN sweeps the predictive probabilities of KEEP more are averaged.
+sweep before. Draws are seeded by sweep and bucket, so a pass repeats the earlier sweeps from their totals instead of
+storing the seating of each. After BURN sweeps the predictive probabilities of KEEP more are averaged.
 
 Nothing is cut off: every training word of every text is a customer. Texts are dealt into batches; a batch sends
 each bucket its distinct cells with counts, so a very common word is one number a batch, and gets one probability a cell
-back in the same order. Totals sent to the driver are bounded by the number of contexts (65,537 at most).
+back in the same order. Totals sent to the driver are bounded by the number of contexts (65,536 at most).
 
 Edge cases: null and empty texts are the end token alone; words never seen in training have c = 0 and the unknown
 word's probability; without training documents N = V = 0 and both scores are finite; a null doc_id counts as training;
@@ -37,136 +38,129 @@ DISCOUNT, STRENGTH = (0.8, 0.6), (1.0, 5.0)  # parent, contexts
 BURN, KEEP = 2, 3
 #: Text bytes of a batch, cells of a bucket (both about).
 BATCH_BYTES, BUCKET_CELLS = 24 << 20, 500_000
-#: Context numbers: last two bytes of the word before; BEGIN at the start of a text.
-BEGIN = 1 << 16
+#: Context numbers: last two bytes of the word before; BEGIN, which no UTF-8 text has, at the start of a text.
+BEGIN = 0xFFFF
 #: The end token's hash; words hash to other values but for one chance in 2**64.
 END = np.uint64(0x5BD1E9955BD1E995)
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes (uint64) and contexts (uint32) of texts in a row, an end token after each, and n+1 token offsets."""
+    """Word hashes (uint64) and contexts (uint16) of texts in a row, an end token after each, and n+1 token offsets."""
     data = common.lower_ascii(data)
     starts, ends, at = common.words(data, offs)
     n_texts = len(offs) - 1
-    h = common.span_hash(common.prefix_hash(data), starts, ends) if len(starts) else np.empty(0, np.uint64)
-    last = data[ends - 1].astype(np.uint32) | (np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.uint32) << 8) if len(starts) else np.empty(0, np.uint32)
     upto = at + np.arange(n_texts + 1)
-    words = np.empty(len(h) + n_texts, np.uint64)
-    context = np.empty(len(words), np.uint32)
+    words = np.empty(len(starts) + n_texts, np.uint64)
+    context = np.empty(len(words), np.uint16)
     is_end = np.zeros(len(words), bool)
     is_end[upto[1:] - 1] = True
-    words[is_end], words[~is_end] = END, h
-    after = np.flatnonzero(~is_end) + 1
-    context[after] = last
+    words[is_end] = END
+    if len(starts):
+        words[~is_end] = common.span_hash(common.prefix_hash(data), starts, ends)
+        before = np.where(ends - starts > 1, data[np.maximum(ends - 2, 0)], 0).astype(np.uint16)
+        context[np.flatnonzero(~is_end) + 1] = (before << np.uint16(8)) | data[ends - 1]
     context[upto[:-1]] = BEGIN
     return words, context, upto
 
 
-def _cells(words: np.ndarray, context: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (word, context) in order, with counts summed."""
-    order = np.argsort(words ^ common.mix(context.astype(np.uint64) + common.BASE), kind="stable")
-    w, u, c = words[order], context[order], count[order]
+def _cells(words: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by word and context, and where in it each distinct cell begins."""
+    order = np.argsort(context, kind="stable")
+    order = order[np.argsort(words[order], kind="stable")]
+    w, u = words[order], context[order]
     fresh = np.ones(len(w), bool)
     fresh[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
-    at = np.flatnonzero(fresh)
-    return w[at], u[at], np.add.reduceat(c, at) if len(at) else c
+    return order, np.flatnonzero(fresh)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+    """Arrays under zstd, each with its first bytes first, its second bytes next and so on."""
+    return zstandard.compress(b"".join(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes() for a in arrays), 1)
 
 
 def _unpack(data: bytes, n: int, *kinds) -> list[np.ndarray]:
     raw, out, at = zstandard.decompress(data), [], 0
     for k in kinds:
-        size = n * np.dtype(k).itemsize
-        out.append(np.frombuffer(raw, k, n, at))
-        at += size
+        width = np.dtype(k).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(k).reshape(n))
+        at += n * width
     return out
 
 
-def _by_bucket(words: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order by bucket (top bits of the word's hash), and the bucket offsets."""
-    b = ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    order = np.argsort(b.astype(np.uint32), kind="stable")
-    return order, np.searchsorted(b[order], np.arange(buckets + 1))
+def _steps(w: np.ndarray) -> np.ndarray:
+    """Differences of ascending numbers, the first one whole."""
+    return np.diff(w, prepend=np.zeros(1, w.dtype))
 
 
 def deal(docs: DataFrame) -> DataFrame:
-    """(batch, doc_id, held_out, packed): the texts under zstd, in batches of about BATCH_BYTES that lie together.
+    """A row for each batch of about BATCH_BYTES of texts that lie together: batch, doc_ids, held_out, sizes, packed.
 
-    A batch is a stretch of an input partition, so the texts aren't shuffled for it.
+    A batch is a stretch of an input partition, so texts aren't shuffled to make it.
     """
 
+    def flush(part: int, k: int, held: list) -> pa.RecordBatch:
+        ids, out, sizes = ([x for h in held for x in h[i]] for i in range(3))
+        raw = b"".join(h[3] for h in held)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([(part << 20) | k], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([out], pa.list_(pa.bool_())), pa.array([sizes], pa.list_(pa.int64())), pa.array([zstandard.compress(raw, 1)], pa.binary())],
+            ["batch", "doc_ids", "held_out", "sizes", "packed"],
+        )
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press, size, k = zstandard.ZstdCompressor(level=1), 0, 0
+        held, size, k, part = [], 0, 0, 0
         for b in common.slices(rows):
             data, offs = common.text_arrays(b.column(1))
-            if size > BATCH_BYTES:
-                size, k = 0, k + 1
+            part = b.column(3)[0].as_py()
+            held.append((b.column(0).to_pylist(), b.column(2).to_pylist(), np.diff(offs).tolist(), data.tobytes()))
             size += len(data)
-            raw = memoryview(data.tobytes())
-            packed = [press.compress(raw[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            part = b.column(3).to_numpy().astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((part << 20) | k), b.column(0), b.column(2), pa.array(packed, pa.binary())], ["batch", "doc_id", "held_out", "packed"])
+            if size >= BATCH_BYTES:
+                yield flush(part, k, held)
+                held, size, k = [], 0, k + 1
+        if held:
+            yield flush(part, k, held)
 
     rows = common.text_only(docs, "held_out").withColumn("part", F.spark_partition_id())
-    return rows.mapInArrow(run, "batch long, doc_id long, held_out boolean, packed binary")
+    return rows.mapInArrow(run, "batch long, doc_ids array<long>, held_out array<boolean>, sizes array<long>, packed binary")
 
 
-def _texts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Packed texts as bytes in a row, and n+1 offsets."""
-    open_ = zstandard.ZstdDecompressor()
-    got = [open_.decompress(x) for x in col.to_pylist()]
-    return np.frombuffer(b"".join(got), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in got], dtype=np.int64)]).astype(np.int64)
+def _batch_tokens(sizes: list[int], packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """tokens() of a whole batch, made in steps."""
+    data, offs = np.frombuffer(zstandard.decompress(packed), np.uint8), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    w, u, upto, i, n = [], [], [np.zeros(1, np.int64)], 0, 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + common.STEP_BYTES, "right")) - 1)
+        a, b, c = tokens(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+        w, u, upto, i, n = [*w, a], [*u, b], [*upto, c[1:] + n], j, n + len(a)
+    return np.concatenate(w), np.concatenate(u), np.concatenate(upto)
 
 
-def gather(batches: DataFrame, buckets: int) -> DataFrame:
-    """From dealt rows: (batch, bucket, n, cells) with each batch's distinct cells and training counts.
+def _bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the words' top bits: ascending words have ascending buckets."""
+    return ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
-    A batch that two tasks read comes in two parts, which does no harm.
-    """
 
-    def flush(batch: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        w, u, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        w, u, c = _cells(w, u, c)
-        order, at = _by_bucket(w, buckets)
-        w, u, c = w[order], u[order], c[order]
-        cut = [(b, a, z) for b, (a, z) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)) if z > a]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([batch] * len(cut), pa.int64()), pa.array([b for b, _, _ in cut], pa.int64()), pa.array([z - a for _, a, z in cut], pa.int64()), pa.array([_pack(w[a:z], u[a:z], c[a:z].astype(np.uint32)) for _, a, z in cut], pa.binary())],
-            ["batch", "bucket", "n", "cells"],
-        )
+def gather(dealt: DataFrame, buckets: int) -> DataFrame:
+    """(batch, bucket, n, cells): each batch's distinct cells by word and context, with training counts."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, n = None, [], 0
-        for b in common.slices(rows, "packed", common.STEP_BYTES // 3):
-            ids = b.column(0).to_numpy()
-            for a, z in _stretches(ids):
-                if now is not None and ids[a] != now:
-                    yield from flush(now, held)
-                    held, n = [], 0
-                now = int(ids[a])
-                w, u, upto = tokens(*_texts(b.column(2).slice(a, z - a)))
-                train = np.repeat(~b.column(1).slice(a, z - a).to_numpy(zero_copy_only=False), np.diff(upto)).astype(np.int64)
-                held.append(_cells(w, u, train))
-                n += len(held[-1][0])
-                if n > 4_000_000:  # bounded also where a batch is one huge text
-                    held = [_cells(*(np.concatenate(x) for x in zip(*held, strict=True)))]
-                    n = len(held[0][0])
-        if now is not None:
-            yield from flush(now, held)
-
-    return batches.select("batch", "held_out", "packed").mapInArrow(run, "batch long, bucket long, n long, cells binary")
-
-
-def _stretches(ids: np.ndarray) -> list[tuple[int, int]]:
-    cut = np.flatnonzero(np.diff(ids)) + 1
-    return [*zip([0, *cut.tolist()], [*cut.tolist(), len(ids)], strict=True)]
+        for b in rows:
+            for i in range(b.num_rows):
+                batch, out, sizes, packed = (b.column(k)[i].as_py() for k in range(4))
+                w, u, upto = _batch_tokens(sizes, packed)
+                order, at = _cells(w, u)
+                train = np.repeat(~np.array(out, bool), np.diff(upto)).astype(np.uint32)
+                w, u, c = w[order[at]], u[order[at]], np.add.reduceat(train[order], at)
+                ends = np.searchsorted(_bucket_of(w, buckets), np.arange(buckets + 1))
+                cut = [(k, a, z) for k, (a, z) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)) if z > a]
+                blobs = [_pack(_steps(w[a:z]), u[a:z], c[a:z]) for _, a, z in cut]
+                yield pa.RecordBatch.from_arrays([pa.array([batch] * len(cut), pa.int64()), pa.array([k for k, _, _ in cut], pa.int64()), pa.array([z - a for _, a, z in cut], pa.int64()), pa.array(blobs, pa.binary())], ["batch", "bucket", "n", "cells"])
+
+    return dealt.select("batch", "held_out", "sizes", "packed").mapInArrow(run, "batch long, bucket long, n long, cells binary")
 
 
 class Seating:
-    """The cells of a bucket, sorted by word and context, and their tables."""
+    """The cells of a bucket, sorted by word and context, and their tables; cells and words without customers have none."""
 
     def __init__(self, words: np.ndarray, context: np.ndarray, count: np.ndarray):
         self.words, self.context, self.c = words, context, count.astype(np.int64)
@@ -174,8 +168,9 @@ class Seating:
         fresh[1:] = words[1:] != words[:-1]
         self.of = np.cumsum(fresh) - 1  # number of the word
         self.n_words = int(fresh.sum())
+        self.word_c = np.bincount(self.of, self.c, minlength=self.n_words).astype(np.int64)
         self.t = np.minimum(self.c, 1 + (self.c > 3) + (self.c > 30))
-        self.pt = np.ones(self.n_words, np.int64)
+        self.pt = np.minimum(self.word_c, 1)
 
     def customers(self) -> np.ndarray:
         """Customers of each word in the parent: its tables in all contexts."""
@@ -186,11 +181,9 @@ class Seating:
         d, s = DISCOUNT[0], STRENGTH[0]
         return (self.customers() - d * self.pt + (s + d * total.parent_tables) / (total.v + 1)) / (s + total.parent_customers)
 
-    def predictive(self, total: "Totals", context: np.ndarray, of: np.ndarray, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-        """P(w | u) for cells given by context, number of the word (-1: unknown), customers and tables."""
-        d, s = DISCOUNT[1], STRENGTH[1]
-        base = np.append(self.parent(total), total.unknown())[of]
-        return (c - d * t + (s + d * total.tables[context]) * base) / (s + total.customers[context])
+    def predictive(self, total: "Totals") -> np.ndarray:
+        """P(w | u) for each cell; a word without customers has the unknown word's."""
+        return predictive(total, self.context, self.parent(total)[self.of], self.c, self.t)
 
     def sweep(self, total: "Totals", rng: np.random.Generator) -> None:
         """Draw the tables of each cell, then those of each word in the parent, each given all others."""
@@ -201,6 +194,11 @@ class Seating:
         self.pt = seat(self.customers(), weight, DISCOUNT[0], rng)
 
 
+def predictive(total: "Totals", context: np.ndarray, parent: np.ndarray, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    d, s = DISCOUNT[1], STRENGTH[1]
+    return (c - d * t + (s + d * total.tables[context]) * parent) / (s + total.customers[context])
+
+
 def seat(customers: np.ndarray, weight: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of cells whose customers come one after another: the j-th opens a table with the given weight against j - d t.
 
@@ -235,149 +233,132 @@ class Totals:
         return (s + d * self.parent_tables) / (self.v + 1) / (s + self.parent_customers)
 
 
-def _seating(blobs: list[tuple[int, bytes]]) -> Seating:
-    """A bucket's training cells from what the batches sent."""
-    got = [_unpack(data, n, np.uint64, np.uint32, np.uint32) for n, data in blobs]
-    w, u, c = (np.concatenate(x) for x in zip(*got, strict=True))
-    keep = c > 0
-    w, u, c = w[keep], u[keep], c[keep]
-    order = np.lexsort((u, w))
-    w, u, c = w[order], u[order], c[order].astype(np.int64)
-    fresh = np.ones(len(w), bool)
-    fresh[1:] = (w[1:] != w[:-1]) | (u[1:] != u[:-1])
-    at = np.flatnonzero(fresh)
-    return Seating(w[at], u[at], np.add.reduceat(c, at) if len(at) else c)
-
-
-def _state(s: Seating) -> bytes:
-    return _pack(s.words, s.context, s.c.astype(np.uint32), s.t.astype(np.uint32), s.pt[s.of].astype(np.uint32))
-
-
-def _restore(n: int, data: bytes) -> Seating:
-    w, u, c, t, pt = _unpack(data, n, np.uint64, np.uint32, np.uint32, np.uint32, np.uint32)
-    s = Seating(w, u, c)
-    s.t = t.astype(np.int64)
-    first = np.flatnonzero(np.append(True, s.of[1:] != s.of[:-1])) if len(w) else np.empty(0, np.int64)
-    s.pt = pt[first].astype(np.int64)
-    return s
+_TABLE = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("cells", pa.binary()), ("asked", pa.list_(pa.struct([("batch", pa.int64()), ("n", pa.int64()), ("index", pa.binary())]))), ("words", pa.int64()), ("context", pa.list_(pa.int32())), ("customers", pa.list_(pa.int64()))])
+_TABLE_DDL = "bucket long, n long, cells binary, asked array<struct<batch: long, n: long, index: binary>>, words long, context array<int>, customers array<long>"
 
 
-_STATE = "bucket long, n long, state binary, words long, context array<int>, customers array<long>, tables array<long>, parent_tables long"
+def tabulate(requests: DataFrame) -> DataFrame:
+    """A row for each bucket: its cells, for each batch the places of the cells it asks for, and sums for the totals."""
 
+    def run(key, t):
+        ns, got = t["n"].to_pylist(), []
+        for n, blob in zip(ns, t["cells"].to_pylist(), strict=True):
+            w, u, c = _unpack(blob, n, np.uint64, np.uint16, np.uint32)
+            got.append((np.cumsum(w, dtype=np.uint64), u, c))
+        w, u, c = (np.concatenate(x) for x in zip(*got, strict=True))
+        order, at = _cells(w, u)
+        place = np.empty(len(w), np.uint32)
+        place[order] = np.repeat(np.arange(len(at), dtype=np.uint32), np.diff(np.append(at, len(w))))
+        w, u, c = w[order[at]], u[order[at]], np.add.reduceat(c[order].astype(np.int64), at)
+        asked = [{"batch": b, "n": n, "index": _pack(_steps(place[z - n : z]))} for b, n, z in zip(t["batch"].to_pylist(), ns, np.cumsum(ns).tolist(), strict=True)]
+        s = Seating(w, u, c)
+        used = np.unique(u)
+        customers = np.bincount(np.searchsorted(used, u), c, minlength=len(used)).astype(np.int64)
+        row = {"bucket": key[0].as_py(), "n": len(w), "cells": _pack(_steps(w), u, c.astype(np.uint32)), "asked": asked, "words": int((s.word_c > 0).sum()), "context": used.astype(np.int32).tolist(), "customers": customers.tolist()}
+        return pa.Table.from_pylist([row], _TABLE)
 
-def _report(bucket: int, s: Seating) -> dict:
-    used = np.unique(s.context)
-    c, t = (np.bincount(np.searchsorted(used, s.context), x, minlength=len(used)).astype(np.int64) for x in (s.c, s.t))
-    return {"bucket": bucket, "n": len(s.words), "state": _state(s), "words": s.n_words, "context": used.astype(np.int32).tolist(), "customers": c.tolist(), "tables": t.tolist(), "parent_tables": int(s.pt.sum())}
+    return requests.groupBy("bucket").applyInArrow(run, _TABLE_DDL)
 
 
-_ARROW = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("state", pa.binary()), ("words", pa.int64()), ("context", pa.list_(pa.int32())), ("customers", pa.list_(pa.int64())), ("tables", pa.list_(pa.int64())), ("parent_tables", pa.int64())])
+def _seating(n: int, cells: bytes) -> Seating:
+    w, u, c = _unpack(cells, n, np.uint64, np.uint16, np.uint32)
+    return Seating(np.cumsum(w, dtype=np.uint64), u, c)
 
 
-def totals(states: DataFrame) -> Totals:
-    """Sums over all buckets: one row a context comes to the driver."""
-    head = states.agg(F.sum("words").alias("v"), F.sum("parent_tables").alias("pt")).first()
-    customers, tables = np.zeros(BEGIN + 1), np.zeros(BEGIN + 1)
-    for r in states.select(F.inline(F.arrays_zip("context", "customers", "tables"))).groupBy("context").agg(F.sum("customers").alias("c"), F.sum("tables").alias("t")).collect():
-        customers[r["context"]], tables[r["context"]] = r["c"], r["t"]
-    return Totals(head["v"] or 0, int(customers.sum()), customers, tables, int(tables.sum()), head["pt"] or 0)
+def _sweeps(s: Seating, bucket: int, earlier: list[Totals]) -> Iterator[Seating]:
+    """The seating after each sweep, given the totals that each sweep saw."""
+    for k, total in enumerate(earlier):
+        if len(s.words):
+            s.sweep(total, np.random.default_rng([k, bucket]))
+        yield s
 
 
-def train(requests: DataFrame, sweeps: int) -> list[tuple[DataFrame, Totals]]:
-    """The states of each sweep (rows of _STATE) with their totals, the start first."""
+_SUMS = pa.schema([("context", pa.list_(pa.int32())), ("tables", pa.list_(pa.int64())), ("parent_tables", pa.int64())])
 
-    def start(key, t):
-        return pa.Table.from_pylist([_report(key[0].as_py(), _seating([*zip(t["n"].to_pylist(), t["cells"].to_pylist(), strict=True)]))], _ARROW)
 
-    states = common.materialise(requests.groupBy("bucket").applyInArrow(start, _STATE), "seating-0")
-    out = [(states, totals(states))]
-    for k in range(1, sweeps + 1):
-        before = out[-1][1]
+def train(table: DataFrame, sweeps: int) -> list[Totals]:
+    """The totals at the start and after each sweep. At most one row a context comes to the driver for each."""
+    v = table.agg(F.sum("words").alias("v")).first()["v"] or 0
+    customers = np.zeros(BEGIN + 1)
+    for r in table.select(F.inline(F.arrays_zip("context", "customers"))).groupBy("context").agg(F.sum("customers").alias("c")).collect():
+        customers[r["context"]] = r["c"]
+    out: list[Totals] = []
+    for _ in range(sweeps + 1):
+        earlier = list(out)
 
-        def sweep(rows: Iterator[pa.RecordBatch], total=before, k=k) -> Iterator[pa.RecordBatch]:
+        def run(rows: Iterator[pa.RecordBatch], earlier=earlier) -> Iterator[pa.RecordBatch]:
             for b in rows:
                 for i in range(b.num_rows):
-                    bucket = b.column(0)[i].as_py()
-                    s = _restore(b.column(1)[i].as_py(), b.column(2)[i].as_py())
-                    if len(s.words):
-                        s.sweep(total, np.random.default_rng([k, bucket]))
-                    yield pa.RecordBatch.from_pylist([_report(bucket, s)], _ARROW)
-
-        states = common.materialise(states.select("bucket", "n", "state").mapInArrow(lambda rows, f=sweep: f(rows), _STATE), f"seating-{k}")
-        out.append((states, totals(states)))
+                    bucket, n, cells = (b.column(k)[i].as_py() for k in range(3))
+                    s = _seating(n, cells)
+                    for _ in _sweeps(s, bucket, earlier):
+                        pass
+                    used = np.unique(s.context)
+                    t = np.bincount(np.searchsorted(used, s.context), s.t, minlength=len(used)).astype(np.int64)
+                    yield pa.RecordBatch.from_pylist([{"context": used.astype(np.int32).tolist(), "tables": t.tolist(), "parent_tables": int(s.pt.sum())}], _SUMS)
+
+        sums = table.select("bucket", "n", "cells").mapInArrow(run, "context array<int>, tables array<long>, parent_tables long")
+        tables, parent = np.zeros(BEGIN + 1), 0
+        each = sums.select(F.inline(F.arrays_zip(F.concat("context", F.array(F.lit(-1))).alias("context"), F.concat("tables", F.array("parent_tables")).alias("tables"))))
+        for r in each.groupBy("context").agg(F.sum("tables").alias("t")).collect():
+            if r["context"] < 0:
+                parent = r["t"]
+            else:
+                tables[r["context"]] = r["t"]
+        out.append(Totals(v, int(customers.sum()), customers, tables, int(tables.sum()), parent))
     return out
 
 
-def answer(requests: DataFrame, kept: list[tuple[DataFrame, Totals]]) -> DataFrame:
-    """(batch, bucket, n, cells, c, p): for each cell a batch asked for the word's training count and log10 of the averaged P(w | u)."""
-    states = kept[0][0].select("bucket", "n", F.col("state").alias("state_0"))
-    for k, (s, _) in enumerate(kept[1:], 1):
-        states = states.join(s.select("bucket", F.col("state").alias(f"state_{k}")), "bucket")
-    all_totals = [t for _, t in kept]
-
-    def run(key, asked, held):
-        n = held["n"][0].as_py()
-        seatings = [_restore(n, held[f"state_{k}"][0].as_py()) for k in range(len(all_totals))]
-        s = seatings[0]
-        heads = s.words[np.flatnonzero(np.append(True, s.words[1:] != s.words[:-1]))] if n else s.words
-        word_c = np.bincount(s.of, s.c, minlength=s.n_words).astype(np.int64)
-        first = np.searchsorted(s.words, heads, "left")
-        out = []
-        for batch, m, cells in zip(asked["batch"].to_pylist(), asked["n"].to_pylist(), asked["cells"].to_pylist(), strict=True):
-            w, u, _ = _unpack(cells, m, np.uint64, np.uint32, np.uint32)
-            of = np.searchsorted(heads, w)
-            known = of < len(heads)
-            known[known] = heads[of[known]] == w[known]
-            of = np.where(known, of, -1)
-            # the cell: contexts ascend within a word
-            key_, at = s.of.astype(np.int64) * (BEGIN + 1) + s.context, of.astype(np.int64) * (BEGIN + 1) + u
-            cell = np.searchsorted(key_, at)
-            has = known & (cell < n)
-            has[has] = key_[cell[has]] == at[has]
-            cell = np.where(has, cell, 0)
-            p = np.zeros(m)
-            for x, total in zip(seatings, all_totals, strict=True):
-                c, t = (np.where(has, y[cell], 0) if n else np.zeros(m) for y in (x.c, x.t))
-                p += x.predictive(total, u, of, c, t)
-            count = np.where(known, word_c[of] if len(word_c) else 0, 0).astype(np.uint32)
-            out.append({"batch": batch, "n": m, "words": _pack(_cell_key(w, u), count, np.log10(p / len(all_totals)).astype(np.float32))})
-        return pa.Table.from_pylist(out, pa.schema([("batch", pa.int64()), ("n", pa.int64()), ("words", pa.binary())]))
-
-    return requests.groupBy("bucket").cogroup(states.groupBy("bucket")).applyInArrow(run, "batch long, n long, words binary")
+def answer(table: DataFrame, totals: list[Totals], keep: int) -> DataFrame:
+    """(batch, bucket, n, words): for the cells a batch asked for, in its order, the word's training count and log10 of the
+    averaged P(w | u)."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in rows:
+            for i in range(b.num_rows):
+                bucket, n, cells, asked = (b.column(k)[i].as_py() for k in range(4))
+                s = _seating(n, cells)
+                p = np.zeros(n)
+                for k, _ in enumerate(_sweeps(s, bucket, totals[:-1]), 1):
+                    if k >= len(totals) - keep:
+                        p += s.predictive(totals[k])
+                p, count = np.log10(p / keep).astype(np.float32), s.word_c[s.of].astype(np.uint32)
+                for part in range(0, len(asked), 64):
+                    some = asked[part : part + 64]
+                    places = [np.cumsum(_unpack(x["index"], x["n"], np.uint32)[0], dtype=np.uint32) for x in some]
+                    yield pa.RecordBatch.from_arrays([pa.array([x["batch"] for x in some], pa.int64()), pa.array([bucket] * len(some), pa.int64()), pa.array([x["n"] for x in some], pa.int64()), pa.array([_pack(count[x], p[x]) for x in places], pa.binary())], ["batch", "bucket", "n", "words"])
+
+    return table.select("bucket", "n", "cells", "asked").mapInArrow(run, "batch long, bucket long, n long, words binary")
+
+
+FIELDS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     dealt = common.materialise(deal(docs.select("doc_id", "text", held_out.alias("held_out"))), "batches")
-    buckets = max(8, common.input_bytes(docs) * 2 // (60 * BUCKET_CELLS))
-    requests = common.materialise(gather(dealt, buckets), "cells")
+    buckets = max(8, common.input_bytes(dealt) * 2 // (50 * BUCKET_CELLS))
+    table = common.materialise(tabulate(gather(dealt, buckets)), "cells")
     common.tidy(docs.sparkSession)
-    kept = train(requests, BURN + KEEP)[-KEEP:]
-    answers = common.materialise(answer(requests, kept), "answers")
-    common.tidy(docs.sparkSession)
-    n, v = kept[0][1].n, kept[0][1].v
+    totals = train(table, BURN + KEEP)
+    answers = answer(table, totals, KEEP)
+    n, v = totals[0].n, totals[0].v
     base_all = math.log10(n + 0.1 * (v + 1))
 
-    def run(key, texts, told):
-        got = [_unpack(d, m, np.uint64, np.uint32, np.float32) for m, d in zip(told["n"].to_pylist(), told["words"].to_pylist(), strict=True)]
-        cell, c, p = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.argsort(cell)
-        cell, c, p = cell[order], c[order].astype(np.float64), p[order].astype(np.float64)
-        base = np.log10(c + 0.1) - base_all
+    def run(key, batch, told):
+        order = np.argsort(told["bucket"].to_numpy())
+        ns, blobs = told["n"].to_pylist(), told["words"].to_pylist()
+        c, p = (np.concatenate(x) for x in zip(*[_unpack(blobs[i], ns[i], np.uint32, np.float32) for i in order.tolist()], strict=True))
         out = []
-        for b in common.slices(texts.to_batches(), "packed", common.STEP_BYTES // 3):
-            tw, tu, upto = tokens(*_texts(b.column(b.schema.get_field_index("packed"))))
-            at = np.searchsorted(cell, _cell_key(tw, tu))
+        for i in range(batch.num_rows):
+            w, u, upto = _batch_tokens(batch["sizes"][i].as_py(), batch["packed"][i].as_py())
+            sort, at = _cells(w, u)
+            cell = np.empty(len(w), np.int64)
+            cell[sort] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(w))))
             begin = upto[:-1]
-            out.append(pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("held_out")), pa.array(np.diff(upto)), pa.array(np.add.reduceat((c[at] > 0).astype(np.int64), begin)), pa.array(np.full(b.num_rows, n, np.int64)), pa.array(np.add.reduceat(base[at], begin)), pa.array(np.add.reduceat(p[at], begin))], NAMES))
+            sums = [np.add.reduceat(x[cell], begin) for x in ((c > 0).astype(np.int64), np.log10(c + 0.1) - base_all, p.astype(np.float64))]
+            out.append(pa.RecordBatch.from_arrays([batch["doc_ids"].combine_chunks()[i].values, batch["held_out"].combine_chunks()[i].values, pa.array(np.diff(upto)), pa.array(sums[0]), pa.array(np.full(len(begin), n, np.int64)), pa.array(sums[1]), pa.array(sums[2])], NAMES))
         return pa.Table.from_batches(out)
 
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, FIELDS)
-
-
-def _cell_key(w: np.ndarray, u: np.ndarray) -> np.ndarray:
-    return w ^ common.mix(u.astype(np.uint64) + common.BASE)
-
-
-FIELDS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-NAMES = [f.split()[0] for f in FIELDS.split(", ")]

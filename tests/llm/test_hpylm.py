@@ -29,19 +29,20 @@ def test_counts_and_base_score(spark):
 def test_probabilities_sum_to_one(spark):
     rows = [(i, "a b c a b d e" if i % 2 else "a a f g b") for i in range(40)]
     docs = brute.table(spark, rows).withColumn("held_out", F.lit(False))
-    requests = hpylm.gather(hpylm.deal(docs), 1)
-    (states, total), *_ = hpylm.train(requests, 2)[::-1]
-    r = states.first()
-    s = hpylm._restore(r["n"], r["state"])
-    assert (s.t >= 1).all() and (s.t <= s.c).all() and (s.pt <= s.customers()).all()
+    table = hpylm.tabulate(hpylm.gather(hpylm.deal(docs), 1))
+    total = hpylm.train(table, 2)[-1]
+    r = table.first()
+    s = hpylm._seating(r["n"], r["cells"])
+    for _ in hpylm._sweeps(s, 0, hpylm.train(table, 2)[:-1]):
+        pass
+    assert (s.t >= 1).all() and (s.t <= s.c).all() and (s.pt <= s.customers()).all() and s.pt.sum() == total.parent_tables
+    parent = np.append(s.parent(total), total.unknown())
+    assert parent.sum() == pytest.approx(1.0)
     for u in np.unique(s.context):
-        p = 0.0
-        for w in range(s.n_words):
-            cell = np.flatnonzero((s.of == w) & (s.context == u))
-            c, t = (x[cell] if len(cell) else np.zeros(1) for x in (s.c, s.t))
-            p += s.predictive(total, np.array([u]), np.array([w]), c, t)[0]
-        p += s.predictive(total, np.array([u]), np.array([-1]), np.zeros(1), np.zeros(1))[0]
-        assert p == pytest.approx(1.0)
+        c, t = np.zeros(s.n_words + 1), np.zeros(s.n_words + 1)
+        here = s.context == u
+        c[s.of[here]], t[s.of[here]] = s.c[here], s.t[here]
+        assert hpylm.predictive(total, np.full(len(c), u), parent, c, t).sum() == pytest.approx(1.0)
 
 
 def test_seating_follows_the_restaurant():
