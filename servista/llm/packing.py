@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from . import common
 from .tokens import encoder
 
+#: Pieces of one length are numbered in at least so many parts.
+CHUNKS = 256
 PIECES = "doc_id long, copy long, piece int, start long, length int, ids_crc32 long"
 
 
@@ -104,7 +106,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1,
     """Pieces with sequence_id and offset: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     cut = common.materialise(pieces(docs, tokenizer, end_id, size), "pieces")
     total = common.input_bytes(cut)
-    chunks = max(1, total // (4 << 20))
+    chunks = max(CHUNKS, total // (4 << 20))
     cut = cut.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(chunks)))
     by_chunk = cut.groupBy("length", "chunk").agg(F.count("*").alias("n"))
     by_chunk = common.materialise(by_chunk, "lengths")
