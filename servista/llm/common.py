@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Raw text bytes that one vectorised step handles at once; a longer single text is a step of its own.
-STEP_BYTES = 2_000_000
+STEP_BYTES = 500_000
 #: Texts that one step handles at most.
 STEP_ROWS = 4096
 
@@ -39,6 +39,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     Folders are removed when the driver's process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not base:
         base = "file://" + os.path.join(tempfile.gettempdir(), "servista-work")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -93,6 +95,18 @@ def parts(df: DataFrame, each: int = 16 << 20, least: int = 1, most: int = 100_0
     return max(least, min(most, -(-input_bytes(df) // each)))
 
 
+def lean_memory() -> None:
+    """Give freed memory back at once: an executor's Python workers share its limit with the JVM."""
+    with contextlib.suppress(OSError, AttributeError):
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 8 << 20)  # blocks of 8 MB and more go back when freed
+        libc.mallopt(-1, 16 << 20)  # so does so much free memory at the end of the heap
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+lean_memory()
+
+
 def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
@@ -105,14 +119,19 @@ _resident: list = [None, None]
 def resident(key: object, make: Callable[[], Any]) -> Any:
     """make()'s object, kept for later tasks of this worker process until another key is asked for: one large object at a time."""
     if _resident[0] != key:
-        _resident[:] = [None, None]
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        no_resident()
         _resident[:] = [key, make()]
     return _resident[1]
 
 
+def no_resident() -> None:
+    """Let go of the worker's resident object and of free memory."""
+    _resident[:] = [None, None]
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_only(docs: DataFrame, *cols: str) -> DataFrame:
     """doc_id as long and text with nulls as empty; other columns only if named. Extra or clashing ones go.
 

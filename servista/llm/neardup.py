@@ -112,6 +112,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     rows = common.text_only(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.no_resident()
         press = zstandard.ZstdCompressor(level=1)
         for b in common.slices(batches):
             data, offs = common.text_arrays(b.column(1))
@@ -205,10 +206,18 @@ def block_links(small: DataFrame, large: DataFrame, width: int, percent: int) ->
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
         sizes = df.groupBy("big").agg(F.count("*").alias("n"))
-        df = df.join(sizes, "big").withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
-        return df.groupBy("big", "block").agg(F.collect_list(F.struct("comp", "node", "packed")).alias(name)).drop("block")
-
-    both = blocks(small, "s").join(blocks(large, "m"), "big").select("s", "m")
+        if sizes.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+            sizes = F.broadcast(sizes)
+        df = df.join(sizes, "big").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        return df.groupBy("big", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("comp", "node", "packed")).alias(name))
+
+    # each block of small meets each block of large under a key of its own, so that no task gets all of a large group
+    right = blocks(large, "m")
+    many = right.groupBy("big").agg(F.first("blocks").alias("many"))
+    if many.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
+        many = F.broadcast(many)
+    left = blocks(small, "s").join(many, "big").select("big", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("block"))
+    both = left.join(right, ["big", "block"]).select("s", "m")
     both = both.repartition(max(8, small.sparkSession.sparkContext.defaultParallelism * 4))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
