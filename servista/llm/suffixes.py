@@ -29,13 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import common
 
 DEPTH, DIGIT = 200, 50
 #: Runs of one anchor that are compared in one task.
 GROUP = 2000
+SALTS = 16
 
 
 def runs(data: np.ndarray, offs: np.ndarray, depth: int = DEPTH, digit: int = DIGIT) -> tuple[np.ndarray, ...]:
@@ -75,25 +76,33 @@ def runs(data: np.ndarray, offs: np.ndarray, depth: int = DEPTH, digit: int = DI
     return text, h[p], common.mix(whole), lo - offs[text], end - lo
 
 
-def scan(docs: DataFrame, depth: int, digit: int) -> DataFrame:
+def scan(docs: DataFrame, depth: int, digit: int, whole: bool = False) -> DataFrame:
     """A row for each text: row (a number), doc_id, n_bytes, sha256, packed (zstd; null if too short), and its runs as arrays
-    anchor, whole, first, windows."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    anchor, whole, first, windows. With whole, packed has short texts too, and other the remaining columns of docs."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *[_other(docs)] * whole)
+    names = ["row", "doc_id", "n_bytes", "sha256", "packed", "anchor", "whole", "first", "windows", *["other"] * whole]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.no_resident()
         press = zstandard.ZstdCompressor(level=1)
         for b in common.slices(batches):
             data, offs = common.text_arrays(b.column(2))
-            text, anchor, whole, first, windows = runs(data, offs, depth, digit)
+            text, anchor, union, first, windows = runs(data, offs, depth, digit)
             at = pa.array(np.searchsorted(text, np.arange(b.num_rows + 1)).astype(np.int32))
-            cols = [pa.ListArray.from_arrays(at, pa.array(c)) for c in (anchor.view(np.int64), whole.view(np.int64), first.astype(np.int32), windows.astype(np.int32))]
+            cols = [pa.ListArray.from_arrays(at, pa.array(c)) for c in (anchor.view(np.int64), union.view(np.int64), first.astype(np.int32), windows.astype(np.int32))]
             raw = memoryview(data.tobytes())
             spans = [*zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            packed = [press.compress(raw[s:e]) if e - s >= depth else None for s, e in spans]
+            packed = [press.compress(raw[s:e]) if whole or e - s >= depth else None for s, e in spans]
             sha = [hashlib.sha256(raw[s:e]).hexdigest() for s, e in spans]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(offs)), pa.array(sha), pa.array(packed, pa.binary()), *cols], ["row", "doc_id", "n_bytes", "sha256", "packed", "anchor", "whole", "first", "windows"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(offs)), pa.array(sha), pa.array(packed, pa.binary()), *cols, *b.columns[3:]], names)
 
-    return rows.mapInArrow(run, "row long, doc_id long, n_bytes long, sha256 string, packed binary, anchor array<long>, whole array<long>, first array<int>, windows array<int>")
+    schema = T.StructType.fromDDL("row long, doc_id long, n_bytes long, sha256 string, packed binary, anchor array<long>, whole array<long>, first array<int>, windows array<int>")
+    return rows.mapInArrow(run, schema.add(rows.schema["other"]) if whole else schema)
+
+
+def _other(docs: DataFrame) -> Column:
+    """The columns but text, and whether text is null."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.col("text").isNull().alias("__null")).alias("other")
 
 
 def _with_text(df: DataFrame, texts: DataFrame) -> DataFrame:
@@ -191,9 +200,10 @@ def _compare_hot(found: DataFrame, depth: int) -> DataFrame:
     return windows.filter("alone").join(twice, "window").select("row", "start", (F.col("start") + depth).alias("end"))
 
 
-def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """The scanned texts (see scan), and (row, start, end) of byte intervals covered by strings that occur elsewhere too."""
-    texts = common.materialise(scan(docs, depth, digit), "scanned")
+    common.small_batches(docs.sparkSession)
+    texts = common.materialise(scan(docs, depth, digit, whole), "scanned")
     every = texts.select("row", F.inline(F.arrays_zip("anchor", "whole", "first", "windows")))
     again = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("several"))
     some = common.materialise(every.join(common.materialise(again, "anchors"), "anchor"), "runs")
@@ -204,14 +214,16 @@ def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> tuple[Da
     found = _bytes_of(equal.withColumn("alone", F.col("n") == 1).join(hot, "anchor"), texts.select("row", "packed"), depth)
     found = common.materialise(found, "covered")
     common.tidy(docs.sparkSession)
-    whole = some.filter("several").join(equal.filter("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi")
-    of_runs = [df.select("row", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") - 1 + depth).cast("long").alias("end")) for df in (some.filter("not several"), whole)]
+    # an anchor may have very many runs, so its rows are dealt over SALTS tasks, each with a copy of its classes
+    salted = equal.filter("n > 1").select("anchor", "whole", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"))
+    again = some.filter("several").withColumn("salt", F.pmod(F.xxhash64("row", "first"), F.lit(SALTS)).cast("int")).join(salted, ["anchor", "whole", "salt"], "left_semi").drop("salt")
+    of_runs = [df.select("row", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") - 1 + depth).cast("long").alias("end")) for df in (some.filter("not several"), again)]
     intervals = of_runs[0].union(of_runs[1]).union(_compare(found.filter("not hot"), depth)).union(_compare_hot(found.filter("hot"), depth))
     return texts, intervals
 
 
-def _cut(texts: DataFrame, intervals: DataFrame, keep_bytes: bool) -> DataFrame:
-    """row, doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes, if asked for) of texts that lose bytes."""
+def _cut(texts: DataFrame, intervals: DataFrame, keep_text: bool) -> DataFrame:
+    """row, doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining text, if asked for) of texts that lose bytes."""
     each = intervals.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     each = common.materialise(each, "intervals")
     rows = _with_text(each, texts.select("row", "doc_id", "n_bytes", "packed")).select("row", "doc_id", "n_bytes", "packed", "cuts")
@@ -228,11 +240,11 @@ def _cut(texts: DataFrame, intervals: DataFrame, keep_bytes: bool) -> DataFrame:
                 new = np.append(True, s[1:] > e[:-1])
                 s, e = s[new], e[np.append(np.flatnonzero(new)[1:], len(e)) - 1]
                 kept = b"".join(text[a:z] for a, z in zip([0, *e.tolist()], [*s.tolist(), len(text)], strict=True))
-                out.append((int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept))
+                out.append((int((e - s).sum()), len(s), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
             cols = [*zip(*out, strict=True)] if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), *[pa.array(cols[3], pa.binary())] * keep_bytes], ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_bytes])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), *[pa.array(cols[3], pa.string())] * keep_text], ["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text])
 
-    return rows.mapInArrow(run, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_bytes)
+    return rows.mapInArrow(run, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text)
 
 
 def digest(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
@@ -246,15 +258,16 @@ def digest(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame
 
 def cleaned(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
     """docs with the repeated bytes taken out of text; all rows and columns stay."""
-    numbered = common.materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    texts, intervals = repeats(numbered.select(F.col("__row").alias("doc_id"), "text"), depth, digit)
-    cut = _cut(texts, intervals, True).select(F.col("doc_id").alias("__row"), "kept")
+    texts, intervals = repeats(docs, depth, digit, whole=True)
+    cut = common.materialise(_cut(texts, intervals, True).select("row", "kept"), "cleaned")
+    same = common.by_key(texts.select("row", "packed", "other"), cut.select("row"), "row", "left_anti")
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = zstandard.ZstdDecompressor()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([k.decode("utf-8", "ignore") for k in b.column(1).to_pylist()], pa.string())], ["__row", "__text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([open_.decompress(x).decode("utf-8", "surrogatepass") for x in b.column(1).to_pylist()], pa.string())], ["other", "kept"])
 
-    new = common.materialise(cut.mapInArrow(decode, "__row long, __text string"), "cleaned")
-    columns = [F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    untouched = numbered.join(new.select("__row"), "__row", "left_anti").select(*docs.columns)
-    return untouched.union(numbered.drop("text").join(new, "__row").select(*columns))
+    schema = T.StructType([texts.schema["other"], T.StructField("kept", T.StringType())])
+    new = same.select("other", "packed").mapInArrow(unpack, schema).union(texts.select("row", "other").join(cut, "row").select("other", "kept"))
+    columns = [F.when(~F.col("other.__null"), F.col("kept")).alias("text") if c == "text" else F.col(f"other.`{c}`") for c in docs.columns]
+    return new.select(*columns)
