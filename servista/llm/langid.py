@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,34 +40,30 @@ class Automaton:
     """Suffix automaton of a sequence of symbols 0..width-1: table[state, symbol] is the next state, 0 if there is none."""
 
     def __init__(self, symbols: list[int], width: int):
-        nexts, link, length, last = [{}], [-1], [0], 0
+        most = 2 * len(symbols) + 2
+        table, link, length = array("i", bytes(4 * width * most)), array("i", bytes(4 * most)), array("i", bytes(4 * most))
+        link[0], states, last = -1, 1, 0
         for s in symbols:
-            here = len(nexts)
-            nexts.append({})
-            length.append(length[last] + 1)
-            link.append(0)
+            here, states = states, states + 1
+            length[here] = length[last] + 1
             p = last
-            while p != -1 and s not in nexts[p]:
-                nexts[p][s] = here
+            while p != -1 and not table[p * width + s]:
+                table[p * width + s] = here
                 p = link[p]
             if p != -1:
-                q = nexts[p][s]
+                q = table[p * width + s]
                 if length[q] == length[p] + 1:
                     link[here] = q
                 else:
-                    clone = len(nexts)
-                    nexts.append(nexts[q].copy())
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    while p != -1 and nexts[p].get(s) == q:
-                        nexts[p][s] = clone
+                    clone, states = states, states + 1
+                    table[clone * width : (clone + 1) * width] = table[q * width : (q + 1) * width]
+                    length[clone], link[clone] = length[p] + 1, link[q]
+                    while p != -1 and table[p * width + s] == q:
+                        table[p * width + s] = clone
                         p = link[p]
                     link[q] = link[here] = clone
             last = here
-        self.table = np.zeros((len(nexts), width), np.int32)
-        for k, to in enumerate(nexts):
-            if to:
-                self.table[k, list(to)] = list(to.values())
+        self.table = np.array(table[: states * width], np.int32).reshape(states, width)
         self.size = len(symbols)
 
     def phrases(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -136,16 +133,9 @@ class Model:
         return [self.langs[b] if h else UND for b, h in zip(best.tolist(), has, strict=True)], np.where(has, np.clip(score, 0, 1), 0.0), np.where(has, least, 0.0)
 
 
-_models: dict[int, Model] = {}
-
-
 def model(samples: dict[str, str]) -> Model:
-    """One model for each worker process and set of samples."""
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _models:
-        _models.clear()
-        _models[key] = Model(samples)
-    return _models[key]
+    """A worker process's model of a set of samples."""
+    return common.resident(("languages", tuple(sorted(samples.items()))), lambda: Model(samples))
 
 
 def held_out(n: int, r: int) -> Column:
@@ -177,7 +167,7 @@ def predict(docs: DataFrame, learned: dict[str, str], *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(learned)
-        for b in common.slices(batches):
+        for b in common.slices(batches, step=4 * common.STEP_BYTES):  # the more stretches, the less each step costs
             lang, score, bits = m.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names)
 

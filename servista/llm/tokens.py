@@ -14,6 +14,8 @@ import re
 
 import numpy as np
 
+from . import common
+
 # Letters and numbers among the characters of _PLAIN, as Unicode has them.
 _L = "A-Za-zªµºÀ-ÖØ-öø-įı-ňŊ-ſ"
 _N = "0-9²³¹¼-¾"
@@ -127,14 +129,9 @@ class Encoder:
         return ids, counts
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One encoder for each worker process and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """A worker process's encoder of a file."""
+    return common.resident(("encoder", path), lambda: Encoder(path))
 
 
 def tokenizer_path(name: str) -> str:
