@@ -37,7 +37,7 @@ from . import common
 DISCOUNT, STRENGTH = (0.8, 0.6), (1.0, 5.0)  # parent, contexts
 BURN, KEEP = 2, 3
 #: Text bytes of a batch, cells of a bucket (both about).
-BATCH_BYTES, BUCKET_CELLS = 24 << 20, 500_000
+BATCH_BYTES, BUCKET_CELLS = 12 << 20, 500_000
 #: Context numbers: last two bytes of the word before; BEGIN, which no UTF-8 text has, at the start of a text.
 BEGIN = 0xFFFF
 #: The end token's hash; words hash to other values but for one chance in 2**64.
