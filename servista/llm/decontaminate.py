@@ -3,7 +3,7 @@
 Texts are sequences of words (lower-cased, without leading and trailing punctuation). A mask looks at some positions
 of a window and ignores the others, so the hash of what it sees survives substitutions in between. The hashes of
 benchmark windows under all masks are joined with those of the documents' windows. Around each hit the item's own
-words are laid along the document at that offset, and the stretch with enough equal words is kept: a match needs at
+words are laid along the document at that offset, and the longest stretch with enough equal words is kept: a match needs at
 least MIN_WORDS words (or the whole item, if it is shorter), at least MIN_SHARE of them equal, and it must cover
 MIN_COVER of the item or WINDOW_WORDS words.
 
@@ -82,12 +82,17 @@ class Items:
 
 
 def stretch(equal: np.ndarray) -> tuple[int, int]:
-    """The best run [a, b) of an equal/unequal sequence: an equal word counts 1, another -3 (so 3 of 4 at least are equal)."""
+    """The longest run [a, b) of an equal/unequal sequence with 3 of 4 equal at least; of these the one with most equal, then the first.
+
+    An equal word counts 1, another -3, so a run may be taken where its sum is not negative. No run passes confirm()'s
+    other tests where the longest one doesn't.
+    """
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -3))])
-    low = np.minimum.accumulate(total)
-    b = int(np.argmax(total - low))
-    a = int(np.argmin(total[: b + 1]))
-    return a, b
+    first = np.searchsorted(-np.minimum.accumulate(total), -total, "left")  # the first start from which the sum up to here is not negative
+    n = np.arange(len(total)) - first
+    ends = np.flatnonzero(n == n.max())
+    b = int(ends[np.argmax(total[ends] - total[first[ends]])])
+    return int(first[b]), b
 
 
 def confirm(item_words: np.ndarray, doc_words: np.ndarray, shift: int) -> tuple[int, int, int] | None:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from servista.llm import decontaminate
@@ -49,6 +50,28 @@ def test_spans_are_the_passages(tables):
         assert span == item_of[r.item_id] and r.n_equal == 30
 
 
+def test_longest_stretch_is_the_rule():
+    rng = np.random.default_rng(3)
+    for whole in [*range(5, 41)] * 10:
+        item = np.arange(whole)
+        equal = rng.random(whole) < rng.choice([0.5, 0.75, 0.8, 0.9])
+        runs = [(a, b) for a in range(whole) for b in range(a + 1, whole + 1) if 4 * equal[a:b].sum() >= 3 * (b - a)]
+        runs = [b - a for a, b in runs if b - a >= min(8, whole) and (b - a >= 0.6 * whole or b - a >= 20)]
+        got = decontaminate.confirm(item, np.where(equal, item, -1), 0)
+        assert (got[1] - got[0] if got else None) == max(runs, default=None)
+        assert got is None or got[2] == equal[got[0] : got[1]].sum()
+
+
+@pytest.mark.parametrize(("n", "gone"), [(15, range(3, 15, 4)), (40, range(3, 40, 4)), (8, [4])])
+def test_items_with_three_of_four_equal_words(spark, n, gone):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(n)]
+    copy = " ".join("other" if i in gone else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, f"{text(rng, 30)} {copy} {text(rng, 30)}"), (2, text(rng, 90))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.leaks(docs, items).select("doc_id", "n_words", "n_equal").collect()] == [(1, n, n - len(gone))]
+
+
 def test_both_ways_agree(tables, monkeypatch):
     docs, items = tables
     narrow = {tuple(r) for r in decontaminate.leaks(docs, items).collect()}
