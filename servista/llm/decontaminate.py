@@ -158,7 +158,8 @@ def _search(known: Items, b: pa.RecordBatch) -> pa.RecordBatch:
 def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     """leaks() for a benchmark of any size: seeds meet in a shuffle, then each document meets the items that hit it.
 
-    A seed that many items share joins all of them, as in the other way; a document's hits are grouped by document.
+    A seed that many items share joins all of them, as in the other way. Texts go by a hash of their own, not by ids, which
+    may be null or repeat; what a collision of hashes brings together is searched like any other hit.
     """
 
     def seed_rows(key: str):
@@ -174,11 +175,13 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
 
         return run
 
+    key = F.xxhash64("text")
     table = common.text_only(docs)
-    in_items = items.mapInArrow(seed_rows("item_id"), "item_id long, seed long").distinct()
-    in_docs = table.mapInArrow(seed_rows("doc_id"), "doc_id long, seed long").distinct()
-    hits = in_docs.join(in_items, "seed").select("doc_id", "item_id").distinct()
-    each = hits.join(items.withColumnRenamed("text", "item"), "item_id").join(table, "doc_id").select("doc_id", "text", "item_id", "item")
+    in_items = items.select(key.alias("item_key"), "text").mapInArrow(seed_rows("item_key"), "item_key long, seed long").distinct()
+    in_docs = table.select(key.alias("doc_key"), "text").mapInArrow(seed_rows("doc_key"), "doc_key long, seed long").distinct()
+    hits = in_docs.join(in_items, "seed").select("doc_key", "item_key").distinct()
+    its, own = items.select(key.alias("item_key"), "item_id", F.col("text").alias("item")), table.withColumn("doc_key", key)
+    each = hits.join(its, "item_key").join(own, "doc_key").select("doc_id", "text", "item_id", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -79,6 +79,16 @@ def test_both_ways_agree(tables, monkeypatch):
     assert {tuple(r) for r in decontaminate.leaks(docs, items).collect()} == narrow
 
 
+def test_both_ways_agree_on_null_and_equal_ids(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(None, text(rng, 20)), (None, text(rng, 20)), (3, text(rng, 20)), (3, text(rng, 20))]
+    docs = [(None, f"{text(rng, 9)} {items[0][1]}"), (None, items[3][1]), (None, text(rng, 40)), (7, items[1][1]), (7, f"{items[2][1]} {items[1][1]}"), (8, items[2][1]), (8, items[2][1])]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    narrow = sorted(map(repr, decontaminate.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+    assert sorted(map(repr, decontaminate.leaks(docs, items).collect())) == narrow and len(narrow) == 7
+
+
 def test_empty_tables(tables):
     docs, items = tables
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0
