@@ -27,11 +27,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    kept = common.materialise(neardup.groups(docs, SHINGLE, PERCENT).filter("kept").select("doc_id"), "kept")
-    left = common.by_key(docs, kept, "doc_id")
-    repeated = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    """One row of each group of near copies stays: the one with the smallest doc_id (null ids last), of these the one with
+    the least hash of the whole row. Rows go by that hash, not by doc_id, which may be null or repeat."""
+    rows = docs.withColumn("__row", F.xxhash64(*docs.columns, *[F.col(f"`{c}`").isNull() for c in docs.columns]))
+    found = neardup.groups(rows.select(F.col("__row").alias("doc_id"), "text"), SHINGLE, PERCENT)
+    found = found.groupBy(F.col("doc_id").alias("row")).agg(F.first("component_id").alias("comp"), F.when(F.max("n_shingles") > 0, F.count("*")).otherwise(1).alias("n"))
+    ids = rows.select(F.col("__row").alias("row"), "doc_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "n"))
+    kept = common.materialise(found.join(ids, "row").groupBy("comp").agg(best.alias("best")).select("best.row", "best.n"), "kept")
+    left = common.by_key(rows, kept.select("row"), "__row")
+    repeated = kept.filter("n > 1").select("row")  # rows that are equal in all columns
+    if repeated.limit(1).count():
+        left = common.by_key(left, repeated, "__row", "left_anti").union(common.by_key(left, repeated, "__row").dropDuplicates(["__row"]))
+    return left.drop("__row")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,9 +50,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id")
-    return common.by_key(docs, common.materialise(found, "leaks"), "doc_id", "left_anti")
+    """Documents that hold a passage of the benchmark go, by a hash of their text: others of their doc_id stay."""
+    rows = docs.withColumn("__row", F.xxhash64("text"))
+    found = decontaminate.leaks(rows.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    return common.by_key(rows, common.materialise(found, "leaks"), "__row", "left_anti").drop("__row")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,24 @@ def test_stages_equal_brute_force(spark, tables):
     assert {r.doc_id: (r.length, r.ids_crc32) for r in out["best_fit_packing"]} == {i: (len(x), zlib.crc32(x.tobytes())) for i, x in want.items()}
 
 
+def test_null_and_repeated_ids(spark, tables, tmp_path):
+    rng = random.Random(12)
+    item = language(rng, SYLLABLES["aa"], 40)
+    a, b, c, d, e, f = (language(rng, SYLLABLES["aa"], 50) for _ in range(6))
+    rows = [(None, a), (None, b), (7, c), (7, d), (9, d), (None, c), (8, e), (8, e), (5, f), (7, f + " more"), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t)) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    order = lambda r: (r[0] is None, r)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=order) == sorted([(None, a), (None, b), (7, c), (7, d), (8, e), (5, f), (4, ""), (4, "")], key=order)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, f"{a} {item}"), (None, b), (7, f"{item} {c}"), (7, d), (8, e), (8, e), (None, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "aa", "s", len(t or "")) for i, t in rows], SCHEMA)
+    got = corpus_pipeline.decontamination(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert sorted(map(repr, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(repr, [rows[k] for k in (1, 3, 4, 5, 6, 7)]))
+
+
 def test_run_and_empty(spark, tables, tmp_path):
     path, _, _ = tables
     assert corpus_pipeline.run(spark, path).count() == 43
