@@ -10,9 +10,11 @@ gives rules "tokens -> label" of at least MIN_SUPPORT and MIN_CONFIDENCE. A rule
 with no less confidence. An inverted index from a rule's rarest token finds the rules that apply; the most confident
 (then best supported, then shortest) decides; with none the url is allowed.
 
-Mining is bounded: only tokens of at least MIN_SUPPORT take part (their number is at most the tokens of an average url
-over MIN_SUPPORT), and a transaction keeps its MAX_TOKENS most telling ones, so a long url has no exponential number
-of combinations. All labelled urls are mined, not a sample. Matching uses all tokens.
+Only tokens of at least MIN_SUPPORT take part (their number is at most the tokens of an average url over MIN_SUPPORT);
+all of them do, in all labelled urls. Two steps take out combinations that can't give a rule that stays: a token all of
+whose urls have one label is a rule by itself and no part of a longer one, and tokens that occur in the same urls go as
+one through FP-growth and are told apart in the rules again. Urls with many frequent tokens beyond these have as many
+combinations as there are, and take that much time.
 
 Edge cases: a url that is null or has no `://` has an empty host and path, fits no rule and has no token; host and
 path may be empty; rows that repeat stay; with no labelled url nothing is mined; an empty table gives no rows.
@@ -21,13 +23,14 @@ Only page_id and url are read.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.005, 0.6, 10
+MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.6
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = "://([^/?#]*)([^?#]*)"
 
@@ -67,37 +70,42 @@ def given_rule(rules: list[tuple[str, str, str]], host: Column, path: Column) ->
     return F.when(best.isNotNull(), F.struct(best["rule"].alias("rule"), best["verdict"].alias("verdict")))
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> list[tuple[tuple[str, ...], str, float, float]]:
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[tuple[str, ...], str, float, float]]:
     """Rules (tokens, label, confidence, support) from rows (tokens, label); bounded by 1 / min_support, not by the rows."""
     total = labelled.count()
     if not total:
         return []
-    by_label = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    counts = labelled.select("label", F.explode("tokens").alias("token")).groupBy("token", "label").agg(F.count("*").alias("n"))
-    frequent = counts.groupBy("token").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("each")).filter(F.col("n") >= min_support * total)
+    # sums of two hashes of whole rows: tokens with the same sums occur in the same urls
+    hashes = [F.xxhash64(*c).cast("decimal(20,0)").alias(k) for k, c in (("h1", ("tokens", "label")), ("h2", ("label", "tokens")))]
+    counts = labelled.select("label", *hashes, F.explode("tokens").alias("token")).groupBy("token", "label").agg(F.count("*").alias("n"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2"))
+    frequent = counts.groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most"), F.sum("h1").alias("h1"), F.sum("h2").alias("h2")).filter(F.col("n") >= min_support * total)
     count: dict[str, int] = {}
-    telling: dict[str, float] = {}
+    alike: dict[tuple, list[str]] = {}
+    pure: list[tuple[tuple[str, ...], str, float, float]] = []
     for r in frequent.collect():  # at most (tokens of a url) / min_support rows
         count[r["token"]] = r["n"]
-        telling[r["token"]] = max(abs(r["each"].get(k, 0) / r["n"] - n / total) for k, n in by_label.items())
-    if not telling:
-        return []
-    weight = F.create_map(*[x for t, v in telling.items() for x in (F.lit(t), F.lit(v))])
-    ranked = F.sort_array(F.transform(F.filter("tokens", lambda t: F.map_contains_key(weight, t)), lambda t: F.struct(F.try_element_at(weight, t).alias("w"), t.alias("t"))), asc=False)
-    kept = F.transform(F.slice(ranked, 1, max_tokens), lambda x: x["t"])
-    items = labelled.select(F.array_append(kept, F.concat(F.lit("="), F.col("label"))).alias("items"))
+        if r["most"]["n"] == r["n"]:
+            pure.append(((r["token"],), r["most"]["label"], 1.0, r["n"] / total))
+        else:
+            alike.setdefault((r["n"], r["h1"], r["h2"]), []).append(r["token"])
+    members = {min(ts): sorted(ts) for ts in alike.values()}
+    if not members:
+        return sorted(pure)
+    used = F.create_map(*[F.lit(x) for t in members for x in (t, True)])
+    items = labelled.select(F.array_append(F.filter("tokens", lambda t: F.map_contains_key(used, t)), F.concat(F.lit("="), F.col("label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     told = model.associationRules.filter(F.element_at("consequent", 1).startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
     found = sorted(((tuple(sorted(r["antecedent"], key=lambda t: (count[t], t))), r["consequent"][0][1:], r["confidence"], r["support"]) for r in told.collect()), key=lambda r: (len(r[0]), r))
     best: dict[tuple[frozenset, str], float] = {}
-    out = []
+    out = pure
     for tokens, label, confidence, support in found:
         own = frozenset(tokens)
         parts = max((best.get((own - {t}, label), 0.0) for t in own), default=0.0)
         best[own, label] = max(confidence, parts)
         if confidence > parts:
-            out.append((tokens, label, confidence, support))
-    return out
+            each = itertools.product(*[members[t] for t in tokens])
+            out += [(tuple(sorted(ts, key=lambda t: (count[t], t))), label, confidence, support) for ts in each]
+    return sorted(out, key=lambda r: (len(r[0]), r))
 
 
 class Index:

@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from servista.llm import urls
 from servista.llm.queries import URL_RULES
 
@@ -39,6 +42,33 @@ def test_rules_meet_their_limits_by_brute_force(spark):
     assert {(t, lab) for t, lab, _, _ in found} >= {(("b", "a"), "x")} or {(frozenset(t), lab) for t, lab, _, _ in found} >= {(frozenset("ab"), "x")}
 
 
+def test_urls_of_many_frequent_tokens_by_brute_force(spark):
+    rng = random.Random(6)
+    names = [f"t{k:02d}" for k in range(12)]
+    rows = []
+    for _ in range(60):
+        own = [t for t in names if rng.random() < 0.9]
+        own += ["same"] if "t11" in own else []
+        label = "x" if {"t03", "t04"} <= set(own) else "y"
+        rows.append(([*own, "pure"] if label == "x" and rng.random() < 0.5 else own, label))
+    got = urls.mine(spark.createDataFrame(rows, "tokens array<string>, label string"), 0.1, 0.6)
+    every, best, want = [*names, "same", "pure"], {}, {}
+    sets = [(frozenset(r), lab) for r, lab in rows]
+    for k in range(1, len(every) + 1):
+        for tokens in map(frozenset, itertools.combinations(every, k)):
+            fit = [lab for r, lab in sets if tokens <= r]
+            for lab in "xy":
+                n = fit.count(lab)
+                if n < 6 or n < 0.6 * len(fit):
+                    continue
+                parts = max(best.get((tokens - {t}, lab), 0.0) for t in tokens)
+                best[tokens, lab] = max(n / len(fit), parts)
+                if n / len(fit) > parts:
+                    want[tokens, lab] = (round(n / len(fit), 9), round(n / 60, 9))
+    assert (frozenset(("t03", "t04")), "x") in want and len(got) == len(want)
+    assert {(frozenset(t), lab): (round(c, 9), round(s, 9)) for t, lab, c, s in got} == want
+
+
 def test_long_url_and_empty(spark):
     long_ = "http://h.org/" + "/".join(f"t{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300))
     pages = spark.createDataFrame([(i, long_) for i in range(20)], "page_id long, url string")
