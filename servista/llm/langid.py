@@ -28,6 +28,8 @@ from . import common
 
 SAMPLE_DOCS, DOC_CHARS, SAMPLE_CHARS = 300, 1500, 60_000
 STRETCH = 1024
+#: Symbols up to which an automaton has a dense table.
+DENSE = 256
 UND = "und"
 
 
@@ -37,9 +39,17 @@ def letters() -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of a sequence of symbols 0..width-1: table[state, symbol] is the next state, 0 if there is none."""
+    """Suffix automaton of a sequence of symbols 0..width-1, next states by (state, symbol), 0 if there is none.
+
+    Up to DENSE symbols they are a table; with more, the transitions there are (at most three a symbol of the sequence)
+    are kept in order of state * width + symbol.
+    """
 
     def __init__(self, symbols: list[int], width: int):
+        self.size, self.width = len(symbols), width
+        (self._dense if width <= DENSE else self._sparse)(symbols, width)
+
+    def _dense(self, symbols: list[int], width: int) -> None:
         most = 2 * len(symbols) + 2
         table, link, length = array("i", bytes(4 * width * most)), array("i", bytes(4 * most)), array("i", bytes(4 * most))
         link[0], states, last = -1, 1, 0
@@ -63,18 +73,59 @@ class Automaton:
                         p = link[p]
                     link[q] = link[here] = clone
             last = here
-        self.table = np.array(table[: states * width], np.int32).reshape(states, width)
-        self.size = len(symbols)
+        self.table = np.array(table[: states * width], np.int32)
+        self.root = self.table[:width]
+
+    def _sparse(self, symbols: list[int], width: int) -> None:
+        table, link, length, last = [{}], [-1], [0], 0
+        for s in symbols:
+            here = len(table)
+            table.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            p = last
+            while p != -1 and s not in table[p]:
+                table[p][s] = here
+                p = link[p]
+            if p != -1:
+                q = table[p][s]
+                if length[q] == length[p] + 1:
+                    link[here] = q
+                else:
+                    clone = len(table)
+                    table.append(dict(table[q]))
+                    link.append(link[q])
+                    length.append(length[p] + 1)
+                    while p != -1 and table[p].get(s) == q:
+                        table[p][s] = clone
+                        p = link[p]
+                    link[q] = link[here] = clone
+            last = here
+        n = sum(map(len, table))
+        key = np.fromiter((k * width + s for k, t in enumerate(table) for s in t), np.int64, n)
+        to = np.fromiter((x for t in table for x in t.values()), np.int32, n)
+        order = np.argsort(key)
+        self.table = None
+        self.key, self.to = np.append(key[order], np.iinfo(np.int64).max), np.append(to[order], np.int32(0))
+        self.root = np.zeros(width, np.int32)
+        for s, x in table[0].items():
+            self.root[s] = x
+
+    def _next(self, state: np.ndarray, s: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[state * np.int32(self.width) + s]
+        key = state.astype(np.int64) * self.width + s
+        at = np.searchsorted(self.key, key)
+        return np.where(self.key[at] == key, self.to[at], np.int32(0))
 
     def phrases(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Numbers of longest-match phrases of many sequences at once; rows[j] has the j-th symbol of each, the longest first."""
-        flat, width = self.table.ravel(), self.table.shape[1]
-        root = self.table[0]
+        root = self.root
         state, count = np.zeros(rows.shape[1], np.int32), np.zeros(rows.shape[1], np.int32)
         active = np.searchsorted(-lengths, -np.arange(len(rows)), side="left")
         for j, n in enumerate(active.tolist()):
             s = rows[j, :n]
-            to = flat[state[:n] * np.int32(width) + s]
+            to = self._next(state[:n], s)
             miss = np.flatnonzero(to == 0)
             again = root[s[miss]]
             # a phrase ends here, and a symbol that never occurs is a phrase of its own
@@ -89,8 +140,7 @@ class Model:
         self.langs = sorted(samples)
         self.letter = letters()
         known = sorted({c for t in samples.values() for c in np.unique(np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)).tolist() if self.letter[c]})
-        known = known[:250]
-        self.symbol = np.where(self.letter, len(known) + 1, 0).astype(np.int16)  # 0: any run of other characters
+        self.symbol = np.where(self.letter, len(known) + 1, 0).astype(np.int32)  # 0: any run of other characters; the last: letters never learned
         self.symbol[known] = np.arange(1, len(known) + 1)
         self.width = len(known) + 2
         self.automata = [Automaton(self.symbols(samples[k])[0].tolist(), self.width) for k in self.langs]

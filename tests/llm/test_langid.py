@@ -34,6 +34,23 @@ def test_automaton_counts_longest_matches():
         assert a.phrases(rows, n).tolist() == [longest_match_phrases(t, learned) for t in texts]
 
 
+def test_automaton_of_many_symbols():
+    rng = random.Random(4)
+    learned = [rng.randrange(700) if rng.random() < 0.5 else rng.randrange(3) for _ in range(900)]
+    texts = [[rng.randrange(3) if rng.random() < 0.7 else rng.randrange(1000) for _ in range(40)] for _ in range(30)] + [learned[k : k + 40] for k in range(0, 600, 40)]
+    rows, n = np.array(texts, np.int32).T, np.full(len(texts), 40)
+    want = [longest_match_phrases("".join(chr(c + 300) for c in t), "".join(chr(c + 300) for c in learned)) for t in texts]
+    assert langid.Automaton(learned, 1000).phrases(rows, n).tolist() == want
+
+
+def test_languages_of_more_letters_than_a_table_holds():
+    rng = random.Random(5)
+    letters = {"aa": range(0x3B1, 0x3C2), "bb": range(0x5E00, 0x5F90), "cc": range(0x6E00, 0x6F90), "dd": range(0x4E00, 0x4F90), "ee": range(0xAC00, 0xAE00)}
+    text = lambda k, n: " ".join("".join(chr(rng.choice(letters[k])) for _ in range(3)) for _ in range(n))
+    model = langid.Model({k: text(k, 1500) for k in letters})
+    assert model.predict([text(k, 20) for k in letters])[0] == [*letters]
+
+
 def language(rng, syllables, n):
     return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
 
