@@ -1,13 +1,24 @@
 """Main text of web pages by two passes over text blocks (operator 10).
 
-A page is cut into blocks at block-level tags. Pass one decides a block by its length, the density of stop words and
-of links; what stands in menus, forms, notices, comments and the like is boilerplate whatever its words are. Pass two
-lets each undecided block (short, or long with few stop words inside an article) inherit the label of its nearest
-decided neighbours, first within its own container.
+A page is cut into blocks at block-level tags; where a block stands gives it a prior: boilerplate (menus, headers,
+footers, forms, notices, adverts, comments and the like), article, or neither. What inline elements of such names hold
+is no text of their block.
+
+Pass one decides a block by its length, the density of stop words and the density of links:
+
+* with a boilerplate prior it goes, whatever its words are;
+* in an article it is main text from NEAR characters on with so many stop words, links or not; a list item or table
+  cell that is mostly links goes; the rest is left open, unless the article has no main text so far: then all of it is;
+* elsewhere it goes where it is mostly links; from LONG characters on the stop words decide; shorter ones are left open.
+
+Where stop words are under KNOWN of the words of a page's long blocks, the page is in a language not listed, and length
+and links decide alone. Pass two lets each open block inherit the label of its nearest decided neighbours: an article's
+from those of its own article (its boilerplate apart), others from all of the page; a tie is main text.
 
 Edge cases: null html is empty and gives an empty text; broken markup never fails (unclosed scripts and comments run
-to the end, stray end tags are ignored); a page without any tag is one block; rows that repeat stay; an empty table
-gives no rows. Only the columns page_id, url and html are read.
+to the end, stray end tags are ignored); a page without any tag is one block, which is left open and goes if it is
+short; nested articles count as one; rows that repeat stay; an empty table gives no rows. Only the columns page_id, url
+and html are read.
 """
 
 from __future__ import annotations
@@ -41,20 +52,29 @@ BAD_NAMES = frozenset(
     pagination pager copyright legal disclaimer toolbar skip hidden alert""".split()
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
-GOOD_NAMES = frozenset("article content main post entry story body maincontent".split())
+GOOD_NAMES = frozenset("article content main post entry story body".split())
+INLINE_TAGS = frozenset("a abbr b bdi cite code em font i ins label mark q s small span strong sub sup time u".split())
+ITEM_TAGS = frozenset("li td th dd dt option".split())
+# Names such as has-sidebar tell how a page is laid out.
+LAYOUT = frozenset("has with no without".split())
 
-#: Pass one: a block of at least LONG characters with so many stop words to the word is text; more link characters
-#: than LINKS of all are boilerplate.
-LONG, STOPS, LINKS = 70, 0.15, 0.33
+#: Pass one: characters that make a block long (elsewhere, in an article); stop words to the word of main text; share of
+#: link characters beyond which a block is mostly links; least share of stop words on pages in a listed language.
+LONG, NEAR, STOPS, LINKS, KNOWN = 70, 25, 0.15, 0.33, 0.05
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*+)>|<[!?/][^<>]*+>|[^<]+|<",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\b(hidden)\b""")
-_NAME = re.compile(r"[a-z0-9]+")
+_NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
 _LETTERS = re.compile(r"[^\W\d_]+")
-VOID = frozenset("br hr img input meta link area base col embed source track wbr p".split())
+VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
+
+
+def _names(value: str) -> list[list[str]]:
+    """The parts of each name in a class or id: post-footer and postFooter are post, footer."""
+    return [[x.lower() for x in _NAME.findall(name)] for name in value.split()]
 
 
 def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
@@ -63,30 +83,43 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
     if not attrs.strip():
         return False
     for key, a, b, c, hidden in _ATTR.findall(attrs):
-        value = (a or b or c).lower()
-        key = key.lower()
-        if hidden or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
+        value = a or b or c
+        key, low = key.lower(), value.lower()
+        if hidden or (key == "aria-hidden" and low == "true") or (key == "style" and "display:none" in low.replace(" ", "")):
             return True
-        if key == "role" and value in BAD_ROLES:
+        if key == "role" and low in BAD_ROLES:
             return True
-        if key in ("class", "id"):
-            names = set(_NAME.findall(value))
-            if names & BAD_NAMES and not (names & GOOD_NAMES and not names & {"comment", "comments"}):
-                return True
+        if key in ("class", "id") and tag not in ("body", "html"):
+            for parts in _names(value):
+                bad = BAD_NAMES.intersection(parts)
+                if not bad or parts[0] in LAYOUT:
+                    continue
+                if tag in ("article", "main") and len(parts) > 1:  # of an article that has comments or a footer
+                    continue
+                if not (bad <= {"header", "masthead"} and GOOD_NAMES.intersection(parts)):  # an article's header has its title
+                    return True
     return False
 
 
 def _is_article(tag: str, attrs: str) -> bool:
     if tag in ("article", "main"):
         return True
-    return tag in ("div", "section") and any(key.lower() in ("class", "id", "itemprop") and set(_NAME.findall((a or b or c).lower())) & {"article", "articlebody", "maincontent", "post", "entry", "story"} for key, a, b, c, _ in _ATTR.findall(attrs))
+    names = [x for key, a, b, c, _ in _ATTR.findall(attrs) if key.lower() in ("class", "id", "itemprop") for x in _names(a or b or c)] if tag in ("div", "section") else []
+    return any({"article", "post", "entry", "story"}.intersection(x) or x == ["main", "content"] or x == ["maincontent"] for x in names)
 
 
 class Block:
-    __slots__ = ("article", "bad", "label", "linked", "text")
+    __slots__ = ("article", "bad", "item", "label", "linked", "text")
 
-    def __init__(self, text: str, linked: int, bad: bool, article: int):
-        self.text, self.linked, self.bad, self.article, self.label = text, linked, bad, article, None
+    def __init__(self, text: str, linked: int, bad: bool, article: int, item: bool):
+        self.text, self.linked, self.bad, self.article, self.item, self.label = text, linked, bad, article, item, None
+
+    def mostly_links(self) -> bool:
+        return self.linked > LINKS * (len(self.text) - self.text.count(" "))
+
+    def stops(self) -> tuple[int, int]:
+        """Stop words and words."""
+        return sum(map(STOP_WORDS.__contains__, _LETTERS.findall(self.text.lower()))), self.text.count(" ") + 1
 
 
 def blocks(page: str) -> list[Block]:
@@ -94,41 +127,47 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     text: list[str] = []
     linked = n_articles = 0
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, boilerplate, article, link
+    top = ("", False, 0, False, False, False)  # tag, boilerplate, article, link, item, mute
+    stack = [top]
     open_tags: Counter[str] = Counter()
-    bad, article, link, own_bad, breaks = False, 0, False, False, 0
+    own_bad, breaks = False, 0
 
     def flush():
         nonlocal linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append(Block(joined, linked, bad or own_bad, article))
+                out.append(Block(joined, linked, top[1] or own_bad, top[2], top[4]))
             text.clear()
         linked = 0
 
     def close(tag):
-        nonlocal bad, article, link
-        while stack:
-            name, *_ = stack.pop()
+        nonlocal top
+        while len(stack) > 1:
+            name = stack.pop()[0]
             open_tags[name] -= 1
             if name == tag:
                 break
-        _, bad, article, link = stack[-1] if stack else ("", False, 0, False)
+        top = stack[-1]
+
+    def enter(*entry):
+        nonlocal top
+        top = entry
+        stack.append(entry)
+        open_tags[entry[0]] += 1
 
     for m in _TOKEN.finditer(page):
         tag = m[3] or m[6]
         if tag is None:
             part = m[0]
-            if part[0] != "<" or part == "<":
+            if (part[0] != "<" or part == "<") and not top[5]:
                 text.append(part)
-                if link:
+                if top[3]:
                     linked += len("".join(html.unescape(part).split()))
                 if breaks and not part.isspace():
                     breaks = 0
             continue
         tag = tag.lower()
-        ending = bool(m[2] or m[5])
         if tag == "br":
             breaks += 1
             text.append(" ")
@@ -140,71 +179,80 @@ def blocks(page: str) -> list[Block]:
             own_bad = False
             breaks = 0
         attrs = m[4] or m[7] or ""
-        if ending:
+        _, bad, article, link, item, mute = top
+        if m[2] or m[5]:
             if open_tags[tag]:
                 close(tag)
-        elif tag == "a":
-            if open_tags["a"]:
+        elif tag in INLINE_TAGS:
+            if tag == "a" and open_tags["a"]:
                 close("a")
-            stack.append(("a", bad, article, True))
-            open_tags["a"] += 1
-            link = True
-        elif tag in VOID:
-            own_bad = tag == "p" and _boilerplate(tag, attrs, article > 0)
-        elif tag in BLOCK_TAGS and not attrs.endswith("/"):
+                _, bad, article, link, item, mute = top
+            mute = mute or _boilerplate(tag, attrs, article > 0)
+            if tag == "a" or mute:  # others change nothing, and are often left open
+                enter(tag, bad, article, link or tag == "a", item, mute)
+        elif tag == "p":
+            own_bad = _boilerplate(tag, attrs, article > 0)
+        elif tag in BLOCK_TAGS and tag not in VOID and not attrs.endswith("/"):
             bad = bad or _boilerplate(tag, attrs, article > 0)
             if not bad and not article and _is_article(tag, attrs):
                 n_articles += 1
                 article = n_articles
-            stack.append((tag, bad, article, link))
-            open_tags[tag] += 1
+            enter(tag, bad, article, link, tag in ITEM_TAGS or (item and tag not in ("article", "main")), mute)
     flush()
     return out
 
 
-def decide(found: list[Block]) -> None:
-    """Set the label (True: main text) of each block."""
-    for b in found:
-        chars = len(b.text) - b.text.count(" ")
-        if b.bad or b.linked > LINKS * chars:
+def first_pass(found: list[Block]) -> None:
+    """Set the label (True: main text) of each block that its own words and place decide."""
+    seen = [b.stops() for b in found]
+    long_ = [x for b, x in zip(found, seen, strict=True) if len(b.text) >= LONG and not b.bad]
+    known = sum(s for s, _ in long_) >= KNOWN * sum(n for _, n in long_)
+    good = set()
+    for b, (stops, n) in zip(found, seen, strict=True):
+        prose = stops >= STOPS * n or not known
+        if b.bad:
             b.label = False
-        elif len(b.text) >= LONG:
-            said = _LETTERS.findall(b.text.lower())
-            if said and sum(map(STOP_WORDS.__contains__, said)) >= STOPS * len(b.text.split()):
-                b.label = True
-            elif not b.article:
+        elif b.article:
+            if b.mostly_links() and b.item:
                 b.label = False
-    first = [b.label for b in found]
-    n = len(found)
+            elif len(b.text) >= NEAR and prose:
+                b.label = True
+                good.add(b.article)
+        elif b.mostly_links():
+            b.label = False
+        elif len(b.text) >= LONG:
+            b.label = prose
+    for b in found:
+        if b.label is None and b.article and b.article not in good:
+            b.label = True
+
 
-    def nearest(inside: bool) -> list[tuple[int, bool | None]]:
-        """For each block the distance to, and label of, the nearest decided ones; a tie is a main text's."""
-        best: list[tuple[int, bool | None]] = [(n + 1, None)] * n
-        for order in (range(n), range(n - 1, -1, -1)):
-            last: dict[int, int] = {}
-            for i in order:
-                key = found[i].article if inside else 0
-                if first[i] is not None and not (inside and found[i].bad):
+def second_pass(found: list[Block]) -> None:
+    """Set the labels of the other blocks from their nearest decided neighbours."""
+    n = len(found)
+    best: list[tuple[int, bool]] = [(n + 1, False)] * n
+    first = [b.label for b in found]
+    for order in (range(n), range(n - 1, -1, -1)):
+        last: dict[int, int] = {}
+        for i in order:
+            key = found[i].article
+            if first[i] is not None:
+                last[0] = i
+                if key and not found[i].bad:  # boilerplate inside an article decides nothing about the text around it
                     last[key] = i
-                elif first[i] is None and key in last:
-                    d, label = abs(i - last[key]), first[last[key]]
-                    if d < best[i][0] or (d == best[i][0] and label):
-                        best[i] = (d, label)
-        return best
-
-    own, wide = nearest(True), nearest(False)
-    for i, b in enumerate(found):
-        if first[i] is None:
-            if b.article:
-                # boilerplate inside an article decides nothing about the text around it
-                b.label = own[i][1] if own[i][1] is not None else True
-            else:
-                b.label = bool(own[i][1] if own[i][1] is not None else wide[i][1])
+            elif key in last:
+                d, label = abs(i - last[key]), first[last[key]]
+                if d < best[i][0] or (d == best[i][0] and label):
+                    best[i] = (d, label)
+    for b, now, (_, label) in zip(found, first, best, strict=True):
+        if now is None:
+            b.label = label
 
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    decide(found)
+    first_pass(found)
+    second_pass(found)
     return "\n".join(b.text for b in found if b.label)
 
 

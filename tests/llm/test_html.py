@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from servista.llm import html
@@ -14,6 +16,14 @@ PAGES = {
     "unclosed script": (f"<article><p>{P}</p></article><script>{P}", [P]),
     "attributes": (f'<article><p title="a > b" data-x=\'>\'>{P}</p></article>', [P]),
     "hidden": (f'<article><p>{P}</p><div style="display: none">{P}</div><div hidden>{P}</div></article>', [P]),
+    "void tag in an advert": (f'<article><p>{P}</p><p class="advert">{P} <img src=x> {P}</p><p>{P}</p></article>', [P, P]),
+    "names of two parts": (f'<article class="post has-comments"><p>{P}</p><div class="main-sidebar">{P}</div><div class="post-footer">{P}</div><div id="articleAd">{P}</div><div class="story-related">{P}</div><header class="entry-header"><h1>Head</h1></header><p>{P}</p></article>', [P, "Head", P]),
+    "inline advert": (f'<article><p>{P} <span class="ad">Buy <b>now</b></span>{P}</p><p>a <span class="name">b</span> <em>c</em></p></article>', [f"{P} {P}", "a b c"]),
+    "paragraph of links": (f'<article><p>{P}</p><p><a href=/x>{P}</a> it is.</p><p><a href=/y>See that</a></p></article>', [P, f"{P} it is.", "See that"]),
+    "another language": ("<body><div><a href=/>Etusivu</a> <a href=/b>Uutiset</a></div><div>" + "Kissa istuu ikkunalla ja katselee satavaa lunta koko pitkän iltapäivän ajan hiljaa. " * 2 + "</div><div>Lyhyt.</div></body>", [("Kissa istuu ikkunalla ja katselee satavaa lunta koko pitkän iltapäivän ajan hiljaa. " * 2).strip(), "Lyhyt."]),
+    "nested articles": (f"<article><p>{P}</p><article class=comment><p>{P}</p></article><article><p>ok</p></article></article><p>out</p>", [P, "ok"]),
+    "only short": ("<nav><a href=/>x</a></nav><article><h1>Head</h1><p>Tiny.</p></article>", ["Head", "Tiny."]),
+    "layout names": (f'<body class="no-sidebar hidden"><div class="with-sidebar"><p>{P}</p></div></body>', [P]),
     "nothing": ("<html><nav><a href=/>x</a></nav></html>", []),
     "empty": ("", []),
     "text": (P, [P]),
@@ -26,6 +36,63 @@ def test_pages(name):
     assert html.main_text(page).split("\n") == (want or [""])
 
 
+def plain_two_passes(specs):
+    """Labels of blocks (place, text, share of links, list item), place 0: elsewhere, -1: boilerplate, k: k-th article."""
+    share = lambda t: sum(w.strip(".").lower() in html.STOP_WORDS for w in t.split()) / len(t.split())
+    long_ = [t for k, t, _, _ in specs if k >= 0 and len(t) >= 70]
+    known = sum(share(t) * len(t.split()) for t in long_) >= 0.05 * sum(len(t.split()) for t in long_)
+    first = []
+    for k, t, links, item in specs:
+        prose = not known or share(t) >= 0.15
+        if k < 0 or (links > 0.33 and (item or k == 0)):
+            first.append(False)
+        elif k > 0:
+            first.append(True if len(t) >= 25 and prose else None)
+        else:
+            first.append(prose if len(t) >= 70 else None)
+    said = list(first)
+    for i, (k, *_) in enumerate(specs):
+        if first[i] is None and k > 0 and not any(x and specs[j][0] == k for j, x in enumerate(said)):
+            first = [True if x is None and specs[j][0] == k else x for j, x in enumerate(first)]
+    out = []
+    for i, (k, *_) in enumerate(specs):
+        near = [(abs(i - j), not x, x) for j, x in enumerate(first) if x is not None and (k == 0 or specs[j][0] == k)]
+        out.append(first[i] if first[i] is not None else bool(near) and min(near)[2])
+    return out
+
+
+def test_random_pages_equal_plain_two_passes():
+    rng = random.Random(3)
+    stop, rare = ["the", "of", "and", "to", "in", "is"], ["river", "stone", "market", "winter", "signal", "harbour"]
+    changed = 0
+    for _ in range(300):
+        specs, page, of_rare = [], [], rng.choice([0.3, 0.7, 0.95, 1.0])
+        for section in range(rng.randrange(1, 5)):
+            kind = rng.choice(["plain", "bad", "article"])
+            inner = []
+            for _ in range(rng.randrange(1, 6)):
+                words = [rng.choice(rare if rng.random() < of_rare else stop) for _ in range(rng.choice([2, 3, 5, 9, 20]))]
+                n = rng.choice([0, 0, 0, len(words), len(words) // 2])
+                item = rng.random() < 0.3
+                chars = len("".join(words))
+                specs.append(({"plain": 0, "bad": -1, "article": section + 1}[kind], " ".join(words), len("".join(words[:n])) / chars, item))
+                body = f"<a href=x>{' '.join(words[:n])}</a> {' '.join(words[n:])}" if n else " ".join(words)
+                inner.append(f"<li>{body}</li>" if item else f"<p>{body}</p>")
+            page.append({"plain": "<div>%s</div>", "bad": "<nav>%s</nav>", "article": "<article>%s</article>"}[kind] % "".join(inner))
+        found = html.blocks("".join(page))
+        assert [b.text for b in found] == [t for _, t, _, _ in specs]
+        html.first_pass(found)
+        changed += any(b.label is None for b in found)
+        html.second_pass(found)
+        assert [b.label for b in found] == plain_two_passes(specs)
+    assert changed > 100
+
+
+def test_very_long_page():
+    page = "<article>" + f"<p>{P}</p>" * 20_000 + "<p>" + P * 5_000 + "</article>"
+    assert html.main_text(page).count("\n") == 20_000 and len(html.main_text(page)) == 20_000 * (len(P) + 1) + 5_000 * len(P)
+
+
 def test_hostile_pages_end():
     for page in ("<a " * 50_000, '<a href="' * 30_000, "<div>" * 50_000 + "x" + "</p>" * 10_000, "<!--" * 20_000, "<" * 100_000, "&#" * 50_000):
         html.main_text(page)
