@@ -26,8 +26,8 @@ BROADCAST_ROWS = 1_000_000
 
 #: Size that a table without an estimate is taken to have.
 UNKNOWN_BYTES = 256 << 20
-#: Rows that Spark hands to Python at once.
-ARROW_ROWS = 2000
+#: Rows, and bytes, that Spark hands to Python at once.
+ARROW_ROWS, ARROW_BYTES = 2000, 4 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -96,7 +96,10 @@ def parts(df: DataFrame, each: int = 16 << 20, least: int = 1, most: int = 100_0
 
 
 def lean_memory() -> None:
-    """Give freed memory back at once: an executor's Python workers share its limit with the JVM."""
+    """In a worker process: give freed memory back at once, as an executor's Python workers share its limit with the JVM."""
+    if _lean:
+        return
+    _lean.append(True)
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL("libc.so.6")
         libc.mallopt(-3, 8 << 20)  # blocks of 8 MB and more go back when freed
@@ -104,13 +107,15 @@ def lean_memory() -> None:
     pa.set_memory_pool(pa.system_memory_pool())
 
 
-lean_memory()
+_lean: list[bool] = []
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Have Spark hand long texts to Python in small batches, unless the session asks for smaller ones still."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 _resident: list = [None, None]
@@ -143,6 +148,7 @@ def text_only(docs: DataFrame, *cols: str) -> DataFrame:
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that the texts of each hold about step bytes; a longer text comes alone."""
+    lean_memory()
     for b in batches:
         if not b.num_rows:
             continue

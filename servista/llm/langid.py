@@ -10,14 +10,13 @@ SAMPLE_DOCS of them, up to DOC_CHARS characters each and SAMPLE_CHARS in all. Pr
 
 Edge cases: a text that is null, empty or has no letter gets `und` and score 0; equal least counts go to the
 language whose name sorts first; rows without lang are never learned from; with no labelled row at all every
-document is `und`; an empty table gives no rows. Texts are parsed in stretches of STRETCH letters.
+document is `und`; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from . import common
 
 SAMPLE_DOCS, DOC_CHARS, SAMPLE_CHARS = 300, 1500, 60_000
+#: Symbols that are parsed in one go, side by side with others; changes the time and nothing else.
 STRETCH = 1024
-#: Symbols up to which an automaton has a dense table.
-DENSE = 256
 UND = "und"
 
 
@@ -39,44 +37,14 @@ def letters() -> np.ndarray:
 
 
 class Automaton:
-    """Suffix automaton of a sequence of symbols 0..width-1, next states by (state, symbol), 0 if there is none.
+    """Suffix automaton of a sequence of symbols 0..width-1; next states by (state, symbol), 0 if there is none.
 
-    Up to DENSE symbols they are a table; with more, the transitions there are (at most three a symbol of the sequence)
-    are kept in order of state * width + symbol.
+    The transitions (at most three a symbol of the sequence) lie in one array, each state's row laid over the gaps of
+    others: the one of state x and symbol s is at base[x] + s if owner has x there.
     """
 
     def __init__(self, symbols: list[int], width: int):
         self.size, self.width = len(symbols), width
-        (self._dense if width <= DENSE else self._sparse)(symbols, width)
-
-    def _dense(self, symbols: list[int], width: int) -> None:
-        most = 2 * len(symbols) + 2
-        table, link, length = array("i", bytes(4 * width * most)), array("i", bytes(4 * most)), array("i", bytes(4 * most))
-        link[0], states, last = -1, 1, 0
-        for s in symbols:
-            here, states = states, states + 1
-            length[here] = length[last] + 1
-            p = last
-            while p != -1 and not table[p * width + s]:
-                table[p * width + s] = here
-                p = link[p]
-            if p != -1:
-                q = table[p * width + s]
-                if length[q] == length[p] + 1:
-                    link[here] = q
-                else:
-                    clone, states = states, states + 1
-                    table[clone * width : (clone + 1) * width] = table[q * width : (q + 1) * width]
-                    length[clone], link[clone] = length[p] + 1, link[q]
-                    while p != -1 and table[p * width + s] == q:
-                        table[p * width + s] = clone
-                        p = link[p]
-                    link[q] = link[here] = clone
-            last = here
-        self.table = np.array(table[: states * width], np.int32)
-        self.root = self.table[:width]
-
-    def _sparse(self, symbols: list[int], width: int) -> None:
         table, link, length, last = [{}], [-1], [0], 0
         for s in symbols:
             here = len(table)
@@ -101,48 +69,113 @@ class Automaton:
                         p = link[p]
                     link[q] = link[here] = clone
             last = here
-        n = sum(map(len, table))
-        key = np.fromiter((k * width + s for k, t in enumerate(table) for s in t), np.int64, n)
-        to = np.fromiter((x for t in table for x in t.values()), np.int32, n)
-        order = np.argsort(key)
-        self.table = None
-        self.key, self.to = np.append(key[order], np.iinfo(np.int64).max), np.append(to[order], np.int32(0))
-        self.root = np.zeros(width, np.int32)
+        self._lay(table)
+
+    def _lay(self, table: list[dict[int, int]]) -> None:
+        """Rows with most transitions first, each at the first place where all of its own are free."""
+        cells = sum(map(len, table)) + 2 * self.width
+        taken = bytearray(cells)
+        base, owner, to = np.zeros(len(table), np.int32), np.full(cells, -1, np.int32), np.zeros(cells, np.int32)
+        # the search goes on from where the last row of as many transitions found its place
+        start, wide = self.width, 0
+        for x in sorted((x for x, row in enumerate(table) if row), key=lambda x: -len(table[x])):
+            row = table[x]
+            if len(row) != wide:
+                start, wide = self.width, len(row)
+            first, *rest = sorted(row)
+            at = start
+            while True:
+                at = taken.find(0, at)
+                if at < 0 or at - first + self.width > len(taken):
+                    more = len(taken)
+                    taken.extend(bytes(more))
+                    owner, to = np.append(owner, np.full(more, -1, np.int32)), np.append(to, np.zeros(more, np.int32))
+                    at = max(at, start)
+                    continue
+                if not any(taken[at - first + s] for s in rest):
+                    break
+                at += 1
+            start = at
+            base[x] = at - first
+            for s, y in row.items():
+                k = at - first + s
+                taken[k], owner[k], to[k] = 1, x, y
+        end = int(base.max()) + self.width
+        self.base, self.owner, self.to = base, owner[:end].copy(), to[:end].copy()
+        self.root = np.zeros(self.width, np.int32)
         for s, x in table[0].items():
             self.root[s] = x
 
-    def _next(self, state: np.ndarray, s: np.ndarray) -> np.ndarray:
-        if self.table is not None:
-            return self.table[state * np.int32(self.width) + s]
-        key = state.astype(np.int64) * self.width + s
-        at = np.searchsorted(self.key, key)
-        return np.where(self.key[at] == key, self.to[at], np.int32(0))
-
-    def phrases(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Numbers of longest-match phrases of many sequences at once; rows[j] has the j-th symbol of each, the longest first."""
-        root = self.root
-        state, count = np.zeros(rows.shape[1], np.int32), np.zeros(rows.shape[1], np.int32)
-        active = np.searchsorted(-lengths, -np.arange(len(rows)), side="left")
-        for j, n in enumerate(active.tolist()):
-            s = rows[j, :n]
-            to = self._next(state[:n], s)
-            miss = np.flatnonzero(to == 0)
-            again = root[s[miss]]
-            # a phrase ends here, and a symbol that never occurs is a phrase of its own
-            count[miss] += (state[miss] > 0).astype(np.int32) + (again == 0)
-            to[miss] = again
-            state[:n] = to
-        return count + (state > 0)
+    def _next(self, state: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after symbols s, and whether a phrase starts with them."""
+        k = self.base[state] + s
+        to = np.where(self.owner[k] == state, self.to[k], 0)
+        miss = np.flatnonzero(to == 0)
+        starts = state == 0  # also after a symbol that never occurs, which is a phrase of its own
+        starts[miss] = True
+        to[miss] = self.root[s[miss]]
+        return to, starts
+
+    def phrases(self, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Numbers of longest-match phrases of sequences, each length[k] symbols from begin[k] on.
+
+        Stretches of the sequences are parsed side by side, each as if a phrase started with it. Then what goes on from
+        the stretch before is parsed until a phrase of it starts where one of the stretch's own does; from there on both
+        are the same. A stretch in which that never happens ends in another state, and the next one is taken again.
+        """
+        k = -(-length // STRETCH)
+        of = np.repeat(np.arange(len(length)), k)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
+        at, size = begin[of] + nth * STRETCH, np.minimum(length[of] - nth * STRETCH, STRETCH)
+        order = np.argsort(-size, kind="stable")
+        end, starts = np.zeros(len(of), np.int32), np.zeros((int(size.max(initial=0)), len(of)), bool)
+        state = np.zeros(len(of), np.int32)
+        for j, n in enumerate(np.searchsorted(-size[order], -np.arange(len(starts)), side="left").tolist()):
+            state[:n], starts[j, :n] = self._next(state[:n], symbols[at[order[:n]] + j])
+        end[order] = state
+        column = np.empty(len(of), np.int64)
+        column[order] = np.arange(len(of))
+        upto = np.cumsum(starts, axis=0, dtype=np.int16)
+        count = upto[-1][column].astype(np.int64) if len(of) else np.zeros(0, np.int64)
+        total, again = count.copy(), np.flatnonzero(nth > 0)
+        while len(again):
+            state, own, active, moved = end[again - 1], np.zeros(len(again), np.int64), np.arange(len(again)), []
+            for j in range(STRETCH):
+                over = size[again[active]] == j
+                if over.any():
+                    moved.append(active[over])
+                    active = active[~over]
+                if not len(active):
+                    break
+                here = again[active]
+                state[active], fresh = self._next(state[active], symbols[at[here] + j])
+                own[active] += fresh
+                met = fresh & starts[j, column[here]]
+                done = here[met]
+                count[done] = own[active[met]] + total[done] - upto[j, column[done]]
+                active = active[~met]
+            moved.append(active)
+            left = np.concatenate(moved)
+            count[again[left]] = own[left]
+            differs = left[end[again[left]] != state[left]]
+            end[again[left]] = state[left]
+            again = np.sort(again[differs]) + 1
+            again = again[(again < len(of))]
+            again = again[nth[again] > 0]
+        return np.bincount(of, count, minlength=len(length)).astype(np.int64)
 
 
 class Model:
+    """Automata of labelled texts by language. It is made once and sent to the tasks, a few megabytes a language."""
+
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        self.letter = letters()
-        known = sorted({c for t in samples.values() for c in np.unique(np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)).tolist() if self.letter[c]})
-        self.symbol = np.where(self.letter, len(known) + 1, 0).astype(np.int32)  # 0: any run of other characters; the last: letters never learned
-        self.symbol[known] = np.arange(1, len(known) + 1)
+        letter = letters()
+        known = sorted({c for t in samples.values() for c in np.unique(np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)).tolist() if letter[c]})
         self.width = len(known) + 2
+        kind = np.uint16 if self.width < 1 << 16 else np.uint32
+        self.symbol = np.where(letter, len(known) + 1, 0).astype(kind)  # 0: any run of other characters; the last: letters never learned
+        self.symbol[known] = np.arange(1, len(known) + 1)
         self.automata = [Automaton(self.symbols(samples[k])[0].tolist(), self.width) for k in self.langs]
 
     def symbols(self, text: str) -> tuple[np.ndarray, bool]:
@@ -158,21 +191,8 @@ class Model:
         n = np.array([len(s) for s, _ in parsed], np.int64)
         if not self.langs or not n.sum():
             return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
-        every = np.concatenate([s for s, _ in parsed])
-        k = -(-n // STRETCH)
-        doc = np.repeat(np.arange(len(texts)), k)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(k) - k, k)
-        begin = (np.cumsum(n) - n)[doc] + nth * STRETCH
-        length = np.minimum(n[doc] - nth * STRETCH, STRETCH)
-        order = np.argsort(-length, kind="stable")
-        doc, begin, length = doc[order], begin[order], length[order]
-        rows = np.zeros((int(length[0]), len(doc)), np.int32)
-        col, at = np.repeat(np.arange(len(doc)), length), common.ranges(np.zeros(len(doc), np.int64), length)
-        rows[at, col] = every[common.ranges(begin, length)]
-        cost = np.empty((len(texts), len(self.langs)))
-        for j, a in enumerate(self.automata):
-            total = np.bincount(doc, a.phrases(rows, length), minlength=len(texts))
-            cost[:, j] = total * math.log2(max(2, a.size)) / np.maximum(n, 1)
+        every, begin = np.concatenate([s for s, _ in parsed]), np.cumsum(n) - n
+        cost = np.stack([a.phrases(every, begin, n) * math.log2(max(2, a.size)) for a in self.automata], axis=1) / np.maximum(n, 1)[:, None]
         best = cost.argmin(axis=1)
         least = cost[np.arange(len(texts)), best]
         rest = cost.copy()
@@ -183,11 +203,6 @@ class Model:
         return [self.langs[b] if h else UND for b, h in zip(best.tolist(), has, strict=True)], np.where(has, np.clip(score, 0, 1), 0.0), np.where(has, least, 0.0)
 
 
-def model(samples: dict[str, str]) -> Model:
-    """A worker process's model of a set of samples."""
-    return common.resident(("languages", tuple(sorted(samples.items()))), lambda: Model(samples))
-
-
 def held_out(n: int, r: int) -> Column:
     """Whether crc32 of doc_id as text leaves remainder r when divided by n (a null id: no)."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n == r, F.lit(False))
@@ -215,9 +230,10 @@ def predict(docs: DataFrame, learned: dict[str, str], *keep: str) -> DataFrame:
     rows = common.text_only(docs, *keep)
     names = ["doc_id", *keep, "lang_pred", "score", "bits"]
 
+    m = Model(learned)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(learned)
-        for b in common.slices(batches, step=4 * common.STEP_BYTES):  # the more stretches, the less each step costs
+        for b in common.slices(batches, step=2 * common.STEP_BYTES):
             lang, score, bits = m.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names)
 

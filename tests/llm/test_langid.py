@@ -25,22 +25,31 @@ def test_automaton_counts_longest_matches():
     for _ in range(20):
         learned = "".join(rng.choice("abcd") for _ in range(60))
         texts = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 30))) for _ in range(9)]
-        texts.sort(key=len, reverse=True)
-        a = langid.Automaton([ord(c) - 97 for c in learned], 5)
-        n = np.array([len(t) for t in texts])
-        rows = np.zeros((n[0], len(texts)), np.int32)
-        for j, t in enumerate(texts):
-            rows[: len(t), j] = [ord(c) - 97 for c in t]
-        assert a.phrases(rows, n).tolist() == [longest_match_phrases(t, learned) for t in texts]
+        assert phrases(langid.Automaton([ord(c) - 97 for c in learned], 5), [[ord(c) - 97 for c in t] for t in texts]) == [longest_match_phrases(t, learned) for t in texts]
+
+
+def phrases(automaton, texts):
+    n = np.array([len(t) for t in texts])
+    return automaton.phrases(np.concatenate(texts).astype(np.uint16), np.cumsum(n) - n, n).tolist()
+
+
+def test_whole_texts_are_parsed_without_cuts(monkeypatch):
+    rng = random.Random(6)
+    learned = "".join(rng.choice("abcd") for _ in range(4000))
+    text = lambda n: "".join(learned[k : k + rng.randint(1, 900)] for k in (rng.randrange(4000) for _ in range(n)))
+    texts = [text(3) for _ in range(20)] + [text(60), text(20), learned, "e", "abe", text(1), "e" * 300, "", learned + learned[900:1900]]
+    want = [longest_match_phrases(t, learned) for t in texts]
+    for stretch in (langid.STRETCH, 100, 7):
+        monkeypatch.setattr(langid, "STRETCH", stretch)
+        assert phrases(langid.Automaton([ord(c) - 97 for c in learned], 6), [[ord(c) - 97 for c in t] for t in texts]) == want
 
 
 def test_automaton_of_many_symbols():
     rng = random.Random(4)
     learned = [rng.randrange(700) if rng.random() < 0.5 else rng.randrange(3) for _ in range(900)]
     texts = [[rng.randrange(3) if rng.random() < 0.7 else rng.randrange(1000) for _ in range(40)] for _ in range(30)] + [learned[k : k + 40] for k in range(0, 600, 40)]
-    rows, n = np.array(texts, np.int32).T, np.full(len(texts), 40)
     want = [longest_match_phrases("".join(chr(c + 300) for c in t), "".join(chr(c + 300) for c in learned)) for t in texts]
-    assert langid.Automaton(learned, 1000).phrases(rows, n).tolist() == want
+    assert phrases(langid.Automaton(learned, 1000), texts) == want
 
 
 def test_languages_of_more_letters_than_a_table_holds():
