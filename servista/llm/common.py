@@ -50,22 +50,45 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may have stopped already
             return
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """df as a table at path; the shuffles of writing it go at once."""
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and is safe when executors are lost."""
+    return _write(df, work_dir(df.sparkSession, name))
+
+
+@contextlib.contextmanager
+def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """materialise()'s table, for this block only."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    try:
+        yield _write(df, path)
+    finally:
+        _delete(spark, path)
 
 
 def by_key(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
