@@ -9,9 +9,31 @@ LATITUDE, LONGITUDE = (41.6, 42.1), (-87.95, -87.5)
 STATUSES = ("OPEN", "COMPLETED", "CANCELED")
 INFO_CALL = "311 INFORMATION ONLY CALL"
 
-RAW_FIELDS = (
-    "sr_number sr_type sr_short_code owner_department status origin created_date last_modified_date closed_date street_address city state zip_code ward police_district community_area latitude longitude location duplicate legacy_record legacy_sr_number"
-).split()
+# The fields of a landed record, in their order.
+RAW_FIELDS = [
+    "sr_number",
+    "sr_type",
+    "sr_short_code",
+    "owner_department",
+    "status",
+    "origin",
+    "created_date",
+    "last_modified_date",
+    "closed_date",
+    "street_address",
+    "city",
+    "state",
+    "zip_code",
+    "ward",
+    "police_district",
+    "community_area",
+    "latitude",
+    "longitude",
+    "location",
+    "duplicate",
+    "legacy_record",
+    "legacy_sr_number",
+]
 RAW_SCHEMA = ", ".join(f"{name} string" for name in RAW_FIELDS)
 METADATA = ("_ingestion_timestamp", "_source_file", "_sequence_timestamp")
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     """The row of each key with the greatest order value; rows without a key go, nulls order last, ties by content.
 
-    An aggregate, so a key with very many rows is combined before the shuffle.
+    Each key's greatest value comes from an aggregate that is combined before its shuffle, by hash where the type is of
+    fixed width. Only rows with that value (a key's last and its ties) are ordered.
     """
-    rank = F.struct(F.col(order).isNotNull().alias("has"), F.col(order).alias("order"), F.xxhash64(*df.columns).alias("content"))
-    best = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key")).agg(F.max_by(F.struct(*df.columns), rank).alias("row"))
-    return best.select("row.*")
+    rows = df.filter(F.col(key).isNotNull())
+    best = rows.groupBy(F.col(key).alias("__key")).agg(F.max(order).alias("__best"))
+    last = rows.join(best, (F.col(key) == F.col("__key")) & F.col(order).eqNullSafe(F.col("__best")))
+    ties = Window.partitionBy(key).orderBy(F.desc(F.xxhash64(*df.columns)))
+    return last.withColumn("__nth", F.row_number().over(ties)).filter("__nth = 1").select(*df.columns)
 
 
 def recent(df: DataFrame, column: str, days: int, today: Column) -> DataFrame:
@@ -24,8 +29,8 @@ def since(df: DataFrame, column: str, moment: Column) -> DataFrame:
 
 
 def changed_since(df: DataFrame, columns: list[str], moment: Column) -> DataFrame:
-    """Rows with any of the columns after a moment."""
-    return df.filter(F.greatest(*[F.col(c) for c in columns]) > moment if len(columns) > 1 else F.col(columns[0]) > moment)
+    """Rows with any of the columns after a moment; each comparison can be pushed to the scan."""
+    return df.filter(reduce(lambda a, b: a | b, [F.col(c) > moment for c in columns]))
 
 
 def date_range(df: DataFrame, column: str, start: Column, end: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -14,11 +16,13 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 
 
 def null_profile(df: DataFrame) -> DataFrame:
-    """One row a column: rows, non-null, null_rate, distinct values, and the tolerance its null rate suggests. One pass."""
-    n = F.count("*")
-    each = [F.struct(F.lit(c).alias("column"), n.alias("n_rows"), F.count(c).alias("n_values"), F.countDistinct(c).alias("n_distinct")) for c in df.columns]
+    """One row a column: rows, non-null, distinct values, the least one as a sample, null_rate, and the tolerance it suggests.
+
+    Each column has an aggregate of its own that reads no other, so rows aren't multiplied by columns.
+    """
+    each = [df.select(F.col(f"`{c}`").alias("x")).agg(F.lit(c).alias("column"), F.count("*").alias("n_rows"), F.count("x").alias("n_values"), F.countDistinct("x").alias("n_distinct"), F.min("x").cast("string").alias("sample")) for c in df.columns]
     rate = 1 - F.try_divide(F.col("n_values"), F.col("n_rows"))
-    return df.agg(F.array(*each).alias("all")).select(F.explode("all").alias("x")).select("x.*").withColumn("null_rate", F.coalesce(rate, F.lit(0.0))).withColumn("recommendation", recommendation(F.col("null_rate")))
+    return reduce(DataFrame.unionByName, each).withColumn("null_rate", F.coalesce(rate, F.lit(0.0))).withColumn("recommendation", recommendation(F.col("null_rate")))
 
 
 def recommendation(rate: Column) -> Column:
@@ -32,6 +36,30 @@ def quantiles(df: DataFrame, column: str, by: list[str] | None = None) -> DataFr
     return df.groupBy(*(by or [])).agg(*[F.percentile(column, q).alias(n) for n, q in names.items()], F.avg(column).alias("mean"))
 
 
+def median_of_smallest(df: DataFrame, column: str, group: str, k: int = 10) -> DataFrame:
+    """n and the exact median of a column in the k groups that sort first."""
+    first = df.select(group).filter(F.col(group).isNotNull()).distinct().orderBy(group).limit(k)
+    return df.join(F.broadcast(first), group, "left_semi").groupBy(group).agg(F.count("*").alias("n"), F.median(column).alias("median"))
+
+
+def breakdown(df: DataFrame, group: str, value: object, top: int = 10, column: str = "sr_type") -> DataFrame:
+    """Of the rows of one group: the most frequent values of a column, with the share of completed ones."""
+    done = F.avg(F.when(F.col("status") == "COMPLETED", 1.0).otherwise(0.0))
+    return df.filter(F.col(group) == value).groupBy(column).agg(F.count("*").alias("n"), done.alias("completed_share")).orderBy(F.desc("n"), column).limit(top)
+
+
+def insights(df: DataFrame, instant: float = 0.1, one_day: float = 24.0) -> DataFrame:
+    """One row: closed requests, those closed at once and within a day, information calls, and requests without a ward."""
+    hours = F.col("resolution_hours")
+    return df.agg(F.count(hours).alias("closed"), F.count_if(hours <= instant).alias("instant"), F.count_if(hours < one_day).alias("within_a_day"), F.count_if("is_info_call").alias("info_calls"), F.count_if(F.col("ward").isNull()).alias("without_ward"))
+
+
+def with_daily(days: DataFrame, other: DataFrame, date: str = "date", other_date: str = "date") -> DataFrame:
+    """Daily rows joined with another daily table, such as the weather's; days it lacks have nulls."""
+    other = other.withColumnRenamed(other_date, "__date")
+    return days.join(other, F.col(date) == F.col("__date"), "left").drop("__date")
+
+
 def daily_stats(df: DataFrame, column: str = "created_date", sigmas: float = 2.0) -> DataFrame:
     """Of the daily counts: mean, sample standard deviation, least, most, variation and the anomaly threshold."""
     n = df.groupBy(F.to_date(column).alias("date")).agg(F.count("*").alias("n"))

@@ -6,10 +6,10 @@ copy of a repeated value fails uniqueness. A missing column fails its check; a c
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 ACTIONS = ("fail", "warn", "drop", "info")
 
@@ -25,6 +25,7 @@ class Rule:
     low: float | None = None
     high: float | None = None
     sql: str = ""
+    allow_null: bool = True
     action: str = "warn"
     name: str = ""
 
@@ -60,17 +61,30 @@ KINDS = {
 
 
 def from_yaml_rules(items: list[dict]) -> list[Rule]:
-    """Rules from parsed YAML items: name, type, column or columns, mostly, values, min, max, value, sql, action."""
+    """Rules from parsed YAML items: name, type, column or columns, mostly, values, min, max, value, sql, allow_null, action.
+
+    Nulls are left out of value checks unless allow_null is false; then they are bad.
+    """
     out = []
     for x in items:
         kind = KINDS.get(x["type"], x["type"])
         columns = tuple(x.get("columns") or ([x["column"]] if x.get("column") else []))
-        more = {"mostly": x.get("mostly", 1.0), "values": tuple(x.get("values", ())), "low": x.get("min", x.get("value")), "high": x.get("max"), "sql": x.get("sql", ""), "action": x.get("action", "info"), "name": x.get("name", "")}
+        more = {"mostly": x.get("mostly", 1.0), "values": tuple(x.get("values", ())), "low": x.get("min", x.get("value")), "high": x.get("max"), "sql": x.get("sql", ""), "allow_null": x.get("allow_null", True), "action": x.get("action", "info"), "name": x.get("name", "")}
         each = [(c,) for c in columns] if kind == "not_null" else [columns]
         out += [Rule(kind, c, **more) for c in each]
     return out
 
 
+def from_yaml(doc: dict) -> dict[str, dict[str, list[Rule]]]:
+    """Rules by layer and table from a parsed rule file; sections whose entries have no expectations are left out."""
+    found = {}
+    for layer, tables in doc.items():
+        each = {name: from_yaml_rules(t["expectations"]) for name, t in tables.items() if isinstance(t, dict) and "expectations" in t} if isinstance(tables, dict) else {}
+        if each:
+            found[layer] = each
+    return found
+
+
 def from_json_suite(suite: dict) -> list[Rule]:
     """Rules from a parsed suite with expectations of expectation_type and kwargs."""
     out = []
@@ -86,6 +100,8 @@ def condition(r: Rule) -> Column:
     c = F.col(r.columns[0])
     if r.kind == "not_null":
         return c.isNotNull()
+    if not r.allow_null:
+        return F.coalesce(condition(replace(r, allow_null=True)), F.lit(False))
     if r.kind == "one_of":
         return F.when(c.isNotNull(), c.isin(*r.values))
     if r.kind == "greater_than":
@@ -154,6 +170,14 @@ def enforce(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df
 
 
+def enforce_counted(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, Observation]:
+    """enforce()'s rows, and how many rows break each of its rules: known once an action has run over the rows."""
+    drop = [r for r in rules if r.action == "drop"]
+    seen = Observation()
+    counted = df.observe(seen, F.count("*").alias("rows"), *[F.count_if(~F.coalesce(condition(r), F.lit(True))).alias(r.label) for r in drop])
+    return enforce(counted, drop), seen
+
+
 class RuleViolation(Exception):
     """A rule with action fail doesn't hold."""
 
@@ -165,6 +189,33 @@ def assert_rules(results: DataFrame) -> None:
         raise RuleViolation(", ".join(sorted(bad)))
 
 
+def ordered(results: DataFrame) -> DataFrame:
+    """Failed rules first, then by column and rule."""
+    return results.orderBy("success", "column", "rule")
+
+
+def across(spark: SparkSession, rules: list[Rule], tables: dict[str, DataFrame]) -> DataFrame:
+    """Rules of kind sql that compare several tables, given by the names that the SQL has for them; one row a rule."""
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    try:
+        each = [spark.sql(f"SELECT CAST(({r.sql}) AS BIGINT) AS good").select(F.lit(r.label).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.column).alias("column"), F.lit(r.action).alias("action"), F.lit(1).cast("long").alias("checked"), F.coalesce("good", F.lit(0)).alias("good")) for r in rules]
+    finally:
+        for name in tables:
+            spark.catalog.dropTempView(name)
+    return reduce(DataFrame.unionByName, each).withColumn("success", F.col("good") == 1)
+
+
+def save_report(results: DataFrame, path: str, run: str) -> None:
+    """Keep a run's results (or summaries) as a part of a report table; a repeated run replaces its part."""
+    results.write.mode("overwrite").parquet(f"{path}/run={run}")
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """All runs' results, with the column run."""
+    return spark.read.option("basePath", path).parquet(f"{path}/run=*").withColumn("run", F.col("run").cast("string"))
+
+
 def summary(results: DataFrame, layer: str) -> DataFrame:
     """evaluated, successful, failed and success_pct of one layer."""
     n, good = F.count("*"), F.count_if("success")

@@ -126,5 +126,8 @@ def request_type_summary(requests: DataFrame) -> DataFrame:
 
 
 def write_gold(df: DataFrame, path: str, sort_by: list[str], rows_per_file: int = 2_000_000) -> None:
-    """Partitioned by date, one writer for each date, sorted within files by the keys that readers filter on."""
-    df.repartition("date").sortWithinPartitions("date", *sort_by).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("date").parquet(path)
+    """Partitioned by date, sorted within files by the keys that readers filter on.
+
+    Rows of a date come together; adaptive execution splits a date that is too large for one writer and merges small ones.
+    """
+    df.hint("rebalance", "date").sortWithinPartitions("date", *sort_by).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("date").parquet(path)

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-from servista.functions import clean
 from servista.functions.dates import fractional_hours
 from servista.operators import changes, history, profile, quality
 from servista.operators.history import END, START
 from servista.plans import forecast, gold, monitor, suites
 from servista.plans.adapter import REQUESTS_SQL as R, VERSIONS_SQL as V, requests, table, versions
+from servista.plans.registry import query
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 NOW = "2024-03-01 00:00:00"
 _CAL = "CAST(dayofweek(date) + 1 AS INTEGER) AS day_of_week, CAST(month(date) AS INTEGER) AS month"
 _WEEKEND = "CAST(dayofweek(date) IN (0, 6) AS INTEGER) AS is_weekend"
@@ -24,16 +20,6 @@ def _now():
     return F.lit(NOW).cast("timestamp")
 
 
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _days(df: DataFrame, column: str = "date") -> DataFrame:
     """Dates as text, so that both engines hash them alike."""
     return df.withColumn(column, F.col(column).cast("string"))
@@ -170,26 +156,6 @@ def page(spark, sf_dir):
     return changes.page(table(spark, sf_dir, "orders"), [F.desc("o_orderdate"), "o_orderkey"], 20, 40).select("o_orderkey", "o_orderdate")
 
 
-def _raw(spark):
-    """Hand-made raw rows that meet every rule of standardisation."""
-    base = dict.fromkeys(clean.RAW_FIELDS) | {"sr_number": "SR1", "sr_type": " Pothole ", "status": " open ", "created_date": "2024-01-01T10:00:00.000", "ward": "28", "latitude": "41.8", "longitude": "-87.6", "origin": " web "}
-    edits = [{}, {"sr_number": None}, {"created_date": "not a time"}, {"sr_type": None}, {"status": None}, {"status": "In Progress"}, {"ward": "28.0"}, {"ward": "abc"}, {"latitude": "43"}, {"longitude": "-80"}, {"latitude": "41.6", "longitude": "-87.95"}, {"sr_type": "311 INFORMATION ONLY CALL "}, {"closed_date": "2024-01-02 11:30:00", "status": "Completed"}, {"last_modified_date": "2024-01-03T00:00:00", "duplicate": "true", "legacy_record": "no idea"}]
-    rows = [tuple((base | e | ({"sr_number": f"SR{i}"} if "sr_number" not in e else {}))[c] for c in clean.RAW_FIELDS) for i, e in enumerate(edits)]
-    return spark.createDataFrame(rows, clean.RAW_SCHEMA).withColumn("_ingestion_timestamp", _now()).withColumn("_source_file", F.lit("hand"))
-
-
-_STAGED = """VALUES ('SR0','Pothole','OPEN',28,41.8,-87.6,'WEB',NULL,false,'2024-01-01 10:00:00'), ('SR6','Pothole','OPEN',NULL,41.8,-87.6,'WEB',NULL,false,'2024-01-01 10:00:00'), ('SR7','Pothole','OPEN',NULL,41.8,-87.6,'WEB',NULL,false,'2024-01-01 10:00:00'),
- ('SR8','Pothole','OPEN',28,NULL,NULL,'WEB',NULL,false,'2024-01-01 10:00:00'), ('SR9','Pothole','OPEN',28,NULL,NULL,'WEB',NULL,false,'2024-01-01 10:00:00'), ('SR10','Pothole','OPEN',28,41.6,-87.95,'WEB',NULL,false,'2024-01-01 10:00:00'),
- ('SR11','311 INFORMATION ONLY CALL','OPEN',28,41.8,-87.6,'WEB',NULL,true,'2024-01-01 10:00:00'), ('SR12','Pothole','COMPLETED',28,41.8,-87.6,'WEB',NULL,false,'2024-01-02 11:30:00'), ('SR13','Pothole','OPEN',28,41.8,-87.6,'WEB',true,false,'2024-01-03 00:00:00')"""
-
-
-@query(f"""SELECT col0 AS sr_number, col1 AS sr_type, col2 AS status, CAST(col3 AS INTEGER) AS ward, CAST(col4 AS DOUBLE) AS latitude, CAST(col5 AS DOUBLE) AS longitude, col6 AS origin,
- CAST(col7 AS BOOLEAN) AS is_duplicate, col8 AS is_info_call, col9 AS sequence FROM ({_STAGED})""")
-def staging_clean(spark, sf_dir):
-    rows = clean.valid(clean.stage(_raw(spark)))
-    return rows.select("sr_number", "sr_type", "status", "ward", "latitude", "longitude", "origin", "is_duplicate", "is_info_call", F.date_format("_sequence_timestamp", "yyyy-MM-dd HH:mm:ss").alias("sequence"))
-
-
 @query(f"""WITH {V} SELECT count(DISTINCT sr_number) AS total_unique_requests, count(*) AS total_versions, count(*) FILTER (version_end IS NULL) AS current_versions, count(*) FILTER (version_end IS NOT NULL) AS historical_versions,
  max(version_start) AS latest_version_start, round(count(*)::DOUBLE / count(DISTINCT sr_number), 2) AS avg_versions_per_request, CASE WHEN round(count(*)::DOUBLE / count(DISTINCT sr_number), 2) BETWEEN 1.0 AND 2.0 THEN 'HEALTHY' ELSE 'INVESTIGATE' END AS version_rate_status FROM v""")
 def version_stats(spark, sf_dir):
@@ -213,11 +179,11 @@ def status_distribution(spark, sf_dir):
     return monitor.status_distribution(requests(spark, sf_dir)).withColumn("pct", F.col("pct").cast("double"))
 
 
-@query(f"""WITH {R} SELECT c AS "column", count(*) AS n_rows, count(x) AS n_values, count(DISTINCT x) AS n_distinct, 1 - count(x)::DOUBLE / count(*) AS null_rate,
+@query(f"""WITH {R} SELECT c AS "column", count(*) AS n_rows, count(x) AS n_values, count(DISTINCT x) AS n_distinct, min(x) AS sample, 1 - count(x)::DOUBLE / count(*) AS null_rate,
  CASE WHEN 1 - count(x)::DOUBLE / count(*) < 0.01 THEN 'critical' WHEN 1 - count(x)::DOUBLE / count(*) < 0.05 THEN 'required' WHEN 1 - count(x)::DOUBLE / count(*) < 0.10 THEN 'mostly' WHEN 1 - count(x)::DOUBLE / count(*) < 0.15 THEN 'optional' ELSE 'nullable' END AS recommendation
- FROM (SELECT unnest(['status', 'ward', 'closed_date']) AS c, unnest([status, ward::VARCHAR, closed_date::VARCHAR]) AS x FROM r) GROUP BY c""")
+ FROM (SELECT unnest(['status', 'ward', 'closed_date']) AS c, unnest([status, lpad(ward::VARCHAR, 2, '0'), closed_date::VARCHAR]) AS x FROM r) GROUP BY c""")
 def profile_nulls(spark, sf_dir):
-    return profile.null_profile(requests(spark, sf_dir).select("status", "ward", "closed_date"))
+    return profile.null_profile(requests(spark, sf_dir).select("status", F.lpad(F.col("ward").cast("string"), 2, "0").alias("ward"), "closed_date"))
 
 
 @query(f"WITH {R} SELECT sr_type AS value, count(*) AS n, count(*) * 100.0::DOUBLE / sum(count(*)) OVER () AS pct FROM r GROUP BY sr_type")
@@ -300,7 +266,8 @@ def hourly_counts(spark, sf_dir):
 
 
 def _silver_results(spark, sf_dir):
-    rows = requests(spark, sf_dir).withColumn("latitude", F.lit(41.8)).withColumn("longitude", F.lit(-87.6))
+    key = F.col("sr_number")
+    rows = requests(spark, sf_dir).withColumn("latitude", F.when(key % 9 != 0, 41 + (key % 100) / 100)).withColumn("longitude", -87 - (key % 100) / 100)
     return quality.evaluate(rows, suites.SILVER)
 
 
@@ -318,7 +285,7 @@ def _silver_sql() -> str:
     items = [("exists", c, "info", "max(1)", "max(1)", 1) for c in ("sr_number", "created_date", "sr_type", "status", "ward")]
     items += [("not_null", c, "fail", n, f"count({c})", 1) for c in ("sr_number", "created_date", "sr_type", "status", "ward")]
     items += [("one_of", "status", "fail", "count(status)", "count(*) FILTER (status IN ('OPEN', 'COMPLETED', 'CANCELED'))", 1)]
-    items += [("between", "ward", "fail", "count(ward)", "count(*) FILTER (ward BETWEEN 1 AND 50)", 0.99), ("between", "latitude", "fail", n, n, 0.99), ("between", "longitude", "fail", n, n, 0.99)]
+    items += [("between", "ward", "fail", "count(ward)", "count(*) FILTER (ward BETWEEN 1 AND 50)", 0.99), ("between", "latitude", "fail", "count(*) FILTER (sr_number % 9 <> 0)", "count(*) FILTER (sr_number % 9 <> 0 AND sr_number % 100 >= 60)", 0.99), ("between", "longitude", "fail", n, "count(*) FILTER (sr_number % 100 BETWEEN 50 AND 95)", 0.99)]
     items += [("unique", "sr_number", "fail", "count(sr_number)", "(SELECT count(*) FROM (SELECT sr_number FROM r GROUP BY sr_number HAVING count(*) = 1))", 1)]
     size = f"SELECT 'silver', 'row_count:', 'row_count', '', 'fail', {n}, {n}, {n} >= 1000 FROM r"
     return _checks("silver", items, "r") + " UNION ALL " + size
@@ -329,7 +296,7 @@ def _gold_sql() -> str:
     items = [("exists", c, "info", "max(1)", "max(1)", 1) for c in ("date", "ward", "sr_type", "total_requests", "completion_rate")]
     items += [("not_null", c, "fail", n, f"count({c})", 1) for c in ("date", "ward", "sr_type", "total_requests")]
     items += [("between", "total_requests", "fail", n, "count(*) FILTER (total_requests >= 1)", 1), ("between", "completion_rate", "fail", n, "count(*) FILTER (completion_rate BETWEEN 0 AND 1)", 1), ("between", "ward", "warn", n, "count(*) FILTER (ward BETWEEN 1 AND 50)", 1)]
-    items += [("unique_combination", "date,ward,sr_type,is_info_call", "fail", n, n, 1)]
+    items += [("unique_combination", "date,ward,sr_type,is_info_call", "fail", n, "(SELECT count(*) FROM (SELECT count(*) AS k FROM g GROUP BY date, ward, sr_type, is_info_call) WHERE k = 1)", 1)]
     return _checks("gold", items, "g") + f" UNION ALL SELECT 'gold', 'row_count:', 'row_count', '', 'warn', {n}, {n}, {n} >= 100 FROM g"
 
 
@@ -368,7 +335,7 @@ def dq_failed(spark, sf_dir):
 
 
 @query(f"""WITH {R}, {_G} SELECT 'row_retention' AS "check", count(*) AS a, (SELECT count(*) FROM orders) AS b, count(*) >= 0.95 * (SELECT count(*) FROM orders) AS success FROM r
- UNION ALL SELECT 'count_consistency', (SELECT CAST(sum(total_requests) AS BIGINT) FROM g WHERE date >= DATE '2001-08-01' - 7), (SELECT count(*) FROM r WHERE date >= DATE '2001-08-01' - 7), true""")
+ UNION ALL SELECT 'count_consistency', (SELECT CAST(sum(total_requests) AS BIGINT) FROM g WHERE date >= DATE '2001-08-01' - 7), (SELECT count(*) FROM r WHERE date >= DATE '2001-08-01' - 7), abs((SELECT sum(total_requests) FROM g WHERE date >= DATE '2001-08-01' - 7) - (SELECT count(*) FROM r WHERE date >= DATE '2001-08-01' - 7)) < 100""")
 def cross_layer_checks(spark, sf_dir):
     rows = requests(spark, sf_dir)
     a = quality.row_retention(rows, table(spark, sf_dir, "orders")).toDF("a", "b", "success")
@@ -376,15 +343,13 @@ def cross_layer_checks(spark, sf_dir):
     return a.select(F.lit("row_retention").alias("check"), "*").unionByName(b.select(F.lit("count_consistency").alias("check"), "*"))
 
 
-@query("SELECT 14 AS total_records, 1 AS null_sr_number, 0 AS null_created_date, 0 AS null_ward, 2 AS invalid_coordinates, 0 AS duplicate_keys, '2024-01-01T10:00:00.000' AS first_date, 'not a time' AS last_date, false AS is_valid")
-def validate_records(spark, sf_dir):
-    out = quality.validate_records(_raw(spark))
-    return out.select(*[F.col(c).cast("int").alias(c) if t == "bigint" else F.col(c) for c, t in out.dtypes])
-
-
 @query(f"""WITH {R}, d AS (SELECT date, count(*) AS y FROM r GROUP BY date), p AS (SELECT date, y, lag(y, 7) OVER (ORDER BY date) AS yhat FROM d), e AS (SELECT *, y - yhat AS err FROM p WHERE yhat IS NOT NULL)
  SELECT count(*) AS n, round(avg(abs(err) / y) * 100, 6) AS mape, round(sqrt(avg(err * err)), 6) AS rmse FROM e""")
 def forecast_metrics(spark, sf_dir):
     daily = requests(spark, sf_dir).groupBy(F.to_date("created_date").alias("ds")).agg(F.count("*").alias("y"))
     out = forecast.accuracy(forecast.seasonal_naive(daily, 7))
     return out.select("n", F.round("mape", 6).alias("mape"), F.round("rmse", 6).alias("rmse"))
+
+
+from servista.plans import queries_flow, queries_quality  # noqa: E402, F401
+from servista.plans.registry import ORACLE_SQL, QUERIES  # noqa: E402, F401

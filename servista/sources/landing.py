@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from datetime import datetime
+from datetime import datetime, timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servista.functions.clean import RAW_SCHEMA
-from servista.sources.rest import Record
+from servista.sources.rest import ApiClient, IncrementalLoader, Record, chunks
 
 
 def write_landing(records: list[Record], folder: str, kind: str = "incremental", now: datetime | None = None, part: int = 0) -> str:
@@ -23,6 +23,21 @@ def write_landing(records: list[Record], folder: str, kind: str = "incremental",
     return str(path)
 
 
+def initial_load(client: ApiClient, folder: str, years: int = 2, now: datetime | None = None, size: int = 50_000, most_files: int = 20) -> list[str]:
+    """Land all records created in the last years, a file for each chunk; the files."""
+    now = now or datetime.now()
+    where = f"created_date >= '{now - timedelta(days=365 * years):%Y-%m-%d}T00:00:00'"
+    return [write_landing(got, folder, "initial", now, k) for k, got in enumerate(chunks(client, where, size, most_files))]
+
+
+def incremental_load(loader: IncrementalLoader, folder: str, now: datetime | None = None) -> str | None:
+    """Land what changed since the loader's watermark, then move the watermark; the file, None if nothing changed."""
+    got = loader.load(now=now)
+    path = write_landing(got, folder, "incremental", now) if got else None
+    loader.commit()
+    return path
+
+
 def with_metadata(df: DataFrame) -> DataFrame:
     return df.withColumn("_ingestion_timestamp", F.current_timestamp()).withColumn("_source_file", F.col("_metadata.file_path"))
 

@@ -47,18 +47,29 @@ class ApiError(Exception):
     """The API answered with an error status."""
 
 
+@dataclass(frozen=True)
+class Request:
+    """What is asked of the API: the filter, projection, order and page are the server's work."""
+
+    where: str | None = None
+    select: str | None = None
+    order: str = "created_date DESC"
+    offset: int = 0
+    limit: int = 0
+
+    def url(self, config: ApiConfig) -> str:
+        """A limit of 0 means the page size. Names of the parameters are fixed by the API."""
+        given = [("$order", self.order), ("$offset", self.offset), ("$limit", self.limit or config.page_size), ("$where", self.where), ("$select", self.select)]
+        return f"{config.base_url}?{urllib.parse.urlencode([(k, v) for k, v in given if v is not None])}"
+
+
 class ApiClient:
     def __init__(self, config: ApiConfig, get: Fetch = http_get, sleep: Callable[[float], None] = time.sleep):
         self.config, self.get, self.sleep = config, get, sleep
 
-    def query_url(self, where: str | None = None, select: str | None = None, order: str = "created_date DESC", limit: int | None = None, offset: int = 0) -> str:
-        """The filter, projection, order and page are the server's work; a limit of 0 or None means the page size."""
-        args = {"$order": order, "$offset": offset, "$limit": limit or self.config.page_size} | ({"$where": where} if where else {}) | ({"$select": select} if select else {})
-        return f"{self.config.base_url}?{urllib.parse.urlencode(args)}"
-
     def page(self, where: str | None = None, offset: int = 0, limit: int | None = None) -> list[Record]:
         headers = {"Accept": "application/json"} | ({"X-App-Token": self.config.app_token} if self.config.app_token else {})
-        url, body = self.query_url(where, limit=limit, offset=offset), b""
+        url, body = Request(where, offset=offset, limit=limit or 0).url(self.config), b""
         for attempt in range(self.config.max_retries + 1):
             status, body = self.get(url, headers, self.config.timeout)
             if status not in RETRY_STATUS:
@@ -104,6 +115,16 @@ class ApiClient:
         return [*self.all(where)] or [*self.all()]
 
 
+def fetch_recent(config: ApiConfig, days: int = 7) -> list[Record]:
+    """The records created in the last days."""
+    return ApiClient(config).recent(days)
+
+
+def fetch_since(config: ApiConfig, moment: str) -> list[Record]:
+    """The records created after a moment."""
+    return ApiClient(config).since(moment)
+
+
 def latest_records(records: Iterator[Record], key: str = "sr_number", order: str = "last_modified_date") -> list[Record]:
     """Each key's record with the greatest order value (absent and null ones are least, the first seen wins ties); keyless ones go."""
     best: dict[object, Record] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from servista.functions.clean import RAW_SCHEMA, stage, valid
@@ -29,14 +29,23 @@ def append(stream: DataFrame, table: str, checkpoint: str, continuous: str | Non
 
 
 def append_batches(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """The same by foreachBatch: each batch is a folder of its own, written anew when it is repeated."""
+    """The same by foreachBatch: each batch is a folder of its own, written anew when it is repeated, and a row of the
+    table's batch log (see batch_history)."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+        seen = Observation()
+        batch.observe(seen, F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{table}/batch={number}")
+        done = batch.sparkSession.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(seen.get["rows"]).cast("long").alias("rows"), F.current_timestamp().alias("written_at"))
+        done.coalesce(1).write.mode("overwrite").parquet(f"{table}_batches/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def batch_history(spark: SparkSession, table: str) -> DataFrame:
+    """Number, rows and time of each batch that append_batches wrote, the latest first."""
+    return spark.read.parquet(f"{table}_batches").select("number", "rows", "written_at").orderBy(F.desc("number"))
+
+
 def staged_stream(spark: SparkSession, bronze: str) -> DataFrame:
     """Valid, standardised rows of the bronze table as they arrive."""
     return valid(stage(spark.readStream.schema(spark.read.parquet(bronze).schema).parquet(bronze)))

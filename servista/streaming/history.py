@@ -1,63 +1,82 @@
 """Keeping a Type-2 history up to date from a stream of changes without a table format that can merge.
 
 Keys are dealt into a fixed number of hash buckets. The change log and the history are folders by bucket; a batch
-appends its changes to the log and rebuilds just the buckets it touches from the log, into a new version of each.
-A pointer file names the versions that count, and is replaced at the end, so readers see all of a batch or none.
+appends its changes to the log and rebuilds just the buckets it touches from their log, into a new version of each.
+A pointer file names the versions that count. Pointers are numbered, never changed, and come to be by a rename, so readers
+see all of a batch or none, and a crash at any point leaves the table as of the batch before.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from servista.operators.history import apply_changes
 
 
 class HistoryTable:
-    def __init__(self, spark: SparkSession, root: str, key: str, sequence: str, buckets: int = 64, **options):
-        self.spark, self.root, self.key, self.sequence, self.buckets, self.options = spark, root.rstrip("/"), key, sequence, buckets, options
+    """like: the schema of the changes, with which a table that took in nothing yet can be read."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str, sequence: str, buckets: int = 64, like: T.StructType | None = None, **options):
+        self.spark, self.root, self.key, self.sequence, self.buckets, self.like, self.options = spark, root.rstrip("/"), key, sequence, buckets, like, options
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _pointers(self) -> list[int]:
+        fs, p = self._fs(f"{self.root}/pointers")
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
     def _pointer(self) -> dict[str, int]:
-        fs, p = self._fs(f"{self.root}/pointer.json")
-        if not fs.exists(p):
+        """Bucket -> version of the highest pointer."""
+        found = self._pointers()
+        if not found:
             return {}
-        return json.loads(self.spark.read.text(f"{self.root}/pointer.json", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/pointers/{found[-1]:012d}.json", wholetext=True).first()[0])
 
     def _point(self, versions: dict[str, int]) -> None:
-        fs, new = self._fs(f"{self.root}/_pointer.new")
+        number = max(self._pointers(), default=-1) + 1
+        fs, new = self._fs(f"{self.root}/pointers/_{uuid.uuid4().hex}")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(versions).encode()))
         out.close()
-        _, at = self._fs(f"{self.root}/pointer.json")
-        fs.delete(at, False)
-        fs.rename(new, at)
+        if not fs.rename(new, self._fs(f"{self.root}/pointers/{number:012d}.json")[1]):
+            raise OSError(f"another writer made pointer {number} of {self.root}")
+
+    def _history(self, changes: DataFrame) -> DataFrame:
+        return apply_changes(changes, self.key, self.sequence, **self.options)
 
     def add(self, batch: DataFrame, number: int) -> None:
         """Take in one batch; taking it in again changes nothing."""
+        self.like = self.like or batch.schema
         log = f"{self.root}/log"
-        dealt = batch.filter(F.col(self.key).isNotNull()).withColumn("__bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
-        dealt.write.mode("overwrite").parquet(f"{log}/batch={number}")
-        touched = sorted(r[0] for r in self.spark.read.parquet(f"{log}/batch={number}").select("__bucket").distinct().collect())
+        bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+        dealt = batch.filter(F.col(self.key).isNotNull()).withColumn("__bucket", bucket)
+        dealt.write.mode("overwrite").partitionBy("__bucket").parquet(f"{log}/batch={number}")
+        fs, p = self._fs(f"{log}/batch={number}")
+        touched = sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(p) if x.isDirectory())
         if not touched:
             return
-        changes = self.spark.read.parquet(log).filter(F.col("__bucket").isin(touched)).drop("batch")
-        history = apply_changes(changes.drop("__bucket"), self.key, self.sequence, **self.options)
-        history = history.withColumn("__bucket", F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int"))
+        changes = self.spark.read.schema(T.StructType([*batch.schema, T.StructField("batch", T.LongType()), T.StructField("__bucket", T.IntegerType())])).parquet(log)
+        history = self._history(changes.filter(F.col("__bucket").isin(touched)).select(*batch.columns)).withColumn("__bucket", bucket)
         history.write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.root}/history/version={number}")
         self._point(self._pointer() | {str(b): number for b in touched})
 
     def read(self) -> DataFrame:
         """The history as of the last finished batch."""
         pointer = self._pointer()
-        paths = [f"{self.root}/history/version={v}/__bucket={b}" for b, v in pointer.items()]
-        return self.spark.read.parquet(*paths)
+        if pointer:
+            return self.spark.read.parquet(*[f"{self.root}/history/version={v}/__bucket={b}" for b, v in pointer.items()])
+        if self.like is None:
+            raise ValueError("the table took in nothing yet; name the schema of its changes")
+        return self._history(self.spark.createDataFrame([], self.like))
 
     def follow(self, changes: DataFrame, checkpoint: str) -> StreamingQuery:
         """Take in all that a stream of changes has now, batch by batch."""
+        self.like = self.like or changes.schema
         return changes.writeStream.foreachBatch(self.add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

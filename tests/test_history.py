@@ -88,6 +88,48 @@ def test_batches_equal_one_batch(spark, tmp_path):
     assert result(table.read()) == whole
 
 
+def test_a_crash_keeps_the_batch_before(spark, tmp_path, monkeypatch):
+    rows = [(f"k{i}", at(i), "OPEN", None, at(i)) for i in range(20)]
+    make = lambda: HistoryTable(spark, str(tmp_path / "h"), "k", "seq", buckets=4, track=["status"], except_columns=("seq", "_ingestion_timestamp"), like=feed(spark, []).schema)
+    assert make().read().count() == 0
+    make().add(feed(spark, rows), 0)
+    for step in ("_point", "_history"):  # before the pointer is made, and before the history is
+        with monkeypatch.context() as m:
+            m.setattr(HistoryTable, step, lambda *a: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                make().add(feed(spark, [("k1", at(99), "DONE", None, at(99))]), 1)
+        assert make().read().count() == 20
+    make().add(feed(spark, [("k1", at(99), "DONE", None, at(99))]), 1)
+    make().add(feed(spark, [("k2", at(99), "DONE", None, at(99))]), 2)
+    got = make().read()
+    assert got.count() == 22 and {r.k for r in got.collect()} == {r[0] for r in rows}
+
+
+def test_a_batch_reads_the_log_of_its_buckets(spark, tmp_path):
+    table = HistoryTable(spark, str(tmp_path / "h"), "k", "seq", buckets=8, track=["status"], except_columns=("seq", "_ingestion_timestamp"))
+    table.add(feed(spark, [(f"k{i}", at(i), "OPEN", None, at(i)) for i in range(40)]), 0)
+    seen = []
+    table._history = lambda changes, f=table._history: seen.append(sorted(changes.select(F.input_file_name()).distinct().toPandas().iloc[:, 0])) or f(changes)
+    table.add(feed(spark, [("k1", at(99), "DONE", None, at(99))]), 1)
+    buckets = {x.split("__bucket=")[1].split("/")[0] for x in seen[0]}
+    assert len(buckets) == 1
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans(spark, tmp_path):
+    spark.createDataFrame([(1, at(0), at(1))], "k long, a timestamp, b timestamp").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    pushed = plan_of(changes.changed_since(df, ["a", "b"], F.lit(at(2)))).split("PushedFilters: ")[1].split("]")[0]
+    assert "GreaterThan(a" in pushed and "GreaterThan(b" in pushed and "Or(" in pushed
+    assert "SortAggregate" not in plan_of(changes.latest_per_key(df, "k", "a"))
+    from servista.operators import profile
+
+    assert "Expand" not in plan_of(profile.null_profile(df))
+
+
 @pytest.mark.parametrize("h", [59 / 60, 61 / 60, -61 / 60])
 def test_hours_are_cut_towards_zero(spark, h):
     from servista.functions.dates import hours_between

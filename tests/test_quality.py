@@ -68,3 +68,22 @@ def test_report(df):
     s = q.summary(q.evaluate(df, [q.rule("not_null", "s"), q.rule("exists", "k")]), "one")
     assert s.first().success_pct == 50.0 and '"layer":"one"' in q.report(s).first().report
     assert q.failed({"one": q.evaluate(df, [q.rule("not_null", "s")])}).select(F.length("details")).first()[0] <= 200
+
+
+def test_rule_file(df):
+    doc = {"source": {"name": "x"}, "bronze": {"t": {"expectations": [{"name": "n", "type": "between", "column": "x", "min": 5, "max": 50, "allow_null": False}]}}, "monitoring": {"freshness": {"warning_hours": 24}}}
+    rules = q.from_yaml(doc)
+    assert list(rules) == ["bronze"] and results(df, rules["bronze"]["t"]) == {"n": (4, 3, False)}
+    assert [r.success for r in q.ordered(q.evaluate(df, [q.rule("exists", "k"), q.rule("not_null", "s")])).collect()] == [False, True]
+
+
+def test_dropped_rows_are_counted(df):
+    kept, seen = q.enforce_counted(df, [q.rule("not_null", "k", action="drop"), q.rule("between", "x", high=10, action="drop")])
+    assert kept.count() == 2 and seen.get == {"rows": 4, "not_null:k": 1, "between:x": 1}
+
+
+def test_prophet_is_optional(df):
+    from servista.plans import forecast
+
+    with pytest.raises(RuntimeError, match="prophet"):
+        forecast.prophet(df)

@@ -41,7 +41,7 @@ def test_bound_retry_and_error():
 
 
 def test_query_url():
-    url = Server(0).client(app_token="t").query_url("a > '1'", "a,b", limit=0, offset=3)
+    url = rest.Request("a > '1'", "a,b", limit=0, offset=3).url(rest.ApiConfig("http://x/y", page_size=10))
     assert "%24limit=10" in url and "%24offset=3" in url and "%24where=a+%3E+%271%27" in url and "%24select=a%2Cb" in url
 
 
@@ -101,17 +101,39 @@ def test_bronze_and_staged_streams(spark, tmp_path):
 
 
 def test_literal_status_names_keep_nothing(spark):
-    from servista.plans.queries import _raw
+    from servista.plans.adapter import raw
 
-    assert clean.valid(clean.stage(_raw(spark)), ("Open", "Completed", "Canceled")).count() == 0
+    assert clean.valid(clean.stage(raw(spark, "/root/testdata/sf0.001")), ("Open", "Completed", "Canceled")).count() == 0
+
+
+def test_config_from_the_environment(monkeypatch):
+    monkeypatch.setenv("OPENDATA_URL", "http://x")
+    assert rest.ApiConfig.from_env() == rest.ApiConfig("http://x")
+    monkeypatch.setenv("OPENDATA_APP_TOKEN", "t")
+    assert rest.ApiConfig.from_env().app_token == "t"
+
+
+def test_fetchers_ask_for_what_they_say(monkeypatch):
+    asked = []
+    monkeypatch.setattr(rest.ApiClient, "all", lambda self, where=None, *a: asked.append(where) or iter(()))
+    rest.fetch_recent(rest.ApiConfig("http://x"), 3)
+    rest.fetch_since(rest.ApiConfig("http://x"), "2024-01-01")
+    assert asked[0].startswith("created_date >= '") and asked[1] == "created_date > '2024-01-01'"
 
 
 def test_catalog_and_volume(spark, tmp_path):
     names = catalog.create_layers(spark, "t_", reset=True)
     assert len(names) == 5 and catalog.describe_layers(spark, names).count() == 5
+    catalog.set_comment(spark, "t_raw", "it's \\ here")
+    assert spark.catalog.getDatabase("t_raw").description == "it's \\ here"
+    catalog.use(spark, "t_raw")
+    spark.range(3).write.saveAsTable("three")
+    assert [r.name for r in catalog.tables(spark, "t_raw").collect()] == ["three"] and catalog.table(spark, "three").count() == 3
+    assert catalog.table(spark, "t_raw.three", stream=True).isStreaming
+    catalog.use(spark, "default")
     catalog.drop_layers(spark, "t_")
     assert not spark.catalog.databaseExists("t_raw")
-    v = catalog.Volume(str(tmp_path), "raw").create("a", "b")
+    v = catalog.Volume(spark, str(tmp_path), "raw").create("a", "b")
     assert v.exists() and v.list() == ["a", "b"] and v.smoke_test()
     v.drop()
     assert not v.exists()
