@@ -102,22 +102,34 @@ class Automaton:
                 taken[k], owner[k], to[k] = 1, x, y
         end = int(base.max()) + self.width
         self.base, self.owner, self.to = base, owner[:end].copy(), to[:end].copy()
-        self.root = np.zeros(self.width, np.int32)
-        for s, x in table[0].items():
-            self.root[s] = x
 
-    def _next(self, state: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+
+class Parser:
+    """Several automata over the same symbols in one set of arrays, so that all of them parse side by side."""
+
+    def __init__(self, automata: list[Automaton], width: int):
+        states = np.cumsum([0, *(len(a.base) for a in automata)]).astype(np.int32)
+        cells = np.cumsum([0, *(len(a.owner) for a in automata)]).astype(np.int32)
+        self.n, self.width, self.roots = len(automata), width, states[:-1]
+        self.base = np.concatenate([a.base + c for a, c in zip(automata, cells, strict=False)])
+        self.owner = np.concatenate([np.where(a.owner >= 0, a.owner + x, -1) for a, x in zip(automata, states, strict=False)])
+        self.to = np.concatenate([a.to + x for a, x in zip(automata, states, strict=False)])
+        k = self.base[self.roots][:, None] + np.arange(width, dtype=np.int32)
+        self.first = np.where(self.owner[k] == self.roots[:, None], self.to[k], self.roots[:, None]).ravel()
+
+    def _next(self, state: np.ndarray, s: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after symbols s, and whether a phrase starts with them."""
-        k = self.base[state] + s
-        to = np.where(self.owner[k] == state, self.to[k], 0)
-        miss = np.flatnonzero(to == 0)
-        starts = state == 0  # also after a symbol that never occurs, which is a phrase of its own
-        starts[miss] = True
-        to[miss] = self.root[s[miss]]
+        k = self.base[state]
+        k += s
+        starts = self.owner[k] != state
+        to = self.to[k]
+        miss = np.flatnonzero(starts)
+        to[miss] = self.first[which[miss] * np.int32(self.width) + s[miss]]
+        starts |= state == self.roots[which]  # also after a symbol that never occurs, which is a phrase of its own
         return to, starts
 
     def phrases(self, symbols: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Numbers of longest-match phrases of sequences, each length[k] symbols from begin[k] on.
+        """Numbers of longest-match phrases of sequences, each length[k] symbols from begin[k] on, a row for each automaton.
 
         Stretches of the sequences are parsed side by side, each as if a phrase started with it. Then what goes on from
         the stretch before is parsed until a phrase of it starts where one of the stretch's own does; from there on both
@@ -126,20 +138,23 @@ class Automaton:
         k = -(-length // STRETCH)
         of = np.repeat(np.arange(len(length)), k)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(k) - k, k)
-        at, size = begin[of] + nth * STRETCH, np.minimum(length[of] - nth * STRETCH, STRETCH)
+        size = np.minimum(length[of] - nth * STRETCH, STRETCH)
         order = np.argsort(-size, kind="stable")
-        end, starts = np.zeros(len(of), np.int32), np.zeros((int(size.max(initial=0)), len(of)), bool)
-        state = np.zeros(len(of), np.int32)
+        at = (begin[of] + nth * STRETCH)[order]
+        which = np.tile(np.arange(self.n, dtype=np.int32), len(of))
+        state, starts = self.roots[which], np.zeros((int(size.max(initial=0)), len(which)), bool)
         for j, n in enumerate(np.searchsorted(-size[order], -np.arange(len(starts)), side="left").tolist()):
-            state[:n], starts[j, :n] = self._next(state[:n], symbols[at[order[:n]] + j])
-        end[order] = state
-        column = np.empty(len(of), np.int64)
-        column[order] = np.arange(len(of))
+            m = n * self.n
+            state[:m], starts[j, :m] = self._next(state[:m], np.repeat(symbols[at[:n] + j], self.n), which[:m])
         upto = np.cumsum(starts, axis=0, dtype=np.int16)
-        count = upto[-1][column].astype(np.int64) if len(of) else np.zeros(0, np.int64)
-        total, again = count.copy(), np.flatnonzero(nth > 0)
+        place = np.empty(len(of), np.int64)
+        place[order] = np.arange(len(of))
+        column = (place[:, None] * self.n + np.arange(self.n)).ravel()  # of a stretch and automaton, by stretch
+        end, size, at = state[column], np.repeat(size, self.n), np.repeat(at[place], self.n)
+        total = upto[-1][column].astype(np.int64) if len(of) else np.zeros(0, np.int64)
+        count, again, later = total.copy(), np.flatnonzero(np.repeat(nth > 0, self.n)), np.repeat(nth > 0, self.n)
         while len(again):
-            state, own, active, moved = end[again - 1], np.zeros(len(again), np.int64), np.arange(len(again)), []
+            state, own, active, moved = end[again - self.n], np.zeros(len(again), np.int64), np.arange(len(again)), []
             for j in range(STRETCH):
                 over = size[again[active]] == j
                 if over.any():
@@ -148,7 +163,7 @@ class Automaton:
                 if not len(active):
                     break
                 here = again[active]
-                state[active], fresh = self._next(state[active], symbols[at[here] + j])
+                state[active], fresh = self._next(state[active], symbols[at[here] + j], which[here])
                 own[active] += fresh
                 met = fresh & starts[j, column[here]]
                 done = here[met]
@@ -159,10 +174,10 @@ class Automaton:
             count[again[left]] = own[left]
             differs = left[end[again[left]] != state[left]]
             end[again[left]] = state[left]
-            again = np.sort(again[differs]) + 1
-            again = again[(again < len(of))]
-            again = again[nth[again] > 0]
-        return np.bincount(of, count, minlength=len(length)).astype(np.int64)
+            again = np.sort(again[differs]) + self.n
+            again = again[again < len(later)]
+            again = again[later[again]]
+        return np.stack([np.bincount(of, count[j :: self.n], minlength=len(length)) for j in range(self.n)]).astype(np.int64)
 
 
 class Model:
@@ -176,7 +191,9 @@ class Model:
         kind = np.uint16 if self.width < 1 << 16 else np.uint32
         self.symbol = np.where(letter, len(known) + 1, 0).astype(kind)  # 0: any run of other characters; the last: letters never learned
         self.symbol[known] = np.arange(1, len(known) + 1)
-        self.automata = [Automaton(self.symbols(samples[k])[0].tolist(), self.width) for k in self.langs]
+        made = [Automaton(self.symbols(samples[k])[0].tolist(), self.width) for k in self.langs]
+        self.bits = np.array([math.log2(max(2, a.size)) for a in made])
+        self.parser = Parser(made, self.width) if made else None
 
     def symbols(self, text: str) -> tuple[np.ndarray, bool]:
         """Symbols of a text with one separator for each run of other characters, and whether it has a letter."""
@@ -192,7 +209,7 @@ class Model:
         if not self.langs or not n.sum():
             return [UND] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         every, begin = np.concatenate([s for s, _ in parsed]), np.cumsum(n) - n
-        cost = np.stack([a.phrases(every, begin, n) * math.log2(max(2, a.size)) for a in self.automata], axis=1) / np.maximum(n, 1)[:, None]
+        cost = self.parser.phrases(every, begin, n).T * self.bits / np.maximum(n, 1)[:, None]
         best = cost.argmin(axis=1)
         least = cost[np.arange(len(texts)), best]
         rest = cost.copy()

@@ -30,7 +30,10 @@ def test_automaton_counts_longest_matches():
 
 def phrases(automaton, texts):
     n = np.array([len(t) for t in texts])
-    return automaton.phrases(np.concatenate(texts).astype(np.uint16), np.cumsum(n) - n, n).tolist()
+    other = langid.Automaton([0, 1] * 50, automaton.width)
+    got = langid.Parser([other, automaton, other], automaton.width).phrases(np.concatenate(texts).astype(np.uint16), np.cumsum(n) - n, n)
+    assert got[0].tolist() == got[2].tolist()
+    return got[1].tolist()
 
 
 def test_whole_texts_are_parsed_without_cuts(monkeypatch):
