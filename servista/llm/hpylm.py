@@ -16,8 +16,7 @@ Where things are: cells are dealt into buckets by word, so a word's cells of all
 more tokens than SPREAD buckets hold is dealt on by the class of its contexts, and the driver keeps its root cell. What
 a bucket knows of the others are the totals of each restaurant. Totals of contexts are summed in tasks of their
 own, by ranges of contexts, and sent back to the buckets that have the context, before the first sweep, after BURN and
-after the last; own changes count at once. Draws are seeded by sweep and bucket, so a pass repeats the earlier sweeps
-instead of storing their seating. To the driver come the totals of classes (65,536 at most) and of the words dealt on
+after the last; own changes count at once. The seatings between are kept as a table. To the driver come the totals of classes (65,536 at most) and of the words dealt on
 (65,536 at most, as each is at least HOT_SHARE of all tokens).
 
 Nothing is cut off: every training word of every text is a customer. Texts are dealt into batches; a batch sends each
@@ -51,6 +50,8 @@ BATCH_BYTES, BUCKET_BYTES, SPREAD = 12 << 20, 8 << 20, 2
 #: Least share of a batch's tokens, and of all tokens, of a word that is dealt on.
 HOT_SHARE = 2**-16
 CLASSES = 1 << 16
+#: Tasks that buckets, ranges of contexts or batches are dealt over at most.
+TASKS = 50_000
 #: The class and the context of the begin of a text, which no UTF-8 text has.
 BEGIN_CLASS = 0xFFFF
 BEGIN = np.uint64(BEGIN_CLASS << 32)
@@ -169,12 +170,17 @@ def _batch_tokens(sizes: list[int], raw: bytes) -> tuple[np.ndarray, np.ndarray,
 class Deal:
     """Which bucket a cell is in: by its word's top bits, or, for words dealt on, by word and the context's class."""
 
-    def __init__(self, buckets: int, hot: dict[int, int]):
-        self.buckets = buckets
+    def __init__(self, buckets: int, hot: dict[int, int], batches: int = 1):
+        self.buckets, self.batches = buckets, batches
         self.words = np.array(sorted(hot), np.uint64)
         self.parts = np.array([hot[w] for w in sorted(hot)], np.int64)
         self.first = buckets + np.cumsum(self.parts) - self.parts
 
+    def group(self, df: DataFrame, key: str):
+        """df's groups of a key, about one a task."""
+        n = self.batches if key == "batch" else self.buckets + int(self.parts.sum())
+        return df.repartition(max(1, min(n, TASKS)), key).groupBy(key)
+
     def range(self, context: np.ndarray) -> np.ndarray:
         """Which of as many ranges as there are buckets a context's totals are summed in."""
         return (common.mix(context * common.BASE) % np.uint64(self.buckets)).astype(np.int64)
@@ -222,7 +228,7 @@ _TABLE = pa.schema([("bucket", pa.int64()), ("n", pa.int64()), ("n_contexts", pa
 _TABLE_DDL = "bucket long, n long, n_contexts long, words binary, cells binary, contexts binary, asked array<struct<batch: long, n: long, index: binary>>"
 
 
-def tabulate(requests: DataFrame) -> DataFrame:
+def tabulate(requests: DataFrame, how: Deal) -> DataFrame:
     """A row for each bucket: its cells by word and context, its distinct contexts, and for each batch the places of the cells
     it asks for."""
 
@@ -242,7 +248,7 @@ def tabulate(requests: DataFrame) -> DataFrame:
         row = {"bucket": key[0].as_py(), "n": len(w), "n_contexts": len(contexts), "words": _pack(_steps(w)), "cells": _pack(nth.astype(np.uint32), c.astype(np.uint32)), "contexts": _pack(_steps(contexts)), "asked": asked}
         return pa.Table.from_pylist([row], _TABLE)
 
-    return requests.groupBy("bucket").applyInArrow(run, _TABLE_DDL)
+    return how.group(requests, "bucket").applyInArrow(run, _TABLE_DDL)
 
 
 def seat(customers: np.ndarray, strength: np.ndarray, d: float, above: tuple, rng: np.random.Generator) -> np.ndarray:
@@ -327,6 +333,12 @@ class Bucket:
         """Customers and tables of each class."""
         return (np.bincount(self.cell_group, x, minlength=CLASSES).astype(np.int64) for x in (self.c2(), self.t2))
 
+    def state(self) -> list[bytes]:
+        return [_pack(x.astype(np.uint32)) for x in (self.t, self.t2, self.t3)]
+
+    def restore(self, state: list[bytes]) -> None:
+        self.t, self.t2, self.t3 = (_unpack(x, n, np.uint32)[0].astype(np.int64) for x, n in zip(state, (len(self.c), self.n_cells, self.n_words), strict=True))
+
     def told(self, total: Totals, customers: np.ndarray, tables: np.ndarray) -> None:
         """The totals after an exchange, from which own later changes are counted."""
         self.total, self.customers, self.tables = total, customers, tables
@@ -365,9 +377,9 @@ class Bucket:
     def root(self, total: Totals | None = None) -> np.ndarray:
         """P(w) for each word: as things are here, or with the totals given."""
         d, s = DISCOUNT[0], STRENGTH[0]
-        c3, t3, then = self.c3(), self.t3, self.then
+        c3, t3 = self.c3(), self.t3
         if total is None:
-            total = self.total
+            total, then = self.total, self.then
             c3_all, t3_all = total.c3 - then[3] + c3.sum(), total.t3 - then[4] + t3.sum()
         else:
             c3_all, t3_all = total.c3, total.t3
@@ -393,56 +405,63 @@ def _bucket(n: int, n_contexts: int, words: bytes, cells: bytes, contexts: bytes
     return Bucket(np.cumsum(w, dtype=np.uint64), nth, np.cumsum(u, dtype=np.uint64), c, how)
 
 
-def _seatings(b: Bucket, number: int, totals: list[list[Totals]], told: list[list[np.ndarray]]) -> Iterator[int]:
-    """Goes through the seatings that the exchanges so far allow: 0 at the start, 1 after BURN, 2 and up for each kept one.
+def _seatings(b: Bucket, number: int, totals: list[list[Totals]], told: list[list[np.ndarray]], state: list[bytes]) -> Iterator[None]:
+    """Goes through the seatings up to the next exchange: the one at the start, after BURN, then each kept one.
 
-    totals[r] and told[r] are what exchange r told: of one seating, for r = 2 of each kept one.
+    totals[r] and told[r] are what exchange r told, state the seating at the last one.
     """
-    yield 0
-    if len(totals) > 0:
-        b.told(totals[0][0], told[0][0], told[0][1])
-        for k in range(BURN):
-            b.sweep(np.random.default_rng([k, number]))
-        yield 1
-    if len(totals) > 1:
-        b.told(totals[1][0], told[0][0], told[1][0])
-        for k in range(KEEP):
-            b.sweep(np.random.default_rng([BURN + k, number]))
-            yield 2 + k
+    done = len(totals)
+    if done:
+        b.restore(state)
+        b.told(totals[-1][0], told[0][0], told[-1][-1])
+        for k in range(BURN if done == 1 else KEEP):
+            b.sweep(np.random.default_rng([done, k, number]))
+            if done == 2:
+                yield
+    if done < 2:
+        yield
 
 
 #: What a pass over the buckets gives: for ranges of contexts their sums, and sums for the driver by key: class (of the
 #: k-th seating, k * CLASSES on), the root (-1 - k), and words dealt on (negative of CLASSES and more: count and customers).
-_OUT = pa.schema([("bucket", pa.int64()), ("out", pa.list_(pa.struct([("range", pa.int64()), ("n", pa.int64()), ("sums", pa.binary())]))), ("key", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("t", pa.list_(pa.int64())), ("words", pa.int64()), ("tokens", pa.int64())])
-_OUT_DDL = "bucket long, out array<struct<range: long, n: long, sums: binary>>, key array<long>, c array<long>, t array<long>, words long, tokens long"
+_OUT = pa.schema([("bucket", pa.int64()), ("out", pa.list_(pa.struct([("range", pa.int64()), ("n", pa.int64()), ("sums", pa.binary())]))), ("key", pa.list_(pa.int64())), ("c", pa.list_(pa.int64())), ("t", pa.list_(pa.int64())), ("words", pa.int64()), ("tokens", pa.int64()), ("state", pa.list_(pa.binary()))])
+_OUT_DDL = "bucket long, out array<struct<range: long, n: long, sums: binary>>, key array<long>, c array<long>, t array<long>, words long, tokens long, state array<binary>"
 
 
 #: Columns of sums of each exchange: customers and tables, tables, tables of each kept seating.
 _COLUMNS = (2, 1, KEEP)
 
 
-def _inbox(inbox: pa.Table, rounds: int, b: Bucket, how: Deal) -> list[list[np.ndarray]]:
-    """For each exchange so far its columns over the bucket's contexts."""
+_INBOX = "bucket long, round int, range long, n long, sums binary, state array<binary>"
+
+
+def _inbox(inbox: pa.Table, rounds: int, b: Bucket, how: Deal) -> tuple[list[list[np.ndarray]], list[bytes]]:
+    """For each exchange so far its columns over the bucket's contexts; the state, which has round -1."""
+    state: list[bytes] = []
     out = [[np.zeros(len(b.contexts), np.int64) for _ in range(_COLUMNS[r])] for r in range(rounds)]
     at = how.range(b.contexts)
     order = np.argsort(at, kind="stable")
     at = at[order]
-    for r, k, n, sums in zip(*(inbox[c].to_pylist() for c in ("round", "range", "n", "sums")), strict=True):
+    for r, k, n, sums, own_state in zip(*(inbox[c].to_pylist() for c in ("round", "range", "n", "sums", "state")), strict=True):
+        if r < 0:
+            state = own_state
+            continue
         place = order[np.searchsorted(at, k) :][:n]
         for own, col in zip(out[r], _unpack(sums, n, *[np.uint32] * _COLUMNS[r]), strict=True):
             own[place] = col
-    return out
+    return out, state
 
 
 def advance(table: DataFrame, told: DataFrame | None, totals: list[list[Totals]], how: Deal) -> DataFrame:
-    """The next exchange: each bucket's sums after the sweeps that the earlier exchanges allow."""
+    """Each bucket's seatings up to the next exchange, and their sums."""
     rounds = len(totals)
 
     def work(number, n, n_contexts, words, cells, contexts, inbox) -> pa.Table:
         b = _bucket(n, n_contexts, words, cells, contexts, how)
-        got = _inbox(inbox, rounds, b, how) if rounds else []
-        columns, key, cs, ts = [b.context_sums(b.c)] if rounds == 0 else [], [], [], []
-        for k, _ in enumerate(x for x in _seatings(b, number, totals, got) if x >= rounds):
+        got, state = _inbox(inbox, rounds, b, how) if rounds else ([], [])
+        columns, key, cs, ts, states = [b.context_sums(b.c)] if rounds == 0 else [], [], [], [], []
+        for k, _ in enumerate(_seatings(b, number, totals, got, state)):
+            states += b.state()
             columns.append(b.context_sums(b.t))
             c2, t2 = b.class_sums()
             used = np.flatnonzero(c2)
@@ -458,7 +477,7 @@ def advance(table: DataFrame, told: DataFrame | None, totals: list[list[Totals]]
         order = np.argsort(at, kind="stable")
         cut = np.flatnonzero(_fresh(at[order])) if len(at) else np.zeros(0, np.int64)
         out = [{"range": int(at[order[a]]), "n": int(z - a), "sums": _pack(_steps(b.contexts[order[a:z]]), *[x[order[a:z]].astype(np.uint32) for x in columns])} for a, z in zip(cut, np.append(cut[1:], len(at)), strict=True)]
-        return pa.Table.from_pylist([{"bucket": number, "out": out, "key": key, "c": cs, "t": ts, "words": int(((b.word_c > 0) & ~b.hot).sum()), "tokens": int(b.c.sum())}], _OUT)
+        return pa.Table.from_pylist([{"bucket": number, "out": out, "key": key, "c": cs, "t": ts, "words": int(((b.word_c > 0) & ~b.hot).sum()), "tokens": int(b.c.sum()), "state": states}], _OUT)
 
     static = table.select("bucket", "n", "n_contexts", "words", "cells", "contexts")
     if told is None:
@@ -475,11 +494,11 @@ def advance(table: DataFrame, told: DataFrame | None, totals: list[list[Totals]]
         common.lean_memory()
         return work(*(left[c][0].as_py() for c in ("bucket", "n", "n_contexts", "words", "cells", "contexts")), right)
 
-    return static.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(both, _OUT_DDL)
+    return how.group(static, "bucket").cogroup(how.group(told, "bucket")).applyInArrow(both, _OUT_DDL)
 
 
-def exchange(sums: DataFrame, number: int) -> DataFrame:
-    """(bucket, round, range, n, sums): for each bucket's contexts of a range, in its order, the sums over all buckets."""
+def exchange(sums: DataFrame, number: int, how: Deal) -> DataFrame:
+    """For the inbox: for each bucket's contexts of a range, in its order, the sums over all buckets."""
     columns = _COLUMNS[number]
 
     def run(key, t):
@@ -492,10 +511,10 @@ def exchange(sums: DataFrame, number: int) -> DataFrame:
         cols = [np.bincount(nth, x).astype(np.uint32)[nth] for x in cols]
         ends = np.cumsum(ns).tolist()
         back = [_pack(*[x[z - n : z] for x in cols]) for n, z in zip(ns, ends, strict=True)]
-        return pa.table({"bucket": t["bucket"], "round": pa.array([number] * len(ns), pa.int32()), "range": t["range"], "n": t["n"], "sums": pa.array(back, pa.binary())})
+        return pa.table({"bucket": t["bucket"], "round": pa.array([number] * len(ns), pa.int32()), "range": t["range"], "n": t["n"], "sums": pa.array(back, pa.binary()), "state": pa.nulls(len(ns), pa.list_(pa.binary()))})
 
     each = sums.select("bucket", F.inline("out"))
-    return each.groupBy("range").applyInArrow(run, "bucket long, round int, range long, n long, sums binary")
+    return how.group(each, "range").applyInArrow(run, _INBOX)
 
 
 def summed(sums: DataFrame, how: Deal, before: list[list[Totals]], seed: int) -> list[Totals]:
@@ -538,11 +557,12 @@ def answer(table: DataFrame, told: DataFrame, totals: list[list[Totals]], how: D
         common.lean_memory()
         number, n, n_contexts, words, cells, contexts, asked = (left[c][0].as_py() for c in ("bucket", "n", "n_contexts", "words", "cells", "contexts", "asked"))
         b = _bucket(n, n_contexts, words, cells, contexts, how)
-        got = _inbox(right, 3, b, how)
+        got, states = _inbox(right, 3, b, how)
+        b.customers = got[0][0]
         p = np.zeros(n)
-        for k in _seatings(b, number, totals, got):
-            if k >= 2:
-                p += b.predictive(totals[2][k - 2], got[2][k - 2])
+        for k in range(KEEP):
+            b.restore(states[3 * k : 3 * k + 3])
+            p += b.predictive(totals[2][k], got[2][k])
         p = np.rint(-np.log10(p / KEEP) * SCALE).astype(np.uint32)
         count = b.counts(totals[0][0])[b.word_of[b.of]].astype(np.uint32)
         out = []
@@ -551,7 +571,7 @@ def answer(table: DataFrame, told: DataFrame, totals: list[list[Totals]], how: D
             out.append({"batch": x["batch"], "bucket": number, "n": x["n"], "words": _pack(count[at], p[at])})
         return pa.Table.from_pylist(out, schema)
 
-    return table.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInArrow(run, "batch long, bucket long, n long, words binary")
+    return how.group(table, "bucket").cogroup(how.group(told, "bucket")).applyInArrow(run, "batch long, bucket long, n long, words binary")
 
 
 FIELDS = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
@@ -560,33 +580,36 @@ NAMES = [f.split()[0] for f in FIELDS.split(", ")]
 
 def plan(dealt: DataFrame) -> Deal:
     """How cells are dealt; only the place of the work depends on it, and that sums from other buckets are of the last exchange."""
-    size = dealt.agg(F.sum("bytes").alias("b"), F.sum("tokens").alias("n")).first()
+    size = dealt.agg(F.sum("bytes").alias("b"), F.sum("tokens").alias("n"), F.count("*").alias("batches")).first()
     buckets = max(8, (size["b"] or 0) // BUCKET_BYTES)
     n = size["n"] or 0
     most = max(SPREAD * n // buckets, HOT_SHARE * n, 1)
     often = dealt.select(F.inline(F.arrays_zip("word", "count"))).groupBy("word").agg(F.sum("count").alias("n")).filter(F.col("n") > most)
-    return Deal(buckets, {r["word"] % 2**64: math.ceil(r["n"] / most) for r in often.collect()})
+    return Deal(buckets, {r["word"] % 2**64: math.ceil(r["n"] / most) for r in often.collect()}, size["batches"])
 
 
 def train(table: DataFrame, how: Deal) -> tuple[list[list[Totals]], DataFrame]:
-    """The driver's totals of all three exchanges, and what they told the buckets."""
+    """The driver's totals of all three exchanges, and the buckets' inbox after them: what they told, and the kept seatings."""
     totals: list[list[Totals]] = []
-    told = None
+    told = inbox = None
     for number in range(len(_COLUMNS)):
-        with common.scratch(advance(table, told, totals, how), "sums") as sums:
-            new = common.materialise(exchange(sums, number), "totals")
+        with common.scratch(advance(table, inbox, totals, how), "sums") as sums:
+            new = common.materialise(exchange(sums, number, how), "totals")
+            kept = sums.select("bucket", F.lit(-1).alias("round"), F.lit(0).cast("long").alias("range"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("sums"), "state")
+            kept = common.materialise(kept, "seatings")
             totals = [*totals, summed(sums, how, totals, number)]
         told = new if told is None else told.union(new)
-    return totals, told
+        inbox = told.union(kept)
+    return totals, inbox
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity for each row of docs."""
     dealt = common.materialise(deal(docs.select("doc_id", "text", held_out.alias("held_out"))), "batches")
     how = plan(dealt)
-    table = common.materialise(tabulate(gather(dealt, how)), "cells")
-    totals, told = train(table, how)
-    answers = answer(table, told, totals, how)
+    with common.scratch(tabulate(gather(dealt, how), how), "cells") as table:
+        totals, inbox = train(table, how)
+        answers = common.materialise(answer(table, inbox, totals, how), "answers")
     n, v = totals[0][0].n, totals[0][0].v
     base_all = math.log10(n + 0.1 * (v + 1))
 
@@ -613,4 +636,4 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             out.append(pa.RecordBatch.from_arrays([batch["doc_ids"].combine_chunks()[i].values, batch["held_out"].combine_chunks()[i].values, pa.array(n_tokens), pa.array(known), pa.array(np.full(len(begin), n, np.int64)), pa.array(base), pa.array(logs), pa.array(10 ** (-logs / n_tokens))], NAMES))
         return pa.Table.from_batches(out)
 
-    return dealt.select("batch", "doc_ids", "held_out", "sizes", "packed").groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, FIELDS)
+    return how.group(dealt.select("batch", "doc_ids", "held_out", "sizes", "packed"), "batch").cogroup(how.group(answers, "batch")).applyInArrow(run, FIELDS)

@@ -31,7 +31,7 @@ def test_counts_and_base_score(spark):
 
 def buckets(spark, rows, how):
     docs = brute.table(spark, rows).withColumn("held_out", F.lit(False))
-    table = hpylm.tabulate(hpylm.gather(hpylm.deal(docs), how)).cache()
+    table = hpylm.tabulate(hpylm.gather(hpylm.deal(docs), how), how).cache()
     totals, told = hpylm.train(table, how)
     own = [r.asDict() for r in table.drop("asked").collect()]
     heard = told.toArrow()
@@ -40,7 +40,10 @@ def buckets(spark, rows, how):
         number = r.pop("bucket")
         b = hpylm._bucket(**r, how=how)
         inbox = heard.filter(np.array(heard["bucket"]) == number) if heard.num_rows else heard
-        out.append((b, number, hpylm._inbox(inbox, 3, b, how)))
+        got, states = hpylm._inbox(inbox, 3, b, how)
+        b.customers = got[0][0]
+        b.restore(states[-3:])
+        out.append((b, got))
     return out, totals
 
 
@@ -50,9 +53,7 @@ def test_probabilities_sum_to_one(spark, how):
     found, totals = buckets(spark, rows, how)
     parent, cells, groups, c_u = {}, {}, {}, {}
     total, last = totals[2][-1], None
-    for b, number, got in found:
-        for _ in hpylm._seatings(b, number, totals, got):
-            pass
+    for b, got in found:
         assert (b.t >= 1).all() and (b.t <= b.c).all() and (b.t2 <= b.c2()).all() and (b.t3 <= b.c3()).all()
         root, p = b.root(total), b.predictive(total, got[2][-1])
         for k in range(len(b.c)):
