@@ -11,11 +11,11 @@ of their full sets is at least the threshold, and a group is a connected compone
 3. Pairs are compared STEP signature values at a time. After each step a pair goes when, given the matches so far and
    a uniform prior, the posterior probability of reaching the threshold is below MISS. What is left is verified exactly.
 4. Components of verified pairs. Buckets that hold several components still hide untested pairs: nodes outside a bucket's
-   largest component are compared exactly with all nodes of such buckets, block against block, each block with an
-   inverted index of its shingles. Nothing is emitted but links, one for a node and component. No bucket is capped.
+   largest component are compared exactly with all nodes of such buckets, part against part, each part with an
+   inverted index of its shingles. Nothing is emitted but links of components. No bucket is capped.
 5. Final components.
 
-A link can be missed only where its nodes share no band key ((1 - 0.8**5)**40: 1 in 8 million at similarity 0.8).
+Sets are compared by 64-bit hashes of their shingles. A link can be missed only where its nodes share no band key ((1 - 0.8**5)**40: 1 in 8 million at similarity 0.8).
 
 Edge cases: null, empty and wordless texts have the empty set and are linked with nothing; a text with fewer words
 than a shingle is one shingle; rows that repeat, and rows of equal doc_id, get the same component when their sets are
@@ -36,7 +36,8 @@ from .graph import components
 
 BANDS, ROWS = 40, 5
 STEP, MISS = 40, 1e-6
-BLOCK = 128
+#: Compressed text that one part of an open group holds, about.
+BLOCK_BYTES = 4 << 20
 
 _rng = np.random.Generator(np.random.PCG64(5))
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -45,10 +46,7 @@ _JOIN = np.uint64(0x9FB21C651E98DF25)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 64-bit shingle hashes of each text in a row, ascending within a text, and n+1 offsets into them.
-
-    The top 12 bits hold the text's number while sorting (there are at most common.STEP_ROWS texts); 52 bits of hash stay.
-    """
+    """Distinct 64-bit shingle hashes of each text in a row, ascending within a text, and n+1 offsets into them."""
     data = common.lower_ascii(data)
     starts, ends, at = common.words(data, offs)
     n_texts = len(offs) - 1
@@ -64,13 +62,13 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.nda
         here = size > j if (size < width).any() else slice(None)
         h[here] = h[here] * _JOIN + word[first[here] + j]
     common.mix(h)
-    key = (h >> np.uint64(12)) | (np.repeat(np.arange(n_texts, dtype=np.uint64), n) << np.uint64(52))
-    key.sort()
-    fresh = np.ones(len(key), bool)
-    np.not_equal(key[1:], key[:-1], out=fresh[1:])
-    key = key[fresh]
-    counts = np.bincount((key >> np.uint64(52)).astype(np.int64), minlength=n_texts)
-    return key << np.uint64(12), np.concatenate([[0], np.cumsum(counts)])
+    ends = np.cumsum(n)
+    for a, z in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        h[a:z].sort()
+    fresh = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=fresh[1:])
+    fresh[(ends - n)[n > 0]] = True
+    return h[fresh], np.concatenate([[0], np.cumsum(fresh)])[np.concatenate([[0], ends])]
 
 
 def _least(values: np.ndarray, offs: np.ndarray, full: np.ndarray) -> np.ndarray:
@@ -202,43 +200,50 @@ def verify(pairs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def block_links(small: DataFrame, large: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between blocks: small and large have (big, comp, node, packed); compared where big is equal and comp is not."""
-
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        sizes = df.groupBy("big").agg(F.count("*").alias("n"))
-        if sizes.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
-            sizes = F.broadcast(sizes)
-        df = df.join(sizes, "big").withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        return df.groupBy("big", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("comp", "node", "packed")).alias(name))
-
-    # each block of small meets each block of large under a key of its own, so that no task gets all of a large group
-    right = blocks(large, "m")
-    many = right.groupBy("big").agg(F.first("blocks").alias("many"))
-    if many.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS:
-        many = F.broadcast(many)
-    left = blocks(small, "s").join(many, "big").select("big", "s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("block"))
-    both = left.join(right, ["big", "block"]).select("s", "m")
-    both = both.repartition(max(8, small.sparkSession.sparkContext.defaultParallelism * 4))
+    """Links between nodes of small and large, which have (big, comp, node, packed), where big is equal and comp is not.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                s, m = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                theirs = _sets_of([x["packed"] for x in m], width)
-                sizes = np.array([len(x) for x in theirs])
-                every, of = np.concatenate(theirs), np.repeat(np.arange(len(m)), sizes)
-                order = np.argsort(every, kind="stable")
-                every, of = every[order], of[order]
-                comps = np.array([x["comp"] for x in m], np.int64)
-                out = []
-                for x, own in zip(s, _sets_of([x["packed"] for x in s], width), strict=True):
-                    lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
-                    both_n = np.bincount(of[common.ranges(lo, hi - lo)], minlength=len(m))
-                    hit = np.flatnonzero(_linked(both_n, sizes + len(own), percent) & (comps != x["comp"]))
-                    out += [(x["comp"], c) for c in np.unique(comps[hit]).tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
+    Each side of a group is dealt into as few parts as hold BLOCK_BYTES each (about); each part meets each part of the other
+    side under a key of its own. A text is shuffled once for each part of the other side: once in all for groups of up to
+    BLOCK_BYTES, whatever its number of members.
+    """
+    size = F.length("packed")
+
+    def parts(df: DataFrame) -> DataFrame:
+        return df.groupBy("big").agg(F.ceil(F.sum(size) / BLOCK_BYTES).alias("n"))
+
+    def few(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS else df
+
+    counts = few(common.materialise(parts(small).withColumnRenamed("n", "n_small").join(parts(large).withColumnRenamed("n", "n_large"), "big"), "parts"))
+
+    def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
+        df = df.join(counts, "big").withColumn(own, F.pmod(F.xxhash64("node"), F.col(f"n_{own}")))
+        return df.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"n_{other}") - 1)))
+
+    key = ["big", "small", "large"]
+    # renamed, as both sides come from one table
+    left, right = (dealt(df, a, b).select(*[F.col(c).alias(f"{a}_{c}") for c in (*key, "comp", "packed")]).groupBy(*[f"{a}_{c}" for c in key]) for df, a, b in ((small, "small", "large"), (large, "large", "small")))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not (left.num_rows and right.num_rows):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        theirs = _sets_of(right["large_packed"].to_pylist(), width)
+        sizes = np.array([len(x) for x in theirs])
+        every, of = np.concatenate(theirs), np.repeat(np.arange(len(theirs), dtype=np.int32), sizes)
+        del theirs
+        order = np.argsort(every, kind="stable")
+        every, of = every[order], of[order]
+        comps = right["large_comp"].to_numpy()
+        out: set[tuple[int, int]] = set()
+        for packed, comp in zip(left["small_packed"], left["small_comp"].to_pylist(), strict=True):
+            own = _sets_of([packed.as_py()], width)[0]
+            lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            both_n = np.bincount(of[common.ranges(lo, hi - lo)], minlength=len(sizes))
+            hit = np.flatnonzero(_linked(both_n, sizes + len(own), percent) & (comps != comp))
+            out.update((comp, c) for c in np.unique(comps[hit]).tolist())
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+
+    return left.cogroup(right).applyInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:

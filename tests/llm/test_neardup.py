@@ -23,7 +23,7 @@ def test_equals_brute_force(spark, width):
 
 def test_without_broadcast_and_with_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
-    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 300)
     rows = brute.awkward(2)
     assert got(neardup.groups(brute.table(spark, rows), 2)) == want(rows, 2)
 
