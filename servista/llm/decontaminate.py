@@ -5,14 +5,13 @@ of a window and ignores the others, so the hash of what it sees survives substit
 benchmark windows under all masks are joined with those of the documents' windows. Around each hit the item's own
 words are laid along the document at that offset, and the longest stretch with enough equal words is kept: a match needs at
 least MIN_WORDS words (or the whole item, if it is shorter), at least MIN_SHARE of them equal, and it must cover
-MIN_COVER of the item or WINDOW_WORDS words.
+MIN_COVER of the item or WINDOW_WORDS words. Items of fewer than 8 words have masks of their own, which find them with any
+one word replaced; of fewer than MIN_ITEM words they are too common inside texts, and match texts that are nothing else.
 
 The seeds of the benchmark are searched as a sorted array in each task where there are at most BROADCAST_SEEDS of them
 (16 bytes each); beyond that the documents' seeds are joined with them by a shuffle. Both ways give the same rows.
 
-Edge cases: null and empty texts match nothing; items of fewer than MIN_ITEM words are too common to be leaks
-and match nothing; items shorter than a mask are compared as a whole with exact hashes; items with equal text are
-reported separately; equal doc_ids give rows that may repeat; an empty table on either side gives no rows.
+Edge cases: null, empty and wordless texts match nothing; items with equal text are reported separately; equal doc_ids give rows that may repeat; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -25,10 +24,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-# Spaced seeds, weight 6 and 5, spans 6 to 11.
+# Spaced seeds, weight 4 to 6, spans 5 to 11, and those for short items.
 MASKS = ("111111", "1101011001", "11100101001", "1100101101", "101100111", "11011")
+SHORT_MASKS = ("11110", "11101", "10111", "01111")
+SHORT = 8
 MIN_ITEM, MIN_WORDS, MIN_SHARE, MIN_COVER, WINDOW_WORDS = 5, 8, 0.75, 0.6, 20
 BROADCAST_SEEDS = 2_000_000
+#: Items that a document is compared with in one go where the benchmark isn't broadcast.
+TOGETHER = 1000
 _ALNUM = np.zeros(256, bool)
 _ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -47,38 +50,62 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return common.span_hash(common.prefix_hash(data), starts, ends), starts, ends, np.searchsorted(starts, offs, "left")
 
 
-def seeds(words: np.ndarray, offs: np.ndarray, masks: tuple[str, ...] = MASKS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each mask: hashes of all windows that lie within one text, and the places of their first words."""
+def seeds(words: np.ndarray, offs: np.ndarray, masks: tuple[int, ...] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each mask: its number, hashes of all windows that lie within one text, and the places of their first words.
+
+    The last number stands for texts of fewer than MIN_ITEM words as a whole. masks chooses numbers; None: all.
+    """
     n = np.diff(offs)
-    for k, mask in enumerate(masks):
-        span = len(mask)
-        at = common.ranges(offs[:-1], np.maximum(n - span + 1, 0))
+    for k, mask in enumerate((*MASKS, *SHORT_MASKS)):
+        if masks is not None and k not in masks:
+            continue
+        at = common.ranges(offs[:-1], np.maximum(n - len(mask) + 1, 0))
         h = np.full(len(at), k + 1, np.uint64)
         for j, bit in enumerate(mask):
             if bit == "1":
                 h *= common.BASE
                 h += words[at + j]
-        yield common.mix(h), at
+        yield k, common.mix(h), at
+    if masks is None or WHOLE in masks:
+        few = np.flatnonzero((n > 0) & (n < MIN_ITEM))
+        h = n[few].astype(np.uint64) + np.uint64(1000)
+        for j in range(MIN_ITEM - 1):
+            here = n[few] > j
+            h[here] = h[here] * common.BASE + words[offs[few][here] + j]
+        yield WHOLE, common.mix(h), offs[few]
+
+
+WHOLE = len(MASKS) + len(SHORT_MASKS)
+
+
+def _serves(mask: int, length: np.ndarray) -> np.ndarray:
+    """Whether items of so many words have seeds of a mask."""
+    return length < MIN_ITEM if mask == WHOLE else (length >= MIN_ITEM) & (length < SHORT) if mask >= len(MASKS) else length >= MIN_ITEM
 
 
 class Items:
     """Benchmark items' words and sorted seeds."""
 
-    def __init__(self, ids: list[int | None], texts: list[str], masks: tuple[str, ...] = MASKS):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         data, offs = common.text_arrays(pa.array([t or "" for t in texts], pa.string()))
-        self.ids, self.masks = ids, masks
+        self.ids = ids
         self.words, _, _, self.offs = word_hashes(data, offs)
         n = np.diff(self.offs)
-        self.ok = n >= MIN_ITEM
-        found = [*seeds(self.words, self.offs, masks)]
-        self.hash = np.concatenate([h for h, _ in found])
-        self.place = np.concatenate([p for _, p in found])
-        self.item = np.searchsorted(self.offs, self.place, "right") - 1
-        use = self.ok[self.item] if len(self.item) else np.empty(0, bool)
-        order = np.argsort(self.hash[use], kind="stable")
-        self.hash, self.place, self.item = (x[use][order] for x in (self.hash, self.place, self.item))
-        self.maybe = np.zeros(1 << 22, bool)  # by a seed's top bits, so that few seeds of documents are searched for
-        self.maybe[self.hash >> np.uint64(42)] = True
+        hashes, places, items, used = [], [], [], []
+        for k, h, place in seeds(self.words, self.offs):
+            item = np.searchsorted(self.offs, place, "right") - 1
+            use = _serves(k, n[item])
+            if use.any():
+                used.append(k)
+            hashes, places, items = [*hashes, h[use]], [*places, place[use]], [*items, item[use]]
+        self.masks = tuple(used)
+        self.hash, self.place, self.item = (np.concatenate(x) for x in (hashes, places, items))
+        order = np.argsort(self.hash, kind="stable")
+        self.hash, self.place, self.item = (x[order] for x in (self.hash, self.place, self.item))
+        # by a seed's top bits, so that few seeds of documents are searched for
+        bits = min(max(len(self.hash).bit_length() + 4, 8), 22)
+        self.shift, self.maybe = np.uint64(64 - bits), np.zeros(1 << bits, bool)
+        self.maybe[self.hash >> self.shift] = True
 
 
 def stretch(equal: np.ndarray) -> tuple[int, int]:
@@ -136,12 +163,15 @@ def _search(known: Items, b: pa.RecordBatch) -> pa.RecordBatch:
     words, starts, ends, at = word_hashes(data, offs)
     tries: set[tuple[int, int, int]] = set()
     if len(known.hash) and len(words):
-        for h, place in seeds(words, at, known.masks):
-            some = np.flatnonzero(known.maybe[h >> np.uint64(42)])
+        for mask, h, place in seeds(words, at, known.masks):
+            some = np.flatnonzero(known.maybe[h >> known.shift])
             lo, hi = (np.searchsorted(known.hash, h[some], side) for side in ("left", "right"))
             seed, here = common.ranges(lo, hi - lo), np.repeat(place[some], hi - lo)
             doc = np.searchsorted(at, here, "right") - 1
             item = known.item[seed]
+            if mask == WHOLE:  # seeds of whole texts and of windows never meet but for one chance in 2**64
+                fits = np.diff(at)[doc] == np.diff(known.offs)[item]
+                here, doc, item, seed = here[fits], doc[fits], item[fits], seed[fits]
             shift = (here - at[doc]) - (known.place[seed] - known.offs[item])
             tries.update(zip(doc.tolist(), item.tolist(), shift.tolist(), strict=True))
     out = []
@@ -167,10 +197,9 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
             for b in common.slices(batches):
                 data, offs = common.text_arrays(b.column(1))
                 words, _, _, at = word_hashes(data, offs)
-                long_ = np.diff(at) >= MIN_ITEM
-                for h, place in seeds(words, at):
+                for mask, h, place in seeds(words, at):
                     of = np.searchsorted(at, place, "right") - 1
-                    use = long_[of]
+                    use = _serves(mask, np.diff(at)[of]) if key == "item_key" else np.ones(len(of), bool)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of[use])), pa.array(h[use].view(np.int64))], [key, "seed"])
 
         return run
@@ -181,12 +210,16 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
     in_docs = table.select(key.alias("doc_key"), "text").mapInArrow(seed_rows("doc_key"), "doc_key long, seed long").distinct()
     hits = in_docs.join(in_items, "seed").select("doc_key", "item_key").distinct()
     its, own = items.select(key.alias("item_key"), "item_id", F.col("text").alias("item")), table.withColumn("doc_key", key)
-    each = hits.join(its, "item_key").join(own, "doc_key").select("doc_id", "text", "item_id", "item")
+    # a text is sent once for every TOGETHER items that it may hold (about)
+    hits = hits.join(hits.groupBy("doc_key").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")), "doc_key").withColumn("part", F.pmod(F.xxhash64("item_key"), F.col("parts")))
+    tried = hits.join(its, "item_key").groupBy("doc_key", "part").agg(F.collect_list(F.struct("item_id", "item")).alias("items"))
+    each = tried.join(own, "doc_key").select("doc_id", "text", "items")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                known = Items([b.column(2)[i].as_py()], [b.column(3)[i].as_py()])
+                some = b.column(2)[i].as_py()
+                known = Items([x["item_id"] for x in some], [x["item"] for x in some])
                 yield _search(known, pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1)], ["doc_id", "text"]))
 
     return each.mapInArrow(run, FIELDS)

@@ -72,6 +72,66 @@ def test_items_with_three_of_four_equal_words(spark, n, gone):
     assert [tuple(r) for r in decontaminate.leaks(docs, items).select("doc_id", "n_words", "n_equal").collect()] == [(1, n, n - len(gone))]
 
 
+def plain_leaks(doc, item):
+    """Whether some laying of the item along the document has a stretch that meets the rule."""
+    whole = len(item)
+    if whole < decontaminate.MIN_ITEM:
+        return bool(item) and doc == item
+    for shift in range(1 - whole, len(doc)):
+        lo, hi = max(0, -shift), min(whole, len(doc) - shift)
+        equal = [item[k] == doc[k + shift] for k in range(lo, hi)]
+        for a in range(len(equal)):
+            for b in range(a + 1, len(equal) + 1):
+                n = b - a
+                if n >= min(8, whole) and (n >= 0.6 * whole or n >= 20) and 4 * sum(equal[a:b]) >= 3 * n:
+                    return True
+    return False
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_one_word_replaced_by_brute_force(spark, monkeypatch, broadcast):
+    """At every place of items of every length; nothing is reported that no laying of the item allows."""
+    if not broadcast:
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
+        monkeypatch.setattr(decontaminate, "TOGETHER", 5)
+    rng = random.Random(12)
+    items = {n: [f"i{n}x{k}" for k in range(n)] for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 16, 20, 30)}
+    docs, holds = [], {}
+    for n, words in items.items():
+        for gone in [None, *range(n)]:
+            copy = ["other" if k == gone else w for k, w in enumerate(words)]
+            for before, after in ((0, 0), (12, 12)):
+                doc = text(rng, before).split() + copy + text(rng, after).split()
+                docs.append((len(docs), " ".join(doc)))
+                holds[docs[-1][0]] = {m for m, its in items.items() if plain_leaks(doc, its)}
+    got = {i: set() for i in holds}
+    for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")).collect():
+        got[r.doc_id].add(r.item_id)
+    assert got == holds and sum(map(len, holds.values())) > 200
+
+
+def test_random_passages_by_brute_force(spark):
+    """Copies with every fifth word at random replaced: whatever is reported is a leak, and few are missed."""
+    rng = random.Random(13)
+    items = [text(rng, rng.randrange(12, 40)).split() for _ in range(30)]
+    docs, found = [], set()
+    for i, item in enumerate(items):
+        copy = [w if rng.random() < 0.85 else "other" for w in item]
+        docs.append((i, " ".join(text(rng, 20).split() + copy + text(rng, 20).split())))
+    for r in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect():
+        found.add((r.doc_id, r.item_id))
+    want = {(i, j) for i, t in docs for j, item in enumerate(items) if plain_leaks(t.split(), item)}
+    assert found <= want and len(found) >= 0.9 * len(want) and len(want) > 20
+
+
+def test_items_of_equal_text(spark):
+    rng = random.Random(14)
+    item = text(rng, 25)
+    docs = spark.createDataFrame([(1, f"{text(rng, 9)} {item}")], "doc_id long, text string")
+    got = decontaminate.contaminated(docs, spark.createDataFrame([(3, item), (4, item.upper()), (None, item)], "item_id long, text string")).first()
+    assert got.item_ids == [3, 4] and got.n_spans == 3
+
+
 def test_both_ways_agree(tables, monkeypatch):
     docs, items = tables
     narrow = {tuple(r) for r in decontaminate.leaks(docs, items).collect()}
