@@ -4,7 +4,9 @@ Given rules are pairs of host and path with a verdict. A rule fits its host and
 starts with the rule's path; the longest fitting rule decides. They are found by an index: the url's host and its
 parent domains are looked up, never every rule for every url.
 
-For urls that no rule decides, token combinations are mined from labelled urls: tokens are the parts of the host and
+For urls that no rule decides, token combinations are mined from labelled urls. Without labels of their own these are all
+urls: what the rules decide as decided, the others as allowed, so that a combination is blocked only where most of the
+urls that have it are. Tokens are the parts of the host and
 the path (without bare numbers), each labelled url is a transaction of its tokens and its label, and Spark's FP-growth
 gives rules "tokens -> label" of at least MIN_SUPPORT and MIN_CONFIDENCE. A rule goes when a part of it says the same
 with no less confidence. An inverted index from a rule's rarest token finds the rules that apply; the most confident
@@ -123,13 +125,14 @@ class Index:
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFrame | None = None, default: str = "allow", **limits) -> DataFrame:
-    """page_id, host, path, rule, verdict for each row. labelled has (url, label); without it what the rules decide is."""
+    """page_id, host, path, rule, verdict for each row. labelled has (url, label); without it the rules label all rows, with
+    the default where none fits."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("given", given_rule(rules, F.col("host"), F.col("path"))).withColumn("tokens", tokens_of(F.col("host"), F.col("path")))
     if labelled is None:
-        known = rows.filter("given is not null").select("tokens", F.col("given.verdict").alias("label"))
+        known = rows.filter("host <> ''").select("tokens", F.coalesce("given.verdict", F.lit(default)).alias("label"))
     else:
-        known = labelled.filter("label is not null").select(tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "label")
+        known = _transactions(labelled)
     mined = mine(known, **limits)
     names = ["page_id", "host", "path", "rule", "verdict"]
 
@@ -141,3 +144,27 @@ def judge(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str
 
     out = rows.select("page_id", "host", "path", F.col("given.rule").alias("rule"), F.col("given.verdict").alias("verdict"), "tokens")
     return out.mapInArrow(run, "page_id long, host string, path string, rule string, verdict string")
+
+
+def _transactions(labelled: DataFrame) -> DataFrame:
+    return labelled.filter("label is not null").select(tokens_of(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "label")
+
+
+def held_out_quality(labelled: DataFrame, default: str = "allow", parts: int = 5, **limits) -> DataFrame:
+    """How mined rules do on hosts they weren't mined from: for each label its urls, those judged so, and those rightly.
+
+    One host in `parts` (by hash) of labelled (url, label) is held out.
+    """
+    out = F.pmod(F.xxhash64(host_of(F.col("url"))), F.lit(parts)) == 0
+    mined = mine(_transactions(labelled.filter(~out)), **limits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(mined)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([index.verdict(t) or default for t in b.column(0).to_pylist()], pa.string())], ["label", "verdict"])
+
+    said = _transactions(labelled.filter(out)).select("tokens", "label").mapInArrow(run, "label string, verdict string")
+    each = said.groupBy("label", "verdict").agg(F.count("*").alias("n"))
+    one = lambda c: each.groupBy(F.col(c).alias("label")).agg(F.sum("n").alias(f"n_{c}"))
+    right = each.filter("label = verdict").select("label", F.col("n").alias("n_right"))
+    return one("label").join(one("verdict"), "label", "full").join(right, "label", "left").na.fill(0)
