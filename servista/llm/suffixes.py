@@ -1,19 +1,19 @@
 """Repeated byte strings by a depth-limited radix sort of suffixes (operator 3).
 
-Suffixes count only through their first DEPTH bytes (a window). Most-significant-digit passes deal suffixes into
-groups of equal digits and drop groups of one; what is equal after the last digit is exactly what repeats. The order
-itself is of no use here, so digits are 64-bit hashes of blocks, and groups are made by shuffles instead of buckets
-in one memory.
+Suffixes count only through their first DEPTH bytes (a window). Most-significant-digit passes order suffixes by one
+digit of BYTES bytes after the other, within the groups that are equal so far, and drop groups of one; what is left after
+the last digit is exactly what repeats.
 
-Sorting every suffix of every text would shuffle many times the input, so neighbouring windows go through the passes
-together. Each window has an anchor, the DIGIT bytes in it with the least hash (the first of equals), which depends on
+Sorting every suffix of every text would shuffle many times the input, so suffixes are dealt out before they are sorted,
+and neighbouring ones travel together. Each window has an anchor, the DIGIT bytes in it with the least hash (the first of equals), which depends on
 the window's bytes alone; windows in a row with one anchor form a run. Equal windows have equal anchors at equal
 places in them. About one run starts in every 75 bytes.
 
-Pass 1, digit: the anchor's bytes. Anchors that occur once drop out with all their windows.
-Pass 2, digit: all bytes that a run's windows cover together. Runs that are equal as a whole repeat as a whole.
-Pass 3, digit: each window of one representative of each remaining run, among the runs that share its anchor. An anchor
-with more than GROUP different runs (a phrase in very many contexts) is dealt out by windows instead of by anchor.
+1. Runs are dealt by their anchor's hash. Anchors that occur once drop out with all their windows.
+2. Runs of one anchor are dealt by a hash of all bytes that their windows cover together. Runs that are equal as a whole
+   repeat as a whole; one of them stands for all from here on.
+3. The windows of the remaining runs of an anchor go through the radix passes, in one task. An anchor with more than GROUP
+   different runs (a phrase in very many contexts) is dealt out by its windows' hashes instead, with partial counts.
 
 Edge cases: null and empty texts, and texts shorter than DEPTH, lose nothing; windows of rows with equal text or equal
 doc_id count as separate places; a string that repeats within one text (also overlapping itself) is removed; an
@@ -36,7 +36,10 @@ from . import common
 DEPTH, DIGIT = 200, 50
 #: Runs of one anchor that are compared in one task.
 GROUP = 2000
-SALTS = 16
+#: Bytes of a digit.
+BYTES = 8
+#: Equal runs, and share of all runs, beyond which they are found without a shuffle: 10,000 kinds of them at most.
+HOT_RUNS, HOT_SHARE = 50_000, 1e-4
 
 
 def runs(data: np.ndarray, offs: np.ndarray, depth: int = DEPTH, digit: int = DIGIT) -> tuple[np.ndarray, ...]:
@@ -150,20 +153,40 @@ def _intervals(row: np.ndarray, first: np.ndarray, of: np.ndarray, place: np.nda
     return pa.RecordBatch.from_arrays([pa.array(row[of[a]]), pa.array(first[of[a]] + place[a]), pa.array(first[of[z]] + place[z] + depth)], ["row", "start", "end"]) if len(of) else pa.RecordBatch.from_pydict({k: pa.array([], pa.int64()) for k in ("row", "start", "end")})
 
 
+def radix(data: np.ndarray, start: np.ndarray, group: np.ndarray, depth: int) -> np.ndarray:
+    """Which of the suffixes from start on equal another one of their group in their first depth bytes: a radix sort, most
+    significant digit first, of what is still equal to something. The suffixes left, in their order."""
+    alive = np.arange(len(start))
+    for at in range(0, depth, BYTES):
+        if not len(alive):
+            break
+        place, digit = start[alive] + at, np.zeros(len(alive), np.uint64)
+        for k in range(min(BYTES, depth - at)):
+            digit = (digit << np.uint64(8)) | data[place + k]
+        order = np.argsort(digit, kind="stable")
+        order = order[np.argsort(group[order], kind="stable")]
+        group, digit = group[order], digit[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])
+        group = np.cumsum(fresh) - 1
+        several = np.bincount(group)[group] > 1
+        alive, group = alive[order[several]], group[several]
+    return alive
+
+
 def _compare(found: DataFrame, depth: int) -> DataFrame:
     """(row, start, end) of windows that repeat among runs of one anchor, for runs that are alone."""
 
     def work(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        anchor = t["anchor"].to_numpy()
-        h, of, place = _window_hashes(t["bytes"].chunk(0), anchor, depth)
-        order = np.sort(h)
-        twice = np.unique(order[1:][order[1:] == order[:-1]])
-        hit = np.zeros(len(h), bool)
-        if len(twice):
-            at = np.minimum(np.searchsorted(twice, h), len(twice) - 1)
-            hit = (twice[at] == h) & t["alone"].to_numpy(zero_copy_only=False)[of]
-        return _intervals(t["row"].to_numpy(), t["first"].to_numpy().astype(np.int64), of[hit], place[hit], depth)
+        data, offs = common.text_arrays(t["bytes"].chunk(0))
+        n = np.diff(offs) - depth + 1
+        of = np.repeat(np.arange(len(n)), n)
+        start = common.ranges(offs[:-1], n)
+        _, group = np.unique(t["anchor"].to_numpy(), return_inverse=True)
+        left = np.sort(radix(data, start, group[of], depth))
+        left = left[t["alone"].to_numpy(zero_copy_only=False)[of[left]]]
+        return _intervals(t["row"].to_numpy(), t["first"].to_numpy().astype(np.int64), of[left], (start - offs[of])[left], depth)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -214,9 +237,12 @@ def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, whole: bool
     found = _bytes_of(equal.withColumn("alone", F.col("n") == 1).join(hot, "anchor"), texts.select("row", "packed"), depth)
     found = common.materialise(found, "covered")
     common.tidy(docs.sparkSession)
-    # an anchor may have very many runs, so its rows are dealt over SALTS tasks, each with a copy of its classes
-    salted = equal.filter("n > 1").select("anchor", "whole", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])).alias("salt"))
-    again = some.filter("several").withColumn("salt", F.pmod(F.xxhash64("row", "first"), F.lit(SALTS)).cast("int")).join(salted, ["anchor", "whole", "salt"], "left_semi").drop("salt")
+    # very many equal runs are found by their few kinds, in place; the others by a shuffle
+    several, repeated = some.filter("several"), equal.filter("n > 1")
+    size = equal.agg(F.sum("n").alias("n")).first()["n"] or 0
+    hot_runs = F.broadcast(repeated.filter(F.col("n") > max(HOT_RUNS, HOT_SHARE * size)).select("anchor", "whole"))
+    kind = ["anchor", "whole"]
+    again = several.join(hot_runs, kind, "left_semi").union(several.join(hot_runs, kind, "left_anti").join(repeated.select(*kind), kind, "left_semi"))
     of_runs = [df.select("row", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") - 1 + depth).cast("long").alias("end")) for df in (some.filter("not several"), again)]
     intervals = of_runs[0].union(of_runs[1]).union(_compare(found.filter("not hot"), depth)).union(_compare_hot(found.filter("hot"), depth))
     return texts, intervals

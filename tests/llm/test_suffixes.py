@@ -1,5 +1,7 @@
+import collections
 import random
 
+import numpy as np
 import pytest
 
 from servista.llm import common, suffixes
@@ -34,6 +36,27 @@ def test_short_alphabet_and_hot_anchors(spark, monkeypatch, group):
     check(spark, rows, depth=16, digit=5)
 
 
+@pytest.mark.parametrize("depth", [1, 7, 8, 9, 20])
+def test_radix_passes_leave_what_repeats(depth):
+    rng = random.Random(depth)
+    data = np.array([rng.randrange(2) + 97 for _ in range(600)] * 2 + [rng.randrange(256) for _ in range(300)], np.uint8)
+    start = np.array(rng.sample(range(len(data) - depth + 1), 900))
+    group = np.array([rng.randrange(5) for _ in start])
+    seen = collections.Counter((int(g), data[s : s + depth].tobytes()) for s, g in zip(start, group, strict=True))
+    want = [k for k, (s, g) in enumerate(zip(start, group, strict=True)) if seen[int(g), data[s : s + depth].tobytes()] > 1]
+    assert sorted(suffixes.radix(data, start, group, depth).tolist()) == want and want
+    assert not len(suffixes.radix(data, start[:0], group[:0], depth))
+
+
+def test_very_many_equal_runs(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_RUNS", 5)
+    monkeypatch.setattr(suffixes, "HOT_SHARE", 0.0)
+    rng = random.Random(8)
+    line, other = brute.prose(rng, 60), brute.prose(rng, 60)
+    rows = [(i, f"{brute.prose(rng, 9)} {line} {brute.prose(rng, 9)}") for i in range(12)] + [(50 + i, f"{brute.prose(rng, 9)} {other} {line}") for i in range(3)]
+    check(spark, rows)
+
+
 def test_repeated_rows(spark):
     text = brute.prose(random.Random(5), 100)
     check(spark, [(1, text), (1, text), (1, "short"), (None, "x" + text[:300])])
