@@ -7,7 +7,7 @@ whole value). A segment's head has each block's minimum, width, number of except
 can be read alone. All numbers are little-endian.
 
 Edge cases: null and empty texts give the end id alone; rows with equal doc_id stay separate, in order of text;
-a null doc_id comes first and is kept as null; an empty table gives no files and no rows.
+a null doc_id comes first and is kept as null (in the files it is -2**63, so a doc_id of that value is read as null); an empty table gives no files and no rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ of a window and ignores the others, so the hash of what it sees survives substit
 benchmark windows under all masks are joined with those of the documents' windows. Around each hit the item's own
 words are laid along the document at that offset, and the longest stretch with enough equal words is kept: a match needs at
 least MIN_WORDS words (or the whole item, if it is shorter), at least MIN_SHARE of them equal, and it must cover
-MIN_COVER of the item or WINDOW_WORDS words. Items of fewer than 8 words have masks of their own, which find them with any
+MIN_COVER of the item or WINDOW_WORDS words. Where none does, EXACT_WORDS equal words in a row are a match too. Items of fewer than 8 words have masks of their own, which find them with any
 one word replaced; of fewer than MIN_ITEM words they are too common inside texts, and match texts that are nothing else.
 
 The seeds of the benchmark are searched as a sorted array in each task where there are at most BROADCAST_SEEDS of them
@@ -28,7 +28,7 @@ from . import common
 MASKS = ("111111", "1101011001", "11100101001", "1100101101", "101100111", "11011")
 SHORT_MASKS = ("11110", "11101", "10111", "01111")
 SHORT = 8
-MIN_ITEM, MIN_WORDS, MIN_SHARE, MIN_COVER, WINDOW_WORDS = 5, 8, 0.75, 0.6, 20
+MIN_ITEM, MIN_WORDS, MIN_SHARE, MIN_COVER, WINDOW_WORDS, EXACT_WORDS = 5, 8, 0.75, 0.6, 20, 13
 BROADCAST_SEEDS = 2_000_000
 #: Items that a document is compared with in one go where the benchmark isn't broadcast.
 TOGETHER = 1000
@@ -132,7 +132,13 @@ def confirm(item_words: np.ndarray, doc_words: np.ndarray, shift: int) -> tuple[
     n, same = b - a, int(equal[a:b].sum())
     whole = len(item_words)
     if n < min(MIN_WORDS, whole) or same < MIN_SHARE * n or (n < MIN_COVER * whole and n < WINDOW_WORDS):
-        return None
+        last = np.maximum.accumulate(np.where(equal, -1, np.arange(len(equal))))  # the unequal word before
+        run = np.arange(len(equal)) - last
+        b = int(run.argmax()) + 1
+        a = b - int(run[b - 1])
+        if b - a < EXACT_WORDS:
+            return None
+        same = b - a
     return lo + a, lo + b, same
 
 

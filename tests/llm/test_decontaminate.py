@@ -56,7 +56,7 @@ def test_longest_stretch_is_the_rule():
         item = np.arange(whole)
         equal = rng.random(whole) < rng.choice([0.5, 0.75, 0.8, 0.9])
         runs = [(a, b) for a in range(whole) for b in range(a + 1, whole + 1) if 4 * equal[a:b].sum() >= 3 * (b - a)]
-        runs = [b - a for a, b in runs if b - a >= min(8, whole) and (b - a >= 0.6 * whole or b - a >= 20)]
+        runs = [b - a for a, b in runs if b - a >= min(8, whole) and (b - a >= 0.6 * whole or b - a >= 20)] or [b - a for a, b in runs if b - a >= 13 and equal[a:b].all()]
         got = decontaminate.confirm(item, np.where(equal, item, -1), 0)
         assert (got[1] - got[0] if got else None) == max(runs, default=None)
         assert got is None or got[2] == equal[got[0] : got[1]].sum()
@@ -83,7 +83,7 @@ def plain_leaks(doc, item):
         for a in range(len(equal)):
             for b in range(a + 1, len(equal) + 1):
                 n = b - a
-                if n >= min(8, whole) and (n >= 0.6 * whole or n >= 20) and 4 * sum(equal[a:b]) >= 3 * n:
+                if n >= min(8, whole) and (n >= 0.6 * whole or n >= 20) and 4 * sum(equal[a:b]) >= 3 * n or n >= 13 and all(equal[a:b]):
                     return True
     return False
 

@@ -85,6 +85,14 @@ def test_held_out_accuracy_and_edges(spark):
     assert by[1003].lang_pred == "bb" and len(out) == len(rows)
 
 
+def test_ties_go_to_the_first_name():
+    rng = random.Random(9)
+    text = language(rng, SYLLABLES["aa"], 200)
+    model = langid.Model({"zz": text, "bb": text, "cc": language(rng, SYLLABLES["cc"], 200)})
+    said, score, _ = model.predict([language(rng, SYLLABLES["aa"], 20), "", "12"])
+    assert said == ["bb", "und", "und"] and score.tolist() == [0, 0, 0]
+
+
 def test_nothing_to_learn_from(spark):
     docs = brute.table(spark, [(1, "text")])
     assert langid.samples(docs.withColumn("lang", F.lit(None).cast("string")), F.lit(True)) == {}
