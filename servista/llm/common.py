@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Raw text bytes that one vectorised step handles at once; a longer single text is a step of its own.
-STEP_BYTES = 500_000
+STEP_BYTES = 250_000
 #: Texts that one step handles at most.
 STEP_ROWS = 4096
 
@@ -80,6 +80,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return _write(df, work_dir(df.sparkSession, name))
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that materialise() made, when nothing reads them any more."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            _delete(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
 @contextlib.contextmanager
 def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
     """materialise()'s table, for this block only."""
@@ -102,12 +110,6 @@ def by_key(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> D
     return df.join(keys, df[on].eqNullSafe(F.col("__key")), how)
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let the driver notice which shuffles are of no more use, so that their files go."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def input_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of the size of df's sources, used to choose numbers of partitions only."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -118,15 +120,16 @@ def parts(df: DataFrame, each: int = 16 << 20, least: int = 1, most: int = 100_0
     return max(least, min(most, -(-input_bytes(df) // each)))
 
 
-def lean_memory() -> None:
-    """In a worker process: give freed memory back at once, as an executor's Python workers share its limit with the JVM."""
+def lean_memory(block_mb: int = 1) -> None:
+    """In a worker process: give freed blocks from that size on back at once, as an executor's Python workers share its limit
+    with the JVM. The first call counts."""
     if _lean:
         return
     _lean.append(True)
     with contextlib.suppress(OSError, AttributeError):
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 8 << 20)  # blocks of 8 MB and more go back when freed
-        libc.mallopt(-1, 16 << 20)  # so does so much free memory at the end of the heap
+        libc.mallopt(-3, block_mb << 20)
+        libc.mallopt(-1, 2 * block_mb << 20)  # free memory at the end of the heap that goes back
     pa.set_memory_pool(pa.system_memory_pool())
 
 

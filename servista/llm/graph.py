@@ -24,6 +24,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         new = labels.join(near, "node").join(jump, "label").select("node", F.least("label", "near", "jump").alias("label"), (F.least("near", "jump") < F.col("label")).alias("moved"))
         new = common.materialise(new, name)
         moved = new.filter("moved").limit(1).count()
+        common.drop(labels)
         labels = new.drop("moved")
         if not moved:
+            common.drop(both)
             return labels

@@ -140,6 +140,7 @@ def deal(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_pylist([row], schema)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.lean_memory(8)  # its arrays are large and many
         held, size, k, part = [], 0, 0, 0
         for b in common.slices(rows):
             data, offs = common.text_arrays(b.column(1))
@@ -483,7 +484,7 @@ def advance(table: DataFrame, told: DataFrame | None, totals: list[list[Totals]]
     if told is None:
 
         def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            common.lean_memory()
+            common.lean_memory(8)
             for rows in batches:
                 for i in range(rows.num_rows):
                     yield from work(*(rows.column(k)[i].as_py() for k in range(6)), None).to_batches()
@@ -491,7 +492,7 @@ def advance(table: DataFrame, told: DataFrame | None, totals: list[list[Totals]]
         return static.mapInArrow(alone, _OUT_DDL)
 
     def both(key, left, right):
-        common.lean_memory()
+        common.lean_memory(8)
         return work(*(left[c][0].as_py() for c in ("bucket", "n", "n_contexts", "words", "cells", "contexts")), right)
 
     return how.group(static, "bucket").cogroup(how.group(told, "bucket")).applyInArrow(both, _OUT_DDL)
@@ -554,7 +555,7 @@ def answer(table: DataFrame, told: DataFrame, totals: list[list[Totals]], how: D
     schema = pa.schema([("batch", pa.int64()), ("bucket", pa.int64()), ("n", pa.int64()), ("words", pa.binary())])
 
     def run(key, left, right):
-        common.lean_memory()
+        common.lean_memory(8)
         number, n, n_contexts, words, cells, contexts, asked = (left[c][0].as_py() for c in ("bucket", "n", "n_contexts", "words", "cells", "contexts", "asked"))
         b = _bucket(n, n_contexts, words, cells, contexts, how)
         got, states = _inbox(right, 3, b, how)
@@ -614,7 +615,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     base_all = math.log10(n + 0.1 * (v + 1))
 
     def run(key, batch, told):
-        common.lean_memory()
+        common.lean_memory(8)
         order = np.argsort(told["bucket"].to_numpy())
         ns, blobs = told["n"].to_pylist(), told["words"].to_pylist()
         c, p = (np.concatenate(x) for x in zip(*[_unpack(blobs[i], ns[i], np.uint32, np.uint32) for i in order.tolist()], strict=True))

@@ -250,7 +250,7 @@ def predict(docs: DataFrame, learned: dict[str, str], *keep: str) -> DataFrame:
     m = Model(learned)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.slices(batches, step=2 * common.STEP_BYTES):
+        for b in common.slices(batches, step=4 * common.STEP_BYTES):
             lang, score, bits = m.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(lang, pa.string()), pa.array(score), pa.array(bits)], names)
 

@@ -270,14 +270,15 @@ def groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     member = common.materialise(member.join(sizes, "comp", "left").withColumn("size", F.coalesce("size", F.lit(1))), "members")
     rank = F.struct("size", "comp")
     open_ = member.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(rank).alias("top")).filter("c0 <> c1").select("key", F.col("top.comp").alias("big"))
-    large = common.materialise(member.join(open_, "key").select("big", "comp", "node").distinct(), "open")
+    opened = common.materialise(member.join(open_, "key").select("big", "comp", "node").distinct(), "open")
     packed = involved.select("node", "packed")
-    large = large.join(packed, "node").select("big", "comp", "node", "packed")
+    large = opened.join(packed, "node").select("big", "comp", "node", "packed")
     more = common.materialise(block_links(large.filter("comp <> big"), large, width, percent), "more-links")
     merged = components(more, "merged")  # of components
     label = labels.select("node", F.col("label").alias("comp"))
     final = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(merged.select(F.col("node").alias("comp"), F.col("label").alias("top")), "comp", "left").select("node", "doc_id", F.coalesce("top", "comp").alias("comp"))
     final = common.materialise(final, "final")
+    common.drop(nodes, members, pairs, involved, left, edges, labels, member, opened, more, merged)
     least = final.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_node = final.select("node", "comp").join(least, "comp").select("node", "component_id")
     out = seen.select("doc_id", "n", "node").join(of_node, "node", "left")

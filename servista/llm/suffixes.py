@@ -224,19 +224,19 @@ def _compare_hot(found: DataFrame, depth: int) -> DataFrame:
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The scanned texts (see scan), and (row, start, end) of byte intervals covered by strings that occur elsewhere too."""
+    """The scanned texts (see scan), and (row, cuts) with the byte intervals (start, end) of a text that are covered by strings
+    which occur elsewhere too; they may overlap."""
     common.small_batches(docs.sparkSession)
     texts = common.materialise(scan(docs, depth, digit, whole), "scanned")
     every = texts.select("row", F.inline(F.arrays_zip("anchor", "whole", "first", "windows")))
     again = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")).filter("n > 1").select("anchor", (F.col("a") != F.col("b")).alias("several"))
-    some = common.materialise(every.join(common.materialise(again, "anchors"), "anchor"), "runs")
-    common.tidy(docs.sparkSession)
+    with common.scratch(again, "anchors") as again:
+        some = common.materialise(every.join(again, "anchor"), "runs")
     equal = some.filter("several").groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.first("row").alias("row"), F.first("first").alias("first"), F.first("windows").alias("windows"))
     equal = common.materialise(equal, "classes")
     hot = equal.groupBy("anchor").agg((F.count("*") > GROUP).alias("hot"))
     found = _bytes_of(equal.withColumn("alone", F.col("n") == 1).join(hot, "anchor"), texts.select("row", "packed"), depth)
     found = common.materialise(found, "covered")
-    common.tidy(docs.sparkSession)
     # very many equal runs are found by their few kinds, in place; the others by a shuffle
     several, repeated = some.filter("several"), equal.filter("n > 1")
     size = equal.agg(F.sum("n").alias("n")).first()["n"] or 0
@@ -245,14 +245,15 @@ def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, whole: bool
     again = several.join(hot_runs, kind, "left_semi").union(several.join(hot_runs, kind, "left_anti").join(repeated.select(*kind), kind, "left_semi"))
     of_runs = [df.select("row", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") - 1 + depth).cast("long").alias("end")) for df in (some.filter("not several"), again)]
     intervals = of_runs[0].union(of_runs[1]).union(_compare(found.filter("not hot"), depth)).union(_compare_hot(found.filter("hot"), depth))
-    return texts, intervals
+    each = intervals.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
+    each = common.materialise(each, "intervals")
+    common.drop(some, equal, found)
+    return texts, each
 
 
-def _cut(texts: DataFrame, intervals: DataFrame, keep_text: bool) -> DataFrame:
+def _cut(texts: DataFrame, cuts: DataFrame, keep_text: bool) -> DataFrame:
     """row, doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining text, if asked for) of texts that lose bytes."""
-    each = intervals.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
-    each = common.materialise(each, "intervals")
-    rows = _with_text(each, texts.select("row", "doc_id", "n_bytes", "packed")).select("row", "doc_id", "n_bytes", "packed", "cuts")
+    rows = _with_text(cuts, texts.select("row", "doc_id", "n_bytes", "packed")).select("row", "doc_id", "n_bytes", "packed", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor()
@@ -275,8 +276,8 @@ def _cut(texts: DataFrame, intervals: DataFrame, keep_text: bool) -> DataFrame:
 
 def digest(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
-    texts, intervals = repeats(docs, depth, digit)
-    cut = common.materialise(_cut(texts, intervals, False), "cut")
+    texts, cuts = repeats(docs, depth, digit)
+    cut = common.materialise(_cut(texts, cuts, False), "cut")
     same = texts.select("row", "doc_id", "n_bytes", "sha256").join(cut.select("row"), "row", "left_anti")
     same = same.select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"))
     return cut.drop("row").union(same)
@@ -284,8 +285,8 @@ def digest(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame
 
 def cleaned(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT) -> DataFrame:
     """docs with the repeated bytes taken out of text; all rows and columns stay."""
-    texts, intervals = repeats(docs, depth, digit, whole=True)
-    cut = common.materialise(_cut(texts, intervals, True).select("row", "kept"), "cleaned")
+    texts, cuts = repeats(docs, depth, digit, whole=True)
+    cut = common.materialise(_cut(texts, cuts, True).select("row", "kept"), "cleaned")
     same = common.by_key(texts.select("row", "packed", "other"), cut.select("row"), "row", "left_anti")
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -50,7 +50,7 @@ class _Seen(dict):
 
 class Encoder:
     #: Distinct pre-tokens kept; at more the table starts anew, which changes speed only.
-    KEEP = 250_000
+    KEEP = 200_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
