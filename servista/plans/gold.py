@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from servista.functions.dates import calendar
 
-#: percentile_approx is exact up to so many distinct values a group.
-ACCURACY = 1_000_000
+#: percentile_approx is exact up to half as many values a group, and off by one in so many ranks beyond; its memory is bounded by that.
+ACCURACY = 10_000
 #: Row frames of the rolling averages, as the source has them: 8 and 29 rows, the present one excluded.
 WEEK, MONTH = (-8, -1), (-29, -1)
 # Mean plus two standard deviations of daily counts.
