@@ -99,14 +99,10 @@ def api_with_fallback(spark, sf_dir):
     return _frame(spark, _client(spark, sf_dir).with_fallback("created_date > '2999-01-01T00:00:00'"))
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://")
-
-
 @query(f"WITH {_SUPPLIERS} SELECT sr_number, created_date, ward, true AS has_file FROM a WHERE created_date >= '2024-01-04T00:00:00'")
 def landing_initial_load(spark, sf_dir):
     folder = scratch(spark, "landing")
-    landing.initial_load(_client(spark, sf_dir), _local(folder), 1, datetime(2025, 1, 3), size=40)
+    landing.initial_load(_client(spark, sf_dir), folder, 1, datetime(2025, 1, 3), size=40)
     rows = landing.read_landing(spark, folder)
     return rows.select("sr_number", "created_date", "ward", F.col("_source_file").contains("initial").alias("has_file"))
 
@@ -118,7 +114,7 @@ def landing_incremental_loads(spark, sf_dir):
     records = _records(spark, sf_dir)
     early = rest.ApiClient(rest.ApiConfig("http://api/records", page_size=30), Server([r for r in records if r["created_date"] <= "2024-01-06T00:00:00"]).get, lambda seconds: None)
     for client, now in ((early, datetime(2024, 1, 9)), (_client(spark, sf_dir), datetime(2024, 6, 1))):
-        landing.incremental_load(rest.IncrementalLoader(client, _local(state)), _local(folder), now)
+        landing.incremental_load(rest.IncrementalLoader(client, state), folder, now)
     rows = landing.read_landing(spark, folder)
     return rows.select("sr_number", F.when(F.col("_source_file").contains("20240109"), "first").otherwise("second").alias("load"))
 
@@ -126,7 +122,7 @@ def landing_incremental_loads(spark, sf_dir):
 @query(f"WITH {_SUPPLIERS} SELECT sr_number, sr_type, ward FROM a WHERE ward IS NOT NULL")
 def landing_preview(spark, sf_dir):
     folder = scratch(spark, "landing")
-    landing.write_landing(_records(spark, sf_dir), _local(folder))
+    landing.write_landing(_records(spark, sf_dir), folder)
     return landing.preview(spark, folder).select("sr_number", "sr_type", "ward")
 
 

@@ -1,0 +1,30 @@
+"""Small files of the driver, on local folders and on any file system that pyarrow knows by its URI."""
+
+from __future__ import annotations
+
+import os
+
+from pyarrow import fs
+
+
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
+def read_text(path: str) -> str:
+    system, inner = _system(path)
+    with system.open_input_stream(inner, compression=None) as f:
+        return f.read().decode()
+
+
+def write_text(path: str, text: str) -> None:
+    """Write a file under another name first, so that a reader never sees half of it; folders are made as needed."""
+    system, inner = _system(path)
+    folder, name = inner.rsplit("/", 1)
+    system.create_dir(folder, recursive=True)
+    hidden = f"{folder}/.{name}"
+    with system.open_output_stream(hidden, compression=None) as f:
+        f.write(text.encode())
+    system.move(hidden, inner)

@@ -4,23 +4,19 @@ from __future__ import annotations
 
 import json
 from datetime import datetime, timedelta
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from servista.functions.clean import RAW_SCHEMA
+from servista.sources.files import write_text
 from servista.sources.rest import ApiClient, IncrementalLoader, Record, chunks
 
 
 def write_landing(records: list[Record], folder: str, kind: str = "incremental", now: datetime | None = None, part: int = 0) -> str:
-    """Write one file below folder/kind; a reader never sees half of it."""
-    base = Path(folder) / kind
-    base.mkdir(parents=True, exist_ok=True)
-    path = base / f"{kind}_{now or datetime.now():%Y%m%d_%H%M%S}_{part:04d}.json"
-    hidden = path.with_name(f".{path.name}")
-    hidden.write_text(json.dumps(records, ensure_ascii=False), encoding="utf-8")
-    hidden.rename(path)
-    return str(path)
+    """Write one file below folder/kind, a local path or a URI; a reader never sees half of it."""
+    path = f"{folder.rstrip('/')}/{kind}/{kind}_{now or datetime.now():%Y%m%d_%H%M%S}_{part:04d}.json"
+    write_text(path, json.dumps(records, ensure_ascii=False))
+    return path
 
 
 def initial_load(client: ApiClient, folder: str, years: int = 2, now: datetime | None = None, size: int = 50_000, most_files: int = 20) -> list[str]:

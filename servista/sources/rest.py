@@ -12,6 +12,8 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+from servista.sources.files import read_text, write_text
+
 Record = dict[str, object]
 Fetch = Callable[[str, dict[str, str], float], tuple[int, bytes]]
 RETRY_STATUS = frozenset({429, 500, 502, 503, 504})
@@ -148,8 +150,7 @@ class IncrementalLoader:
     def watermark(self) -> str | None:
         """None where there is no readable state: the next load is an initial one."""
         try:
-            with open(self.state_file, encoding="utf-8") as f:
-                return json.load(f).get("watermark")
+            return json.loads(read_text(self.state_file)).get("watermark")
         except (OSError, ValueError, AttributeError):
             return None
 
@@ -166,10 +167,7 @@ class IncrementalLoader:
     def commit(self) -> None:
         if self.pending is None:
             return
-        new = f"{self.state_file}.new"
-        with open(new, "w", encoding="utf-8") as f:
-            json.dump({"watermark": self.pending}, f)
-        os.replace(new, self.state_file)
+        write_text(self.state_file, json.dumps({"watermark": self.pending}))
 
 
 def chunks(client: ApiClient, where: str | None, size: int = 50_000, most_files: int = 20) -> Iterator[list[Record]]:
