@@ -205,7 +205,6 @@ def part_of(column, bounds: list[int]):
 
     if len(bounds) <= 512:
         return pick(0, len(bounds))
-    import bisect
 
     import pandas as pd
 
