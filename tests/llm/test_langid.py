@@ -1,6 +1,9 @@
+import math
 import random
+import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from servista.llm import langid
@@ -85,6 +88,28 @@ def test_held_out_accuracy_and_edges(spark):
     assert by[1003].lang_pred == "bb" and len(out) == len(rows)
 
 
+def plain_prediction(samples, text):
+    """Language and score by longest matches counted one language after the other."""
+    known = {c for t in samples.values() for c in t.lower() if c.isalpha()}
+    plain = lambda t: re.sub(" +", " ", "".join(c if c in known else "?" if c.isalpha() else " " for c in t.lower())).lstrip(" ")
+    own = plain(text)
+    if not re.search(r"[^ ]", own):
+        return "und", 0.0
+    cost = sorted((longest_match_phrases(own, plain(t)) * math.log2(max(2, len(plain(t)))) / len(own), k) for k, t in samples.items())
+    return cost[0][1], 1 - cost[0][0] / cost[1][0]
+
+
+def test_predictions_by_brute_force():
+    rng = random.Random(10)
+    samples = {k: language(rng, SYLLABLES[k], 120) + ", 12 " for k in SYLLABLES}
+    texts = [language(rng, SYLLABLES[rng.choice([*SYLLABLES])], rng.randrange(1, 30)) for _ in range(40)] + ["Thon, ERON -- 99 xyz!", "", " 1 2 ", "жизнь", "a", "  ungschein "]
+    texts += [" ".join(language(rng, SYLLABLES[k], 3) for k in rng.choices([*SYLLABLES], k=5)) for _ in range(20)]
+    said, score, _ = langid.Model(samples).predict(texts)
+    for text, lang, one in zip(texts, said, score.tolist(), strict=True):
+        want = plain_prediction(samples, text)
+        assert lang == want[0] and one == pytest.approx(want[1])
+
+
 def test_ties_go_to_the_first_name():
     rng = random.Random(9)
     text = language(rng, SYLLABLES["aa"], 200)
