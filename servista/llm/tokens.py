@@ -50,7 +50,7 @@ class _Seen(dict):
 
 class Encoder:
     #: Distinct pre-tokens kept; at more the table starts anew, which changes speed only.
-    KEEP = 200_000
+    KEEP = 300_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,7 +130,8 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """A worker process's encoder of a file."""
+    """A worker process's encoder of a file. Its arrays are many and large, so only larger ones are given back at once."""
+    common.lean_memory(8)
     return common.resident(("encoder", path), lambda: Encoder(path))
 
 
