@@ -99,15 +99,17 @@ def scratch(df: DataFrame, name: str) -> Iterator[DataFrame]:
         _delete(spark, path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df, a written table of numbers, to be broadcast in a join where it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def by_key(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
     """The rows of df whose column `on` is (left_semi) or isn't (left_anti) the only column of keys; nulls count as equal.
 
     keys is broadcast where it has at most BROADCAST_ROWS rows, so that df needn't be shuffled; else both are.
     """
-    keys = keys.toDF("__key").distinct()
-    if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    return df.join(keys, df[on].eqNullSafe(F.col("__key")), how)
+    return df.join(few(keys.toDF("__key").distinct()), df[on].eqNullSafe(F.col("__key")), how)
 
 
 def input_bytes(df: DataFrame) -> int:

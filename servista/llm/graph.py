@@ -18,10 +18,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     both = common.materialise(edges.filter(F.col("a") != F.col("b")).select("a", "b").union(edges.filter(F.col("a") != F.col("b")).select("b", "a")).distinct(), f"{name}-edges")
     labels = common.materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")), name)
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        near = both.join(common.few(labels.withColumnRenamed("node", "b")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         # the label's own label: a pointer jump
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("jump"))
-        new = labels.join(near, "node").join(jump, "label").select("node", F.least("label", "near", "jump").alias("label"), (F.least("near", "jump") < F.col("label")).alias("moved"))
+        new = labels.join(near, "node").join(common.few(jump), "label").select("node", F.least("label", "near", "jump").alias("label"), (F.least("near", "jump") < F.col("label")).alias("moved"))
         new = common.materialise(new, name)
         moved = new.filter("moved").limit(1).count()
         common.drop(labels)

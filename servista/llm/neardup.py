@@ -211,10 +211,7 @@ def block_links(small: DataFrame, large: DataFrame, width: int, percent: int) ->
     def parts(df: DataFrame) -> DataFrame:
         return df.groupBy("big").agg(F.ceil(F.sum(size) / BLOCK_BYTES).alias("n"))
 
-    def few(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.limit(common.BROADCAST_ROWS + 1).count() <= common.BROADCAST_ROWS else df
-
-    counts = few(common.materialise(parts(small).withColumnRenamed("n", "n_small").join(parts(large).withColumnRenamed("n", "n_large"), "big"), "parts"))
+    counts = common.few(common.materialise(parts(small).withColumnRenamed("n", "n_small").join(parts(large).withColumnRenamed("n", "n_large"), "big"), "parts"))
 
     def dealt(df: DataFrame, own: str, other: str) -> DataFrame:
         df = df.join(counts, "big").withColumn(own, F.pmod(F.xxhash64("node"), F.col(f"n_{own}")))
@@ -253,7 +250,8 @@ def groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     nodes = common.materialise(has.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     keyed = has.select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "node")
     buckets = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first <> last").select("key", "first")
-    members = common.materialise(keyed.join(buckets, "key").groupBy("key", "node").agg(F.first("first").alias("first")), "buckets")
+    buckets = common.materialise(buckets, "shared-keys")
+    members = common.materialise(keyed.join(common.few(buckets), "key").groupBy("key", "node").agg(F.first("first").alias("first")), "buckets")
 
     pairs = common.materialise(members.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "candidates")
     involved = common.by_key(seen.select("node", "sig", "packed"), members.select("node"), "node").groupBy("node").agg(F.min(F.struct("packed", "sig")).alias("x")).select("node", "x.sig", "x.packed")
@@ -265,20 +263,22 @@ def groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     labels = components(edges)
 
     # buckets with several components
-    member = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
+    member = members.select("key", "node").join(common.few(labels), "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp"))
     sizes = labels.groupBy(F.col("label").alias("comp")).agg(F.count("*").alias("size"))
-    member = common.materialise(member.join(sizes, "comp", "left").withColumn("size", F.coalesce("size", F.lit(1))), "members")
+    sizes = common.materialise(sizes, "sizes")
+    member = common.materialise(member.join(common.few(sizes), "comp", "left").withColumn("size", F.coalesce("size", F.lit(1))), "members")
     rank = F.struct("size", "comp")
     open_ = member.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(rank).alias("top")).filter("c0 <> c1").select("key", F.col("top.comp").alias("big"))
-    opened = common.materialise(member.join(open_, "key").select("big", "comp", "node").distinct(), "open")
+    open_ = common.materialise(open_, "open-keys")
+    opened = common.materialise(member.join(common.few(open_), "key").select("big", "comp", "node").distinct(), "open")
     packed = involved.select("node", "packed")
     large = opened.join(packed, "node").select("big", "comp", "node", "packed")
     more = common.materialise(block_links(large.filter("comp <> big"), large, width, percent), "more-links")
     merged = components(more, "merged")  # of components
     label = labels.select("node", F.col("label").alias("comp"))
-    final = nodes.select("node", "doc_id").join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(merged.select(F.col("node").alias("comp"), F.col("label").alias("top")), "comp", "left").select("node", "doc_id", F.coalesce("top", "comp").alias("comp"))
+    final = nodes.select("node", "doc_id").join(common.few(label), "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(common.few(merged.select(F.col("node").alias("comp"), F.col("label").alias("top"))), "comp", "left").select("node", "doc_id", F.coalesce("top", "comp").alias("comp"))
     final = common.materialise(final, "final")
-    common.drop(nodes, members, pairs, involved, left, edges, labels, member, opened, more, merged)
+    common.drop(nodes, buckets, sizes, open_, members, pairs, involved, left, edges, labels, member, opened, more, merged)
     least = final.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     of_node = final.select("node", "comp").join(least, "comp").select("node", "component_id")
     out = seen.select("doc_id", "n", "node").join(of_node, "node", "left")
