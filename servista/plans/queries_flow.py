@@ -38,6 +38,7 @@ class Server:
 
     def __init__(self, records: list[rest.Record]):
         self.records, self.calls = records, 0
+        self.found: dict[str | None, list[rest.Record]] = {None: records}  # by filter, which is applied once for all its pages
 
     def _holds(self, record: rest.Record, where: str) -> bool:
         def one(text: str) -> bool:
@@ -52,9 +53,10 @@ class Server:
         if self.calls == 2:
             return 503, b""  # the client asks again
         args = {k: v[0] for k, v in parse_qs(urlsplit(url).query).items()}
-        found = [r for r in self.records if "$where" not in args or self._holds(r, args["$where"])]
-        a = int(args["$offset"])
-        return 200, json.dumps(found[a : a + int(args["$limit"])]).encode()
+        where, a = args.get("$where"), int(args["$offset"])
+        if where not in self.found:
+            self.found[where] = [r for r in self.records if self._holds(r, where)]
+        return 200, json.dumps(self.found[where][a : a + int(args["$limit"])]).encode()
 
 
 def _client(spark: SparkSession, sf_dir: str) -> rest.ApiClient:

@@ -19,7 +19,7 @@ def write_landing(records: list[Record], folder: str, kind: str = "incremental",
     return path
 
 
-def initial_load(client: ApiClient, folder: str, years: int = 2, now: datetime | None = None, size: int = 50_000, most_files: int = 20) -> list[str]:
+def initial_load(client: ApiClient, folder: str, years: int = 2, now: datetime | None = None, size: int = 50_000, most_files: int | None = None) -> list[str]:
     """Land all records created in the last years, a file for each chunk; the files."""
     now = now or datetime.now()
     where = f"created_date >= '{now - timedelta(days=365 * years):%Y-%m-%d}T00:00:00'"

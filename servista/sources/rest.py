@@ -11,6 +11,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timedelta
+from itertools import count
 
 from servista.sources.files import read_text, write_text
 
@@ -170,9 +171,9 @@ class IncrementalLoader:
         write_text(self.state_file, json.dumps({"watermark": self.pending}))
 
 
-def chunks(client: ApiClient, where: str | None, size: int = 50_000, most_files: int = 20) -> Iterator[list[Record]]:
-    """Chunks of an initial load, one for each landing file; a short chunk is the last."""
-    for k in range(most_files):
+def chunks(client: ApiClient, where: str | None, size: int = 50_000, most_files: int | None = None) -> Iterator[list[Record]]:
+    """Chunks of an initial load, one for each landing file; a short chunk is the last, whatever their number unless `most_files` is given."""
+    for k in count() if most_files is None else range(most_files):
         got = client.page(where, k * size, size)
         if got:
             yield got

@@ -44,3 +44,14 @@ def test_equal(spark, db, name):
     mine = got.collect()
     assert len(mine) == len(data)
     assert rows(got.columns, mine) == rows(names, data)
+
+
+def test_initial_load_of_more_than_twenty_chunks(spark, tmp_path):
+    spark.range(1000).selectExpr("id AS s_suppkey", "concat('s', id) AS s_name", "CAST(id % 25 AS int) AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    want = con.execute(ORACLE_SQL["landing_initial_load"])
+    names = [c[0] for c in want.description]
+    got = QUERIES["landing_initial_load"](spark, str(tmp_path))
+    data = want.fetchall()
+    assert len(data) == 997 and rows(got.columns, got.collect()) == rows(names, data)

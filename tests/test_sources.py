@@ -50,6 +50,13 @@ def test_chunks_stop_at_a_short_one():
     assert [len(c) for c in rest.chunks(Server(25).client(), None, 10, most_files=1)] == [10]
 
 
+def test_initial_load_lands_every_chunk(tmp_path):
+    files = landing.initial_load(Server(215).client(), str(tmp_path), size=10)
+    landed = [r["sr_number"] for f in files for r in json.load(open(f))]
+    assert len(files) == 22 and landed == [str(i) for i in range(215)]
+    assert len(landing.initial_load(Server(215).client(), str(tmp_path / "some"), size=10, most_files=3)) == 3
+
+
 def test_latest_records_with_null_and_missing_order():
     got = rest.latest_records(iter([{"sr_number": "1", "last_modified_date": None, "v": 1}, {"sr_number": "1", "last_modified_date": "2024", "v": 2}, {"sr_number": "1", "v": 3}, {"v": 4}]))
     assert [r["v"] for r in got] == [2]
