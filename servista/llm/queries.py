@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary, decontaminate, fingerprint, hpylm, html, langid, neardup, packing, suffixes, urls
+from . import binary, decontaminate, fill_middle, fingerprint, hpylm, html, langid, neardup, packing, suffixes, urls
 from .tokens import tokenizer_path
 
 
@@ -58,6 +58,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES = {
         op8_token_binary,
         op9_order_minhash,
         op10_html_extraction,
+        op11_fill_middle,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
