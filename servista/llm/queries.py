@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary, decontaminate, fill_middle, fingerprint, hpylm, html, langid, neardup, packing, suffixes, urls
+from . import binary, decontaminate, fill_middle, fingerprint, hpylm, html, langid, neardup, packing, periodic, suffixes, urls
 from .tokens import tokenizer_path
 
 
@@ -62,6 +62,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(_table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +80,7 @@ QUERIES = {
         op9_order_minhash,
         op10_html_extraction,
         op11_fill_middle,
+        op12_periodic_runs,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
