@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import binary, decontaminate, fill_middle, fingerprint, hpylm, html, langid, neardup, packing, periodic, suffixes, urls
+from . import binary, decontaminate, fill_middle, fingerprint, hpylm, html, langid, metric, neardup, packing, periodic, suffixes, urls
 from .tokens import tokenizer_path
 
 
@@ -66,6 +66,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(_table(spark, sf_dir, "documents"))
 
 
+def op13_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric.groups(_table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +85,7 @@ QUERIES = {
         op10_html_extraction,
         op11_fill_middle,
         op12_periodic_runs,
+        op13_metric_join,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
