@@ -20,6 +20,7 @@ from servista.plans.session import scratch
 from servista.sources import catalog, landing, rest
 from servista.streaming import bronze
 from servista.streaming.history import HistoryTable
+from servista.streaming.versions import VersionStream
 
 #: The suppliers as records of an API: created on days from 2024-01-01 on, every other one changed thirty days later.
 _SUPPLIERS = """a AS (SELECT CAST(s_suppkey AS VARCHAR) AS sr_number, s_name AS sr_type, strftime(TIMESTAMP '2024-01-01' + to_days(CAST(s_suppkey AS INTEGER)), '%Y-%m-%dT%H:%M:%S') AS created_date,
@@ -171,6 +172,28 @@ def history_kept_in_batches(spark, sf_dir):
     return kept.read().withColumnsRenamed({START: "start_at", END: "end_at"})
 
 
+def _version_stream(spark: SparkSession, sf_dir: str) -> VersionStream:
+    """The events as two runs of a stream of files; most rows come late, as events are dealt to files by a hash of their id."""
+    root = scratch(spark, "versions")
+    feed = table(spark, sf_dir, "events").select(F.col("user_id").alias("sr_number"), "ts", F.col("event_type").alias("status"), "value", (F.col("event_type") == "view").alias("is_info_call"), "event_id")
+    kept = VersionStream(spark, f"{root}/history", "sr_number", "ts", track=["status"], except_columns=("ts", "event_id"), tie=["event_id"])
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    for run in (0, 1):  # the second run starts from the first one's checkpoint
+        feed.filter(half == run).repartition(2, "event_id").write.mode("append").parquet(f"{root}/landing")
+        kept.follow(spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/landing")).awaitTermination()
+    return kept
+
+
+@query(f"WITH {V} SELECT sr_number, status, value, is_info_call, version_start AS start_at, version_end AS end_at FROM v")
+def history_kept_by_state(spark, sf_dir):
+    return _version_stream(spark, sf_dir).read().withColumnsRenamed({START: "start_at", END: "end_at"})
+
+
+@query("SELECT user_id AS sr_number, count(DISTINCT ts) AS n FROM events GROUP BY user_id")
+def history_state_sizes(spark, sf_dir):
+    return _version_stream(spark, sf_dir).state_sizes()
+
+
 @query(f"WITH {R}, g AS (SELECT date, ward, sr_type, is_info_call, count(*) AS total_requests FROM r GROUP BY date, ward, sr_type, is_info_call) SELECT CAST(date AS VARCHAR) AS date, count(*) AS groups, CAST(sum(total_requests) AS BIGINT) AS total FROM g GROUP BY g.date")
 def gold_table_by_date(spark, sf_dir):
     path = scratch(spark, "gold")
