@@ -167,8 +167,8 @@ def history_kept_in_batches(spark, sf_dir):
     feed = table(spark, sf_dir, "events").select(F.col("user_id").alias("sr_number"), "ts", F.col("event_type").alias("status"), "value", (F.col("event_type") == "view").alias("is_info_call"), "event_id")
     kept = HistoryTable(spark, scratch(spark, "history"), "sr_number", "ts", buckets=8, track=["status"], except_columns=("ts", "event_id"), tie=["event_id"])
     days = F.dayofmonth("ts")
-    for number, part in enumerate((days.between(11, 20), days > 20, days > 20, days < 11)):
-        kept.add(feed.filter(part), min(number, 2) if number < 3 else 3)
+    for number, part in ((0, days.between(11, 20)), (1, days > 20), (1, days > 20), (2, days < 11)):
+        kept.add(feed.filter(part), number)
     return kept.read().withColumnsRenamed({START: "start_at", END: "end_at"})
 
 

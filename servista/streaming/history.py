@@ -2,8 +2,9 @@
 
 Keys are dealt into a fixed number of hash buckets. The change log and the history are folders by bucket; a batch
 appends its changes to the log and rebuilds just the buckets it touches from their log, into a new version of each.
-A pointer file names the versions that count. Pointers are numbered, never changed, and come to be by a rename, so readers
-see all of a batch or none, and a crash at any point leaves the table as of the batch before.
+A pointer file names the folders that count. Every attempt writes folders of its own, and pointers are numbered, never changed,
+and come to be by a rename: readers see all of a batch or none, and a crash at any point, also while a finished batch is taken in
+again, leaves the table as it was before. vacuum() deletes what no late pointer names.
 """
 
 from __future__ import annotations
@@ -32,18 +33,18 @@ class HistoryTable:
         names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
-    def _pointer(self) -> dict[str, int]:
-        """Bucket -> version of the highest pointer."""
+    def _pointer(self, number: int | None = None) -> dict[str, dict[str, str]]:
+        """Of the pointer (the highest one): log has the attempt of each batch, history the attempt of each bucket."""
         found = self._pointers()
         if not found:
-            return {}
-        return json.loads(self.spark.read.text(f"{self.root}/pointers/{found[-1]:012d}.json", wholetext=True).first()[0])
+            return {"log": {}, "history": {}}
+        return json.loads(self.spark.read.text(f"{self.root}/pointers/{found[-1] if number is None else number:012d}.json", wholetext=True).first()[0])
 
-    def _point(self, versions: dict[str, int]) -> None:
+    def _point(self, named: dict[str, dict[str, str]]) -> None:
         number = max(self._pointers(), default=-1) + 1
         fs, new = self._fs(f"{self.root}/pointers/_{uuid.uuid4().hex}")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps(versions).encode()))
+        out.write(bytearray(json.dumps(named).encode()))
         out.close()
         if not fs.rename(new, self._fs(f"{self.root}/pointers/{number:012d}.json")[1]):
             raise OSError(f"another writer made pointer {number} of {self.root}")
@@ -54,24 +55,39 @@ class HistoryTable:
     def add(self, batch: DataFrame, number: int) -> None:
         """Take in one batch; taking it in again changes nothing."""
         self.like = self.like or batch.schema
-        log = f"{self.root}/log"
+        log, attempt, named = f"{self.root}/log", uuid.uuid4().hex, self._pointer()
         bucket = F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
         dealt = batch.filter(F.col(self.key).isNotNull()).withColumn("__bucket", bucket)
-        dealt.write.mode("overwrite").partitionBy("__bucket").parquet(f"{log}/batch={number}")
-        fs, p = self._fs(f"{log}/batch={number}")
+        own = f"{log}/batch={number}/attempt={attempt}"
+        dealt.write.partitionBy("__bucket").parquet(own)
+        fs, p = self._fs(own)
         touched = sorted(int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(p) if x.isDirectory())
         if not touched:
             return
-        changes = self.spark.read.schema(T.StructType([*batch.schema, T.StructField("batch", T.LongType()), T.StructField("__bucket", T.IntegerType())])).parquet(log)
+        counted = named["log"] | {str(number): attempt}
+        schema = T.StructType([*batch.schema, T.StructField("batch", T.LongType()), T.StructField("attempt", T.StringType()), T.StructField("__bucket", T.IntegerType())])
+        changes = self.spark.read.schema(schema).option("basePath", log).parquet(*[f"{log}/batch={n}/attempt={a}" for n, a in counted.items()])
         history = self._history(changes.filter(F.col("__bucket").isin(touched)).select(*batch.columns)).withColumn("__bucket", bucket)
-        history.write.mode("overwrite").partitionBy("__bucket").parquet(f"{self.root}/history/version={number}")
-        self._point(self._pointer() | {str(b): number for b in touched})
+        history.write.partitionBy("__bucket").parquet(f"{self.root}/history/attempt={attempt}")
+        self._point({"log": counted, "history": named["history"] | {str(b): attempt for b in touched}})
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Delete the folders that none of the last `keep` pointers names: those of attempts that died, and of versions replaced since."""
+        late = [self._pointer(n) for n in self._pointers()[-keep:]]
+        logs = {f"batch={n}/attempt={a}" for p in late for n, a in p["log"].items()}
+        versions = {f"attempt={a}" for p in late for a in p["history"].values()}
+        for top, named, depth in ((f"{self.root}/log", logs, 2), (f"{self.root}/history", versions, 1)):
+            fs, p = self._fs(top)
+            found = fs.globStatus(self._fs(f"{top}/batch=*/attempt=*" if depth == 2 else f"{top}/attempt=*")[1]) or []
+            for x in found:
+                if "/".join(x.getPath().toString().split("/")[-depth:]) not in named:
+                    fs.delete(x.getPath(), True)
 
     def read(self) -> DataFrame:
         """The history as of the last finished batch."""
-        pointer = self._pointer()
-        if pointer:
-            return self.spark.read.parquet(*[f"{self.root}/history/version={v}/__bucket={b}" for b, v in pointer.items()])
+        named = self._pointer()["history"]
+        if named:
+            return self.spark.read.parquet(*[f"{self.root}/history/attempt={a}/__bucket={b}" for b, a in named.items()])
         if self.like is None:
             raise ValueError("the table took in nothing yet; name the schema of its changes")
         return self._history(self.spark.createDataFrame([], self.like))

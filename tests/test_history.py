@@ -105,6 +105,46 @@ def test_a_crash_keeps_the_batch_before(spark, tmp_path, monkeypatch):
     assert got.count() == 22 and {r.k for r in got.collect()} == {r[0] for r in rows}
 
 
+def test_a_crash_while_a_batch_is_repeated_changes_nothing(spark, tmp_path, monkeypatch):
+    """Each write of a batch that the pointer names already dies in turn, before it begins and half way."""
+    table = HistoryTable(spark, str(tmp_path / "h"), "k", "seq", buckets=4, track=["status"], except_columns=("seq", "_ingestion_timestamp"))
+    first = [(f"k{i}", at(i), "OPEN", None, at(i)) for i in range(9)]
+    second = [("k1", at(50), "DONE", None, at(50)), ("k2", at(0), "NEW", None, at(51)), ("new", at(3), "OPEN", None, at(52))]
+    table.add(feed(spark, first), 0)
+    table.add(feed(spark, second), 1)
+    want = result(table.read())
+    open_reader = table.read()
+    writer = type(spark.range(1).write)
+    for dies_at in range(3):
+        for after in (False, True):
+            calls = iter(range(9))
+
+            def parquet(self, path, f=writer.parquet, calls=calls, dies_at=dies_at, after=after):
+                here = next(calls) == dies_at
+                if here and not after:
+                    raise OSError("dies")
+                f(self, path)
+                if here:
+                    raise OSError("dies")
+
+            with monkeypatch.context() as m:
+                m.setattr(writer, "parquet", parquet)
+                if dies_at == 2:
+                    m.setattr(HistoryTable, "_point", lambda *a: (_ for _ in ()).throw(OSError("dies")))
+                with pytest.raises(OSError, match="dies"):
+                    table.add(feed(spark, second), 1)
+            assert result(table.read()) == result(open_reader) == want
+    table.add(feed(spark, second), 1)
+    assert result(table.read()) == want
+    table.vacuum()
+    assert result(table.read()) == want
+    assert len(list((tmp_path / "h" / "log" / "batch=1").glob("attempt=*"))) == 2  # the last two pointers' own
+    table.vacuum(keep=1)
+    assert len(list((tmp_path / "h" / "log" / "batch=1").glob("attempt=*"))) == 1 and result(table.read()) == want
+    table.add(feed(spark, [("k1", at(60), "OPEN", None, at(60))]), 2)
+    assert result(table.read()) == result(apply(feed(spark, [*first, *second, ("k1", at(60), "OPEN", None, at(60))]), ["status"]))
+
+
 def test_a_batch_reads_the_log_of_its_buckets(spark, tmp_path):
     table = HistoryTable(spark, str(tmp_path / "h"), "k", "seq", buckets=8, track=["status"], except_columns=("seq", "_ingestion_timestamp"))
     table.add(feed(spark, [(f"k{i}", at(i), "OPEN", None, at(i)) for i in range(40)]), 0)
