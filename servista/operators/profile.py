@@ -4,15 +4,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from servista.operators import frequent, selection
 
 
 def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFrame:
-    """value, n, pct of all rows (nulls are a value); the most frequent first, ties by value."""
-    out = df.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    out = out.withColumn("pct", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()))
-    out = out.orderBy(F.desc("n"), F.asc_nulls_first("value"))
-    return out if top is None else out.limit(top)
+    """value, n, pct of all rows (nulls are a value); the most frequent first, ties by value.
+
+    The total is an aggregate of its own. With `top` only values that may be among the first are counted (see frequent).
+    """
+    values = df.select(F.col(column).cast("string").alias("value"))
+    out = values.groupBy("value").agg(F.count("*").alias("n")) if top is None else frequent.top_values(values, top)
+    total = df.agg(F.count("*").alias("total"))
+    out = out.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") * 100.0 / F.col("total")).alias("pct"))
+    return out.orderBy(F.desc("n"), F.asc_nulls_first("value"))
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -31,9 +37,9 @@ def recommendation(rate: Column) -> Column:
 
 
 def quantiles(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Exact quartiles, 95th percentile and mean."""
-    names = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
-    return df.groupBy(*(by or [])).agg(*[F.percentile(column, q).alias(n) for n, q in names.items()], F.avg(column).alias("mean"))
+    """Exact quartiles, 95th percentile and mean, by radix selection: no group is gathered in a task."""
+    shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+    return selection.quantiles(df, column, shares, by).drop("n")
 
 
 def median_of_smallest(df: DataFrame, column: str, group: str, k: int = 10) -> DataFrame:

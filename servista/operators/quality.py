@@ -11,6 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
+from servista.plans.session import scratch
+
 ACTIONS = ("fail", "warn", "drop", "info")
 
 
@@ -117,7 +119,7 @@ RESULT = "rule string, kind string, column string, action string, checked long,
 
 
 def evaluate(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row a rule. All value, count and SQL rules share one aggregate; each uniqueness rule has one shuffle of its own."""
+    """One row a rule. All value, count and SQL rules share one aggregate; all uniqueness rules share two scans (see unique_rules)."""
     have = set(df.columns)
     one_pass: list[Column] = [F.count("*").alias("n")]
     for i, r in enumerate(rules):
@@ -147,19 +149,54 @@ def evaluate(df: DataFrame, rules: list[Rule]) -> DataFrame:
     if rows:
         packed = F.explode(F.array(*[F.struct(*[x.alias(k) for x, k in zip(row, names, strict=True)]) for row in rows]))
         out = wide.select(packed.alias("r")).select("r.*")
-    for r in rules:
-        if r.kind in ("unique", "unique_combination") and set(r.columns) <= have:
-            one = _unique(df, r)
-            out = one if out is None else out.unionByName(one)
+    keyed = [r for r in rules if r.kind in UNIQUE and set(r.columns) <= have]
+    if keyed:
+        one = unique_rules(df, keyed)
+        out = one if out is None else out.unionByName(one)
     return out
 
 
-def _unique(df: DataFrame, r: Rule) -> DataFrame:
-    has = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in r.columns]) if r.kind == "unique" else F.lit(True)
-    counts = df.filter(has).groupBy(*r.columns).agg(F.count("*").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("checked"), F.coalesce(F.sum(F.when(F.col("n") == 1, 1)), F.lit(0)).cast("long").alias("good"))
-    ok = F.when(F.col("checked") == 0, F.lit(True)).otherwise(F.col("good") / F.col("checked") >= r.mostly)
-    return total.select(F.lit(r.label).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.column).alias("column"), F.lit(r.action).alias("action"), "checked", "good", ok.alias("success"))
+UNIQUE = ("unique", "unique_combination")
+#: Hashes that are broadcast into the second scan, at most.
+SUSPECTS = 1_000_000
+
+
+def _keys_of(df: DataFrame, keys: list[tuple[str, list[str]]], keep: list[str]) -> DataFrame:
+    """A row (rule, hash, the columns to keep) for each row of df and each rule (kind, columns) that checks it: nulls of a single column aren't."""
+    kinds, each = dict(df.dtypes), []
+    for i, (kind, columns) in enumerate(keys):
+        parts = [F.col(c) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(c) for c in columns]  # -0.0 is 0.0
+        one = F.struct(F.lit(i).alias("rule"), F.xxhash64(*parts).alias("hash"))
+        each.append(F.when(F.col(columns[0]).isNotNull(), one) if kind == "unique" else one)
+    return df.select(*keep, F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("key")).select("key.rule", "key.hash", *keep)
+
+
+def unique_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row for each rule of kind unique or unique_combination, from two scans for all of them.
+
+    The first counts hashes of all rules' keys in one shuffle. Hashes that occur once are unique keys; the second scan takes the rows
+    of the other hashes alone and counts their keys themselves, so a collision of hashes changes nothing.
+    """
+    work = scratch(df.sparkSession, "unique")
+    used = {c: f"c{k}" for k, c in enumerate(dict.fromkeys(c for r in rules for c in r.columns))}
+    df = df.select(*[F.col(c).alias(name) for c, name in used.items()])
+    keys = [(r.kind, [used[c] for c in r.columns]) for r in rules]
+    counts = _keys_of(df, keys, []).groupBy("rule", "hash").agg(F.count("*").alias("n"))
+    counts.withColumn("again", F.col("n") > 1).write.partitionBy("again").parquet(work)
+    seen = df.sparkSession.read.schema("rule int, hash long, n long, again boolean").parquet(work)
+    suspects = seen.filter("again").select("rule", "hash")
+    few = suspects.limit(SUSPECTS + 1).count() <= SUSPECTS
+    rows = _keys_of(df, keys, list(used.values())).join(F.broadcast(suspects) if few else suspects, ["rule", "hash"], "left_semi")
+    own = [F.when(F.col("rule").isin([i for i, (_, columns) in enumerate(keys) if c in columns]), F.col(c)).alias(c) for c in used.values()]
+    again = rows.groupBy("rule", *own).agg(F.count("*").alias("n"))
+    one = F.lit(1).cast("long")
+    good = seen.filter("NOT again").select("rule", F.col("n").alias("checked"), one.alias("good"))
+    all_ = good.unionByName(again.select("rule", F.col("n").alias("checked"), F.when(F.col("n") == 1, one).otherwise(0).alias("good")))
+    total = all_.groupBy("rule").agg(F.sum("checked").alias("checked"), F.sum("good").alias("good"))
+    named = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.kind).alias("kind"), F.lit(r.column).alias("column"), F.lit(r.action).alias("action"), F.lit(float(r.mostly)).alias("mostly")) for i, r in enumerate(rules)]))
+    every = df.sparkSession.range(1).select(named.alias("r")).select("r.*").join(F.broadcast(total), "rule", "left")
+    checked, ok = (F.coalesce(c, F.lit(0).cast("long")) for c in ("checked", "good"))
+    return every.select(F.col("label").alias("rule"), "kind", "column", "action", checked.alias("checked"), ok.alias("good"), F.when(checked == 0, F.lit(True)).otherwise(ok / checked >= F.col("mostly")).alias("success"))
 
 
 def enforce(df: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from servista.functions.dates import fractional_hours
-from servista.operators import changes, history, profile, quality
+from servista.operators import changes, history, profile, quality, selection
 from servista.operators.history import END, START
 from servista.plans import forecast, gold, monitor, suites
 from servista.plans.adapter import REQUESTS_SQL as R, VERSIONS_SQL as V, requests, table, versions
@@ -191,6 +191,31 @@ def value_counts(spark, sf_dir):
     return profile.value_counts(requests(spark, sf_dir), "sr_type").withColumn("pct", F.col("pct").cast("double"))
 
 
+_WORDS = "(SELECT unnest(regexp_extract_all(text, '[^ \t\n\r\x0b\x0c]+')) AS value FROM documents)"
+
+
+@query(f"""SELECT value, n, n * 100.0 / (SELECT count(*) FROM {_WORDS}) AS pct FROM (SELECT value, count(*) AS n FROM {_WORDS} GROUP BY value ORDER BY n DESC, value LIMIT 50)""")
+def top_words(spark, sf_dir):
+    """The most frequent words of all documents, exactly, without a shuffle of all words."""
+    words = F.explode(F.regexp_extract_all("text", F.lit(r"[^ \t\n\r\x0B\f]+"), 0))
+    return profile.value_counts(table(spark, sf_dir, "documents").select(words.alias("value")), "value", 50).withColumn("pct", F.col("pct").cast("double"))
+
+
+@query("SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.01) AS p1, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.999) AS p999, count(l_extendedprice) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
+def price_quantiles(spark, sf_dir):
+    return selection.quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", {"p1": 0.01, "p50": 0.5, "p999": 0.999}, ["l_returnflag", "l_linestatus"]).drop("mean")
+
+
+#: Columns of lineitem whose uniqueness is asked for, alone and together.
+_UNIQUE = [["l_orderkey"], ["l_partkey"], ["l_suppkey"], ["l_extendedprice"], ["l_shipdate"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_partkey"], ["l_partkey", "l_suppkey"], ["l_partkey", "l_shipdate"], ["l_suppkey", "l_extendedprice", "l_quantity"]]
+
+
+@query(" UNION ALL ".join(f"SELECT '{','.join(c)}' AS \"column\", CAST(coalesce(sum(n), 0) AS BIGINT) AS checked, count(*) FILTER (n = 1) AS good, count(*) FILTER (n = 1) >= 0.5 * sum(n) AS success FROM (SELECT count(*) AS n FROM lineitem GROUP BY {', '.join(c)})" for c in _UNIQUE))
+def uniqueness_of_ten_keys(spark, sf_dir):
+    rules = [quality.rule("unique" if len(c) == 1 else "unique_combination", *c, mostly=0.5) for c in _UNIQUE]
+    return quality.evaluate(table(spark, sf_dir, "lineitem"), rules).select("column", "checked", "good", "success")
+
+
 @query(f"WITH {R} SELECT ward, quantile_cont(resolution_hours, 0.25) AS p25, quantile_cont(resolution_hours, 0.5) AS p50, quantile_cont(resolution_hours, 0.75) AS p75, quantile_cont(resolution_hours, 0.95) AS p95, avg(resolution_hours) AS mean FROM r GROUP BY ward")
 def quantiles(spark, sf_dir):
     return profile.quantiles(requests(spark, sf_dir), "resolution_hours", ["ward"])
