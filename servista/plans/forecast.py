@@ -26,24 +26,6 @@ def accuracy(forecast: DataFrame) -> DataFrame:
     )
 
 
-def prophet(daily: DataFrame, periods: int = 30, **options) -> DataFrame:
-    """daily (ds, y) and the next days' forecast by the prophet package, where it is installed: ds, yhat and its bounds.
-
-    One series of one row a day, fitted in one task.
-    """
-    try:
-        import prophet as package
-    except ImportError as e:
-        raise RuntimeError("the package prophet isn't installed; seasonal_naive() needs no package") from e
-
-    def fit(series):
-        model = package.Prophet(**options).fit(series[["ds", "y"]])
-        return model.predict(model.make_future_dataframe(periods))[["ds", "yhat", "yhat_lower", "yhat_upper"]]
-
-    days = daily.select(F.col("ds").cast("timestamp").alias("ds"), F.col("y").cast("double").alias("y"))
-    return days.groupBy(F.lit(0)).applyInPandas(fit, "ds timestamp, yhat double, yhat_lower double, yhat_upper double")
-
-
 def forecast_anomalies(forecast: DataFrame) -> DataFrame:
     """Days above the upper bound, with the excess as a share of it."""
     over = F.col("y") > F.col("yhat_upper")

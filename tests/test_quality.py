@@ -80,10 +80,3 @@ def test_rule_file(df):
 def test_dropped_rows_are_counted(df):
     kept, seen = q.enforce_counted(df, [q.rule("not_null", "k", action="drop"), q.rule("between", "x", high=10, action="drop")])
     assert kept.count() == 2 and seen.get == {"rows": 4, "not_null:k": 1, "between:x": 1}
-
-
-def test_prophet_is_optional(df):
-    from servista.plans import forecast
-
-    with pytest.raises(RuntimeError, match="prophet"):
-        forecast.prophet(df)
