@@ -48,6 +48,39 @@ def as_of(history: DataFrame, moment: Column) -> DataFrame:
     return history.filter((F.col(START) <= moment) & (F.col(END).isNull() | (F.col(END) > moment)))
 
 
+def open_at(history: DataFrame, moments: DataFrame, column: str, unit: int = 86_400) -> DataFrame:
+    """history's rows joined with each of the moments (distinct times) at which they are valid, as `column`.
+
+    Time is cut into bins of `unit` seconds between the first and last moment. A version stands under the few bins and doublings
+    of bins (at most two of each size) that cover it, a moment under its own bin and its doublings: they meet once, by equality, and are then
+    compared exactly. A version of many days is never copied to each of its days, and no moment meets every version.
+    """
+    span = moments.agg(F.unix_seconds(F.min(F.col(column).cast("timestamp"))).alias("low"), F.unix_seconds(F.max(F.col(column).cast("timestamp"))).alias("high")).first()
+    low, high = span["low"] or 0, span["high"] or 0
+    last = (high - low) // unit
+    levels = F.sequence(F.lit(0), F.lit(last.bit_length()))
+
+    def bin_of(moment: Column) -> Column:
+        return F.floor((F.unix_seconds(moment.cast("timestamp")) - F.lit(low)) / F.lit(unit)).cast("long")
+
+    first, after = F.greatest(bin_of(F.col(START)), F.lit(0)), F.least(F.coalesce(bin_of(F.col(END)), F.lit(last)), F.lit(last)) + 1
+    # at each doubling: an odd bin at the start, and the one before an odd end, are no half of a larger bin inside
+    at = lambda size, up: F.ceil(F.col("__first") / F.pow(F.lit(2.0), size)).cast("long") if up else F.floor(F.col("__after") / F.pow(F.lit(2.0), size)).cast("long")
+
+    def covers(size: Column) -> Column:
+        a, z = at(size, True), at(size, False)
+        left = F.when((a < z) & (a % 2 == 1), F.struct(size.alias("size"), a.alias("bin")))
+        right = F.when((a < z) & (z % 2 == 1), F.struct(size.alias("size"), (z - 1).alias("bin")))
+        return F.array(left, right)
+
+    spread = history.withColumns({"__first": first, "__after": after}).filter("__first < __after")
+    spread = spread.withColumn("__at", F.explode(F.filter(F.flatten(F.transform(levels, covers)), lambda x: x.isNotNull()))).drop("__first", "__after")
+    own = F.transform(levels, lambda size: F.struct(size.alias("size"), F.floor(F.col("__bin") / F.pow(F.lit(2.0), size)).cast("long").alias("bin")))
+    dealt = moments.select(F.col(column)).filter(F.col(column).isNotNull()).withColumn("__bin", bin_of(F.col(column))).withColumn("__at", F.explode(own)).drop("__bin")
+    met = spread.select("*", F.col("__at.size").alias("__size"), F.col("__at.bin").alias("__own")).drop("__at").join(dealt.select(column, F.col("__at.size").alias("__size"), F.col("__at.bin").alias("__own")), ["__size", "__own"])
+    return met.filter((F.col(START) <= F.col(column)) & (F.col(END).isNull() | (F.col(END) > F.col(column)))).drop("__size", "__own")
+
+
 def status_history(history: DataFrame, key: str, now: Column, keep: list[str]) -> DataFrame:
     """Every version with its hours (open ones up to `now`), number and whether it is current."""
     order = Window.partitionBy(key).orderBy(START)

@@ -376,5 +376,5 @@ def forecast_metrics(spark, sf_dir):
     return out.select("n", F.round("mape", 6).alias("mape"), F.round("rmse", 6).alias("rmse"))
 
 
-from servista.plans import queries_flow, queries_quality, queries_series  # noqa: E402, F401
+from servista.plans import queries_flow, queries_quality, queries_scale, queries_series  # noqa: E402, F401
 from servista.plans.registry import ORACLE_SQL, QUERIES  # noqa: E402, F401
