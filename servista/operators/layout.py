@@ -6,6 +6,8 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from servista.functions.ranges import place
+
 #: Ranges of a column are 2**BITS at most; their bounds come from so many sampled values.
 BITS, SAMPLE = 6, 20_000
 
@@ -23,8 +25,8 @@ def range_id(column: str, between: list[Any], bits: int = BITS) -> Column:
     """The number of a value's range, spread over all of 0 to 2**bits - 1; nulls have 0."""
     if not between:
         return F.lit(0)
-    n = F.size(F.filter(F.array(*[F.lit(b) for b in between]), lambda b: b <= F.col(column)))
-    return F.floor(n * (2**bits - 1) / len(between)).cast("int")
+    n = place(F.col(column), [F.lit(b) for b in between])
+    return F.when(F.col(column).isNull(), 0).otherwise(F.floor(n * (2**bits - 1) / len(between))).cast("int")
 
 
 def z_order(ids: list[Column], bits: int = BITS) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from servista.functions.ranges import place
+
 #: Ranges of one cut, values sampled for their bounds, rows of a range that is sorted.
 RANGES, SAMPLE, ROWS = 64, 4000, 1_000_000
 
@@ -62,7 +64,7 @@ def page(df: DataFrame, order: list[tuple[str, bool]], limit: int, offset: int =
         between = _cut(rows, n)
         if not between:
             break
-        part = F.size(F.filter(F.array(*[_literal(b, kind) for b in between]), lambda b: b <= F.col("__key")))
+        part = place(F.col("__key"), [_literal(b, kind) for b in between])
         counts = sorted((r["part"], r["n"]) for r in rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
         before, wanted = 0, []
         for p, size in counts:

@@ -128,8 +128,26 @@ RULE_FILE = {
             ]
         }
     },
-    "gold": {"citywide": {"baseline": {"mean": 5}, "expectations": [{"name": "ds_not_null", "type": "not_null", "column": "ds", "action": "fail"}, {"name": "y_not_null", "type": "not_null", "column": "y", "action": "fail"}, {"name": "date_unique", "type": "unique", "column": "date", "action": "fail"}, {"name": "service_reasonable", "type": "between", "column": "service_requests", "min": 2, "max": 10, "action": "warn"}]}},
-    "cross_layer": {"staged_to_gold": {"expectations": [{"name": "retention", "type": "custom_sql", "sql": "(SELECT count(*) FROM current_rows) >= (SELECT count(*) FROM staged_rows) * 0.95", "action": "warn"}, {"name": "consistency", "type": "custom_sql", "sql": "abs((SELECT sum(total_requests) FROM daily_rows) - (SELECT count(*) FROM current_rows)) < 100", "action": "warn"}]}},
+    "gold": {
+        "days": {
+            "written_by": "daily job",
+            "expectations": [
+                {"name": "one_row_a_day", "type": "unique", "column": "date"},
+                {"name": "calendar", "type": "between", "column": "day_of_week", "min": 1, "max": 7, "action": "fail"},
+                {"name": "busy_enough", "type": "greater_than", "column": "total_requests", "value": 3, "mostly": 0.5},
+                {"name": "parts_add_up", "type": "custom_sql", "sql": "sum(service_requests) + sum(info_calls) = sum(total_requests)", "action": "fail"},
+            ],
+        }
+    },
+    "between_tables": {
+        "days_of_requests": {
+            "expectations": [
+                {"name": "no_type_lost", "type": "custom_sql", "sql": "(SELECT count(DISTINCT sr_type) FROM grouped) = (SELECT count(DISTINCT sr_type) FROM single)", "action": "fail"},
+                {"name": "busiest_ward", "type": "custom_sql", "sql": "(SELECT max(n) FROM (SELECT sum(total_requests) AS n FROM grouped GROUP BY ward)) = (SELECT max(n) FROM (SELECT count(*) AS n FROM single GROUP BY ward))"},
+                {"name": "mostly_staged", "type": "custom_sql", "sql": "(SELECT count(*) FROM staged) > 2 * (SELECT count(*) FROM single)"},
+            ]
+        }
+    },
 }
 
 
@@ -145,24 +163,29 @@ def _rule_file_sql() -> str:
         ("wards_seen", "sql", "", "info", "max(1)", "CAST(count(DISTINCT ward) > 50 AS INTEGER)", "1"),
         ("hours", "greater_than", "ward", "info", "count(ward)", "count(*) FILTER (ward > 0)", "0.9"),
     ]
-    gold_ = [("ds_not_null", "not_null", "ds", "fail", n, n, "1"), ("y_not_null", "not_null", "y", "fail", n, "count(y)", "1"), ("date_unique", "unique", "date", "fail", n, "count(DISTINCT date)", "1"), ("service_reasonable", "between", "service_requests", "warn", n, "count(*) FILTER (y BETWEEN 2 AND 10)", "1")]
-    return f"{_rows(silver, 's', 'silver.staged')} UNION ALL {_rows(gold_, 'c', 'gold.citywide')}"
+    days = [
+        ("one_row_a_day", "unique", "date", "info", n, n, "1"),
+        ("calendar", "between", "day_of_week", "fail", n, n, "1"),
+        ("busy_enough", "greater_than", "total_requests", "info", n, "count(*) FILTER (total > 3)", "0.5"),
+        ("parts_add_up", "sql", "", "fail", "max(1)", "CAST(sum(service) + sum(info) = sum(total) AS INTEGER)", "1"),
+    ]
+    return f"{_rows(silver, 's', 'silver.staged')} UNION ALL {_rows(days, 'c', 'gold.days')}"
 
 
-@query(f"WITH {S}, {R}, c AS (SELECT date, count(*) FILTER (NOT is_info_call) AS y FROM r GROUP BY date) {_rule_file_sql()}")
+@query(f"WITH {S}, {R}, c AS (SELECT date, count(*) AS total, count(*) FILTER (is_info_call) AS info, count(*) FILTER (NOT is_info_call) AS service FROM r GROUP BY date) {_rule_file_sql()}")
 def rule_file_results(spark, sf_dir):
     rules = quality.from_yaml(RULE_FILE)
     silver = quality.evaluate(_staged(spark, sf_dir), rules["silver"]["staged"])
-    days = quality.evaluate(gold.citywide_daily_summary(requests(spark, sf_dir)), rules["gold"]["citywide"])
-    return quality.ordered(silver.select(F.lit("silver.staged").alias("layer"), "*").unionByName(days.select(F.lit("gold.citywide").alias("layer"), "*")))
+    days = quality.evaluate(gold.citywide_daily_summary(requests(spark, sf_dir)), rules["gold"]["days"])
+    return quality.ordered(silver.select(F.lit("silver.staged").alias("layer"), "*").unionByName(days.select(F.lit("gold.days").alias("layer"), "*")))
 
 
-@query(f"""WITH {S}, {R}, n AS (SELECT (SELECT count(*) FROM s WHERE {VALID_SQL}) AS kept, (SELECT count(*) FROM s) AS staged, (SELECT count(*) FROM r) AS aggregated)
- SELECT unnest(['retention', 'consistency']) AS rule, 'sql' AS kind, '' AS "column", 'warn' AS action, 1::BIGINT AS checked, unnest([(kept >= staged * 0.95)::BIGINT, (abs(aggregated - kept) < 100)::BIGINT]) AS good, unnest([kept >= staged * 0.95, abs(aggregated - kept) < 100]) AS success FROM n""")
+@query(f"""WITH {S}, {R}, n AS (SELECT (SELECT count(*) FROM s) AS staged, (SELECT count(*) FROM r) AS single)
+ SELECT unnest(['no_type_lost', 'busiest_ward', 'mostly_staged']) AS rule, 'sql' AS kind, '' AS "column", unnest(['fail', 'info', 'info']) AS action, 1::BIGINT AS checked, unnest([1, 1, (staged > 2 * single)::BIGINT]) AS good, unnest([true, true, staged > 2 * single]) AS success FROM n""")
 def cross_layer_rule_file(spark, sf_dir):
-    staged = _staged(spark, sf_dir)
-    tables = {"current_rows": clean.valid(staged), "staged_rows": staged, "daily_rows": gold.daily_aggregates(requests(spark, sf_dir))}
-    return quality.across(spark, quality.from_yaml(RULE_FILE)["cross_layer"]["staged_to_gold"], tables)
+    rows = requests(spark, sf_dir)
+    tables = {"single": rows, "staged": _staged(spark, sf_dir), "grouped": gold.daily_aggregates(rows)}
+    return quality.across(spark, quality.from_yaml(RULE_FILE)["between_tables"]["days_of_requests"], tables)
 
 
 @query(f"WITH {V} {_rows([('not_null:sr_number', 'not_null', 'sr_number', 'fail', 'count(*)', 'count(sr_number)', '1'), ('not_null:__START_AT', 'not_null', '__START_AT', 'fail', 'count(*)', 'count(version_start)', '1'), ('version_rate_healthy', 'sql', '', 'warn', 'max(1)', 'CAST(round(count(*) * 1.0 / count(DISTINCT sr_number), 2) BETWEEN 1.0 AND 2.0 AS INTEGER)', '1')], 'v')}")
