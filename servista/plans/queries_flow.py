@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 from datetime import datetime
-from urllib.parse import parse_qs, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,7 +14,7 @@ from servista.plans import gold
 from servista.plans.adapter import REQUESTS_SQL as R, VERSIONS_SQL as V, requests, table
 from servista.plans.registry import query
 from servista.plans.session import scratch
-from servista.sources import catalog, landing, rest
+from servista.sources import catalog, landing, local_api, rest
 from servista.streaming import bronze
 from servista.streaming.history import HistoryTable
 from servista.streaming.versions import VersionStream
@@ -27,99 +24,79 @@ _SUPPLIERS = """a AS (SELECT CAST(s_suppkey AS VARCHAR) AS sr_number, s_name AS
  CASE WHEN s_suppkey % 2 = 0 THEN strftime(TIMESTAMP '2024-01-31' + to_days(CAST(s_suppkey AS INTEGER)), '%Y-%m-%dT%H:%M:%S') END AS last_modified_date, CAST(s_nationkey AS VARCHAR) AS ward FROM supplier)"""
 
 
-def _records(spark: SparkSession, sf_dir: str) -> list[rest.Record]:
-    day = lambda first, n: F.date_format(F.lit(first).cast("timestamp") + F.make_dt_interval(n), "yyyy-MM-dd'T'HH:mm:ss")
-    n = F.col("s_suppkey").cast("int")
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("sr_number"), F.col("s_name").alias("sr_type"), day("2024-01-01", n).alias("created_date"), F.when(n % 2 == 0, day("2024-01-31", n)).alias("last_modified_date"), F.col("s_nationkey").cast("string").alias("ward"))
-    return [r.asDict() for r in rows.orderBy("s_suppkey").collect()]
-
-
-class Server:
-    """An API over a list of records, in this process: filters by comparisons joined with AND or OR, and pages."""
-
-    def __init__(self, records: list[rest.Record]):
-        self.records, self.calls = records, 0
-        self.found: dict[str | None, list[rest.Record]] = {None: records}  # by filter, which is applied once for all its pages
-
-    def _holds(self, record: rest.Record, where: str) -> bool:
-        def one(text: str) -> bool:
-            column, sign, value = re.fullmatch(r"(\w+) (>=|>|<) '(.*)'", text).groups()
-            own = record.get(column)
-            return own is not None and {">=": own >= value, ">": own > value, "<": own < value}[sign]
-
-        return any(all(one(x) for x in part.split(" AND ")) for part in where.split(" OR "))
-
-    def get(self, url: str, headers: dict[str, str], timeout: float) -> tuple[int, bytes]:
-        self.calls += 1
-        if self.calls == 2:
-            return 503, b""  # the client asks again
-        args = {k: v[0] for k, v in parse_qs(urlsplit(url).query).items()}
-        where, a = args.get("$where"), int(args["$offset"])
-        if where not in self.found:
-            self.found[where] = [r for r in self.records if self._holds(r, where)]
-        return 200, json.dumps(self.found[where][a : a + int(args["$limit"])]).encode()
+_SCHEMA = "sr_number string, sr_type string, created_date string, last_modified_date string, ward string"
+_COLUMNS = "sr_number, sr_type, created_date, last_modified_date, ward"
+_CHANGES = ("created_date", "last_modified_date")
 
 
-def _client(spark: SparkSession, sf_dir: str) -> rest.ApiClient:
-    return rest.ApiClient(rest.ApiConfig("http://api/records", page_size=30), Server(_records(spark, sf_dir)).get, lambda seconds: None)
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda first, n: F.date_format(F.lit(first).cast("timestamp") + F.make_dt_interval(n), "yyyy-MM-dd'T'HH:mm:ss")
+    n = F.col("s_suppkey").cast("int")
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("sr_number"), F.col("s_name").alias("sr_type"), day("2024-01-01", n).alias("created_date"), F.when(n % 2 == 0, day("2024-01-31", n)).alias("last_modified_date"), F.col("s_nationkey").cast("string").alias("ward"))
 
 
-_COLUMNS = "sr_number, sr_type, created_date, last_modified_date, ward"
+def _config(url: str) -> rest.ApiConfig:
+    return rest.ApiConfig(url, page_size=30, pause=0.0, retry_backoff=0.01, window_days=100)
 
 
-def _frame(spark: SparkSession, records: Iterator[rest.Record]) -> DataFrame:
-    names = _COLUMNS.split(", ")
-    return spark.createDataFrame([tuple(r.get(c) for c in names) for r in records], ", ".join(f"{c} string" for c in names))
+def _fetched(spark: SparkSession, sf_dir: str, read: Callable[[rest.ApiConfig], DataFrame]) -> DataFrame:
+    """What `read` fetches from an API over the suppliers, of which every seventh request fails at first."""
+    path = scratch(spark, "fetched")
+    with local_api.serve(_records(spark, sf_dir), fails_every=7) as url:
+        read(_config(url)).write.parquet(path)
+    return spark.read.schema(_SCHEMA).parquet(path)
 
 
 @query(f"WITH {_SUPPLIERS} SELECT {_COLUMNS} FROM a")
 def api_all_pages(spark, sf_dir):
-    return _frame(spark, _client(spark, sf_dir).all())
+    return _fetched(spark, sf_dir, lambda c: rest.records(spark, c, schema=_SCHEMA))
 
 
 @query(f"WITH {_SUPPLIERS} SELECT {_COLUMNS} FROM a WHERE created_date > '2024-01-20T00:00:00'")
 def api_since(spark, sf_dir):
-    return _frame(spark, _client(spark, sf_dir).since("2024-01-20T00:00:00"))
+    return _fetched(spark, sf_dir, lambda c: rest.since(spark, c, "2024-01-20T00:00:00", _SCHEMA))
 
 
 @query(f"WITH {_SUPPLIERS} SELECT {_COLUMNS} FROM a WHERE created_date >= '2024-01-05T00:00:00'")
 def api_recent(spark, sf_dir):
-    return _frame(spark, _client(spark, sf_dir).recent(7, datetime(2024, 1, 12, 9)))
+    return _fetched(spark, sf_dir, lambda c: rest.recent(spark, c, 7, datetime(2024, 1, 12, 9), _SCHEMA))
 
 
 @query(f"WITH {_SUPPLIERS} SELECT {_COLUMNS} FROM a WHERE created_date > '2024-02-10T00:00:00' OR last_modified_date > '2024-02-10T00:00:00'")
 def api_changes_since(spark, sf_dir):
-    return _frame(spark, _client(spark, sf_dir).changes_since("2024-02-10T00:00:00"))
+    return _fetched(spark, sf_dir, lambda c: rest.changes_since(spark, c, "2024-02-10T00:00:00", _CHANGES, _SCHEMA))
 
 
 @query(f"WITH {_SUPPLIERS} SELECT {_COLUMNS} FROM a WHERE created_date >= '2024-01-03T00:00:00' AND created_date < '2024-01-08T00:00:00'")
 def api_date_range(spark, sf_dir):
-    return _frame(spark, _client(spark, sf_dir).date_range("2024-01-03T00:00:00", "2024-01-08T00:00:00"))
+    return _fetched(spark, sf_dir, lambda c: rest.date_range(spark, c, "2024-01-03T00:00:00", "2024-01-08T00:00:00", _SCHEMA))
 
 
 @query(f"WITH {_SUPPLIERS} SELECT {_COLUMNS} FROM a")
 def api_with_fallback(spark, sf_dir):
-    return _frame(spark, _client(spark, sf_dir).with_fallback("created_date > '2999-01-01T00:00:00'"))
+    return _fetched(spark, sf_dir, lambda c: rest.with_fallback(spark, c, "created_date > '2999-01-01T00:00:00'", _SCHEMA))
 
 
 @query(f"WITH {_SUPPLIERS} SELECT sr_number, created_date, ward, true AS has_file FROM a WHERE created_date >= '2024-01-04T00:00:00'")
 def landing_initial_load(spark, sf_dir):
     folder = scratch(spark, "landing")
-    landing.initial_load(_client(spark, sf_dir), folder, 1, datetime(2025, 1, 3), size=40)
+    with local_api.serve(_records(spark, sf_dir), fails_every=7) as url:
+        for _ in range(2):  # a load that is begun again replaces what it landed
+            landing.initial_load(spark, _config(url), folder, 1, datetime(2025, 1, 3), schema=_SCHEMA)
     rows = landing.read_landing(spark, folder)
-    return rows.select("sr_number", "created_date", "ward", F.col("_source_file").contains("initial").alias("has_file"))
+    return rows.select("sr_number", "created_date", "ward", F.col("_source_file").contains("/initial/").alias("has_file"))
 
 
 @query(f"""WITH {_SUPPLIERS}, f AS (SELECT * FROM a WHERE created_date >= '2024-01-02T00:00:00' AND created_date <= '2024-01-06T00:00:00'), m AS (SELECT max(greatest(created_date, coalesce(last_modified_date, created_date))) AS mark FROM f)
  SELECT sr_number, 'first' AS load FROM f UNION ALL SELECT sr_number, 'second' FROM a, m WHERE created_date > mark OR last_modified_date > mark""")
 def landing_incremental_loads(spark, sf_dir):
-    folder, state = scratch(spark, "landing"), scratch(spark, "state")
-    records = _records(spark, sf_dir)
-    early = rest.ApiClient(rest.ApiConfig("http://api/records", page_size=30), Server([r for r in records if r["created_date"] <= "2024-01-06T00:00:00"]).get, lambda seconds: None)
-    for client, now in ((early, datetime(2024, 1, 9)), (_client(spark, sf_dir), datetime(2024, 6, 1))):
-        landing.incremental_load(rest.IncrementalLoader(client, state), folder, now)
-    rows = landing.read_landing(spark, folder)
-    return rows.select("sr_number", F.when(F.col("_source_file").contains("20240109"), "first").otherwise("second").alias("load"))
+    """Two runs of a stream over an API that has more to tell in the second one, and a third that finds nothing."""
+    folder, root = scratch(spark, "landing"), scratch(spark, "state")
+    rows = _records(spark, sf_dir)
+    for served in (rows.filter("created_date <= '2024-01-06T00:00:00'"), rows, rows):
+        with local_api.serve(served, fails_every=7) as url:
+            landing.incremental_load(spark, _config(url), folder, f"{root}/checkpoint", "2024-01-02T00:00:00", _CHANGES, _SCHEMA).awaitTermination()
+    return landing.read_landing(spark, folder).select("sr_number", F.when(F.col("_source_file").contains("batch000000"), "first").otherwise("second").alias("load"))
 
 
 @query(f"WITH {_SUPPLIERS} SELECT sr_number, sr_type, ward FROM a WHERE ward IS NOT NULL")

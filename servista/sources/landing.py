@@ -1,37 +1,40 @@
-"""Landing files: JSON arrays of records, as the loader writes and Spark reads them."""
+"""Landing files: JSON records, written by the tasks that fetched them, as streams and reads take them."""
 
 from __future__ import annotations
 
-import json
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from servista.functions.clean import RAW_SCHEMA
-from servista.sources.files import write_text
-from servista.sources.rest import ApiClient, IncrementalLoader, Record, chunks
+from servista.sources import rest
 
 
-def write_landing(records: list[Record], folder: str, kind: str = "incremental", now: datetime | None = None, part: int = 0) -> str:
-    """Write one file below folder/kind, a local path or a URI; a reader never sees half of it."""
-    path = f"{folder.rstrip('/')}/{kind}/{kind}_{now or datetime.now():%Y%m%d_%H%M%S}_{part:04d}.json"
-    write_text(path, json.dumps(records, ensure_ascii=False))
+def write_landing(rows: DataFrame, folder: str, kind: str = "incremental", run: str | None = None) -> str:
+    """Write records below folder/kind, in a folder for the run: a run that is repeated replaces its own files. The run's folder."""
+    path = f"{folder.rstrip('/')}/{kind}/run={run or datetime.now().strftime('%Y%m%d_%H%M%S')}"
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
     return path
 
 
-def initial_load(client: ApiClient, folder: str, years: int = 2, now: datetime | None = None, size: int = 50_000, most_files: int | None = None) -> list[str]:
-    """Land all records created in the last years, a file for each chunk; the files."""
+def initial_load(spark: SparkSession, config: rest.ApiConfig, folder: str, years: int = 2, now: datetime | None = None, run: str | None = None, schema: str = RAW_SCHEMA) -> str:
+    """Land all records created in the last years, a file for each window of time; nothing bounds their number.
+
+    A load that died and is begun again under the same run (by default the day) lands nothing twice.
+    """
     now = now or datetime.now()
-    where = f"created_date >= '{now - timedelta(days=365 * years):%Y-%m-%d}T00:00:00'"
-    return [write_landing(got, folder, "initial", now, k) for k, got in enumerate(chunks(client, where, size, most_files))]
+    first = f"{now - timedelta(days=365 * years):%Y-%m-%d}T00:00:00"
+    return write_landing(rest.records(spark, config, f"{config.moment} >= '{first}'", schema), folder, "initial", run or f"{now:%Y%m%d}")
 
 
-def incremental_load(loader: IncrementalLoader, folder: str, now: datetime | None = None) -> str | None:
-    """Land what changed since the loader's watermark, then move the watermark; the file, None if nothing changed."""
-    got = loader.load(now=now)
-    path = write_landing(got, folder, "incremental", now) if got else None
-    loader.commit()
-    return path
+def incremental_load(spark: SparkSession, config: rest.ApiConfig, folder: str, checkpoint: str, start: str, columns: tuple[str, ...] = rest.CHANGES, schema: str = RAW_SCHEMA) -> StreamingQuery:
+    """Land what changed since the last run, once: Spark's checkpoint holds the time up to which records have come, which never moves back."""
+
+    def land(batch: DataFrame, number: int) -> None:
+        write_landing(batch, folder, "incremental", f"batch{number:06d}")
+
+    return rest.changes(spark, config, start, columns, schema).writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def with_metadata(df: DataFrame) -> DataFrame:

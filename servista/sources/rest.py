@@ -1,4 +1,10 @@
-"""Client of a paged JSON API: a driver-side iterator of records, and incremental loads with a monotone watermark."""
+"""A paged JSON API as a Spark source: executors fetch the records, window by window of time, in pages by key.
+
+A read asks the API for the first and last time and cuts it into windows, one for each task, and one more for records without a time.
+A task pages through its window by the last key seen, so records that come or go meanwhile shift no page; a page
+that fails is asked for again. As a stream, an offset is the greatest time of any change column, and a batch has the records
+that changed since the last one; Spark keeps the offsets in its checkpoint. No record passes through the driver.
+"""
 
 from __future__ import annotations
 
@@ -9,19 +15,28 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, fields
 from datetime import datetime, timedelta
-from itertools import count
 
-from servista.sources.files import read_text, write_text
+from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from servista.functions.clean import RAW_SCHEMA
+from servista.operators.changes import latest_per_key
 
 Record = dict[str, object]
 Fetch = Callable[[str, dict[str, str], float], tuple[int, bytes]]
 RETRY_STATUS = frozenset({429, 500, 502, 503, 504})
+FORMAT = "records_api"
+#: Columns whose times say that a record changed; a record counts under the first of them that does.
+CHANGES = ("created_date", "last_modified_date", "closed_date")
+_ISO = "%Y-%m-%dT%H:%M:%S"
 
 
-@dataclass
+@dataclass(frozen=True)
 class ApiConfig:
+    """Where and how to ask; `key` tells records apart, windows are `window_days` of `moment` long."""
+
     base_url: str
     app_token: str | None = None
     timeout: float = 30
@@ -29,11 +44,23 @@ class ApiConfig:
     retry_backoff: float = 0.5
     page_size: int = 10_000
     pause: float = 0.1
+    key: str = "sr_number"
+    moment: str = "created_date"
+    window_days: int = 30
 
     @classmethod
     def from_env(cls, url: str = "OPENDATA_URL", token: str = "OPENDATA_APP_TOKEN") -> ApiConfig:
         return cls(os.environ[url], os.environ.get(token))
 
+    def options(self) -> dict[str, str]:
+        return {k: str(v) for k, v in asdict(self).items() if v is not None}
+
+    @classmethod
+    def from_options(cls, options: dict[str, str]) -> ApiConfig:
+        given = {k.lower(): v for k, v in options.items()}
+        kinds = {"float": float, "int": int}
+        return cls(**{f.name: kinds.get(str(f.type), str)(given[f.name]) for f in fields(cls) if f.name in given})
+
 
 def http_get(url: str, headers: dict[str, str], timeout: float) -> tuple[int, bytes]:
     """Status and body; connection errors count as status 503."""
@@ -42,12 +69,12 @@ def http_get(url: str, headers: dict[str, str], timeout: float) -> tuple[int, by
             return got.status, got.read()
     except urllib.error.HTTPError as e:
         return e.code, e.read()
-    except urllib.error.URLError:
+    except (urllib.error.URLError, TimeoutError, ConnectionError):
         return 503, b""
 
 
 class ApiError(Exception):
-    """The API answered with an error status."""
+    """The API answered with an error status, or with records that were not asked for."""
 
 
 @dataclass(frozen=True)
@@ -56,126 +83,179 @@ class Request:
 
     where: str | None = None
     select: str | None = None
-    order: str = "created_date DESC"
-    offset: int = 0
+    order: str | None = None
     limit: int = 0
 
     def url(self, config: ApiConfig) -> str:
         """A limit of 0 means the page size. Names of the parameters are fixed by the API."""
-        given = [("$order", self.order), ("$offset", self.offset), ("$limit", self.limit or config.page_size), ("$where", self.where), ("$select", self.select)]
+        given = [("$order", self.order), ("$limit", self.limit or config.page_size), ("$where", self.where), ("$select", self.select)]
         return f"{config.base_url}?{urllib.parse.urlencode([(k, v) for k, v in given if v is not None])}"
 
 
-class ApiClient:
-    def __init__(self, config: ApiConfig, get: Fetch = http_get, sleep: Callable[[float], None] = time.sleep):
-        self.config, self.get, self.sleep = config, get, sleep
-
-    def page(self, where: str | None = None, offset: int = 0, limit: int | None = None) -> list[Record]:
-        headers = {"Accept": "application/json"} | ({"X-App-Token": self.config.app_token} if self.config.app_token else {})
-        url, body = Request(where, offset=offset, limit=limit or 0).url(self.config), b""
-        for attempt in range(self.config.max_retries + 1):
-            status, body = self.get(url, headers, self.config.timeout)
-            if status not in RETRY_STATUS:
-                break
-            if attempt < self.config.max_retries:
-                self.sleep(self.config.retry_backoff * 2**attempt)
-        if status >= 400:
-            raise ApiError(f"status {status}")
-        return json.loads(body)
-
-    def all(self, where: str | None = None, most: int | None = None, progress: Callable[[int], None] | None = None) -> Iterator[Record]:
-        """Records page by page until a page is short or `most` (None or 0: no bound) are out."""
-        offset = 0
-        while True:
-            got = self.page(where, offset)
-            for k, record in enumerate(got):
-                if most and offset + k >= most:
-                    return
-                yield record
-            offset += len(got)
-            if progress:
-                progress(offset)
-            if len(got) < self.config.page_size:
-                return
-            self.sleep(self.config.pause)
-
-    def recent(self, days: int = 7, now: datetime | None = None) -> list[Record]:
-        day = (now or datetime.now()) - timedelta(days=days)
-        return [*self.all(f"created_date >= '{day:%Y-%m-%d}T00:00:00'")]
-
-    def since(self, moment: str) -> list[Record]:
-        return [*self.all(f"created_date > '{moment}'")]
-
-    def changes_since(self, moment: str) -> list[Record]:
-        where = " OR ".join(f"{c} > '{moment}'" for c in ("created_date", "last_modified_date", "closed_date"))
-        return latest_records(self.all(where))
-
-    def date_range(self, start: str, end: str) -> list[Record]:
-        return [*self.all(f"created_date >= '{start}' AND created_date < '{end}'")]
-
-    def with_fallback(self, where: str) -> list[Record]:
-        """Filtered records, or unfiltered ones when the filter finds none."""
-        return [*self.all(where)] or [*self.all()]
-
-
-def fetch_recent(config: ApiConfig, days: int = 7) -> list[Record]:
-    """The records created in the last days."""
-    return ApiClient(config).recent(days)
-
-
-def fetch_since(config: ApiConfig, moment: str) -> list[Record]:
-    """The records created after a moment."""
-    return ApiClient(config).since(moment)
-
-
-def latest_records(records: Iterator[Record], key: str = "sr_number", order: str = "last_modified_date") -> list[Record]:
-    """Each key's record with the greatest order value (absent and null ones are least, the first seen wins ties); keyless ones go."""
-    best: dict[object, Record] = {}
-    for r in records:
-        k = r.get(key)
-        if k and (k not in best or (r.get(order) or "") > (best[k].get(order) or "")):
-            best[k] = r
-    return [*best.values()]
-
-
-class IncrementalLoader:
-    """Loads what changed since the watermark kept in a state file.
-
-    The watermark never moves back, counts all change columns, and is stored by commit(), after the records are safe.
-    """
-
-    def __init__(self, client: ApiClient, state_file: str, changes: bool = True):
-        self.client, self.state_file, self.changes = client, state_file, changes
-        self.pending: str | None = None
-
-    def watermark(self) -> str | None:
-        """None where there is no readable state: the next load is an initial one."""
-        try:
-            return json.loads(read_text(self.state_file)).get("watermark")
-        except (OSError, ValueError, AttributeError):
-            return None
-
-    def load(self, initial_days: int = 7, now: datetime | None = None) -> list[Record]:
-        mark = self.watermark()
-        if mark is None:
-            got = self.client.recent(initial_days, now)
-        else:
-            got = self.client.changes_since(mark) if self.changes else self.client.since(mark)
-        times = [str(r[c]) for r in got for c in ("created_date", "last_modified_date", "closed_date") if r.get(c)]
-        self.pending = max([*times, *([mark] if mark else [])], default=None)
-        return got
-
-    def commit(self) -> None:
-        if self.pending is None:
+def ask(config: ApiConfig, request: Request, get: Fetch = http_get, sleep: Callable[[float], None] = time.sleep) -> list[Record]:
+    """The answer to one request, asked again after growing pauses while the status says so."""
+    headers = {"Accept": "application/json"} | ({"X-App-Token": config.app_token} if config.app_token else {})
+    status, body = 503, b""
+    for attempt in range(config.max_retries + 1):
+        status, body = get(request.url(config), headers, config.timeout)
+        if status not in RETRY_STATUS:
+            break
+        if attempt < config.max_retries:
+            sleep(config.retry_backoff * 2**attempt)
+    if status >= 400:
+        raise ApiError(f"status {status}")
+    return json.loads(body)
+
+
+def both(*conditions: str | None) -> str | None:
+    """The conditions that are given, joined by AND."""
+    given = [f"({c})" for c in conditions if c]
+    return " AND ".join(given) or None
+
+
+def quoted(value: object) -> str:
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+def records_by_key(config: ApiConfig, where: str | None = None, get: Fetch = http_get, sleep: Callable[[float], None] = time.sleep) -> Iterator[Record]:
+    """All records that the filter finds, in order of their key, a page after the other; those without a key come first."""
+    yield from ask(config, Request(both(where, f"{config.key} IS NULL"), limit=2**31 - 1), get, sleep)
+    last: str | None = None
+    while True:
+        got = ask(config, Request(both(where, f"{config.key} > {quoted(last)}" if last is not None else f"{config.key} IS NOT NULL"), order=config.key), get, sleep)
+        for record in got:
+            key = str(record[config.key])
+            if last is not None and key <= last:
+                raise ApiError(f"the server doesn't honour the order: {key} after {last}")
+            last = key
+            yield record
+        if len(got) < config.page_size:
             return
-        write_text(self.state_file, json.dumps({"watermark": self.pending}))
+        sleep(config.pause)
 
 
-def chunks(client: ApiClient, where: str | None, size: int = 50_000, most_files: int | None = None) -> Iterator[list[Record]]:
-    """Chunks of an initial load, one for each landing file; a short chunk is the last, whatever their number unless `most_files` is given."""
-    for k in count() if most_files is None else range(most_files):
-        got = client.page(where, k * size, size)
-        if got:
-            yield got
-        if len(got) < size:
-            return
+@dataclass
+class Part(InputPartition):
+    where: str | None
+
+
+def windows(low: str, high: str, days: int) -> list[tuple[str, str]]:
+    """Half-open windows of so many days from low on, the last one ending at high."""
+    out, at, end = [], datetime.fromisoformat(low), datetime.fromisoformat(high)
+    while at < end:
+        upto = min(at + timedelta(days=days), end)
+        out.append((at.strftime(_ISO), upto.strftime(_ISO)))
+        at = upto
+    return out
+
+
+class _Read:
+    """Fields as the schema names them; nested ones as JSON text, others as strings."""
+
+    def __init__(self, schema: T.StructType, options: dict[str, str]):
+        self.names, self.config, self.where = schema.names, ApiConfig.from_options(options), options.get("where")
+
+    def read(self, part: Part) -> Iterator[tuple]:
+        for record in records_by_key(self.config, part.where):
+            yield tuple(None if record.get(c) is None else json.dumps(record[c]) if not isinstance(record[c], str) else record[c] for c in self.names)
+
+
+class RecordsReader(_Read, DataSourceReader):
+    def partitions(self) -> list[Part]:
+        c = self.config.moment
+        span = ask(self.config, Request(self.where, f"min({c}) AS low, max({c}) AS high", limit=1))[0]
+        parts = [Part(both(self.where, f"{c} IS NULL"))]
+        if span.get("low") is not None:
+            each = windows(str(span["low"]), str(span["high"]), self.config.window_days)
+            parts += [Part(both(self.where, f"{c} >= {quoted(a)} AND {c} < {quoted(z)}")) for a, z in each]
+            parts.append(Part(both(self.where, f"{c} >= {quoted(datetime.fromisoformat(str(span['high'])).strftime(_ISO))}")))
+        return parts
+
+
+class ChangesReader(_Read, DataSourceStreamReader):
+    """The first batch has the records made from `since` on; each other one those of which some change column is after its start and up to
+    its end, each once. A record that changes again meanwhile comes again with the next batch."""
+
+    def __init__(self, schema: T.StructType, options: dict[str, str]):
+        super().__init__(schema, options)
+        self.start, self.columns = options["since"], options.get("changes", ",".join(CHANGES)).split(",")
+
+    def initialOffset(self) -> dict:
+        return {"mark": self.start}
+
+    def latestOffset(self) -> dict:
+        seen = ask(self.config, Request(self.where, ", ".join(f"max({c}) AS m{i}" for i, c in enumerate(self.columns)), limit=1))[0]
+        return {"mark": max([self.start, *(str(v) for v in seen.values() if v is not None)])}
+
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        a, z, parts = start["mark"], end["mark"], []
+        if a >= z:
+            return parts
+        if a == self.start:
+            cuts = [*[low for low, _ in windows(a, z, self.config.window_days)], z]
+            m = self.config.moment
+            return [Part(both(self.where, f"{m} >= {quoted(low)} AND {m} {'<=' if high == z else '<'} {quoted(high)}")) for low, high in zip(cuts, cuts[1:], strict=False)]
+        inside = lambda c, low, high: f"{c} > {quoted(low)} AND {c} <= {quoted(high)}"
+        for i, c in enumerate(self.columns):
+            earlier = [f"{b} IS NULL OR {b} <= {quoted(a)} OR {b} > {quoted(z)}" for b in self.columns[:i]]
+            cuts = [a, *[high for _, high in windows(a, z, self.config.window_days)][:-1], z]
+            parts += [Part(both(self.where, inside(c, low, high), *earlier)) for low, high in zip(cuts, cuts[1:], strict=False)]
+        return parts
+
+    def commit(self, end: dict) -> None:
+        pass
+
+
+class RecordsSource(DataSource):
+    """Format `records_api`; options are ApiConfig's fields, `where`, and for streams `since` and `changes`."""
+
+    @classmethod
+    def name(cls) -> str:
+        return FORMAT
+
+    def schema(self) -> str:
+        return RAW_SCHEMA
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return RecordsReader(schema, self.options)
+
+    def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
+        return ChangesReader(schema, self.options)
+
+
+def records(spark: SparkSession, config: ApiConfig, where: str | None = None, schema: str = RAW_SCHEMA) -> DataFrame:
+    """All records that the API's filter finds."""
+    spark.dataSource.register(RecordsSource)
+    return spark.read.format(FORMAT).schema(schema).options(**config.options(), **({"where": where} if where else {})).load()
+
+
+def recent(spark: SparkSession, config: ApiConfig, days: int = 7, now: datetime | None = None, schema: str = RAW_SCHEMA) -> DataFrame:
+    """Records created in the last days."""
+    day = (now or datetime.now()) - timedelta(days=days)
+    return records(spark, config, f"{config.moment} >= '{day:%Y-%m-%d}T00:00:00'", schema)
+
+
+def since(spark: SparkSession, config: ApiConfig, moment: str, schema: str = RAW_SCHEMA) -> DataFrame:
+    return records(spark, config, f"{config.moment} > {quoted(moment)}", schema)
+
+
+def changes_since(spark: SparkSession, config: ApiConfig, moment: str, columns: tuple[str, ...] = CHANGES, schema: str = RAW_SCHEMA) -> DataFrame:
+    """The last record of each key that changed after a moment."""
+    return latest_per_key(records(spark, config, " OR ".join(f"{c} > {quoted(moment)}" for c in columns), schema), config.key, columns[min(1, len(columns) - 1)])
+
+
+def date_range(spark: SparkSession, config: ApiConfig, start: str, end: str, schema: str = RAW_SCHEMA) -> DataFrame:
+    """Half-open: from start up to, not including, end."""
+    return records(spark, config, f"{config.moment} >= {quoted(start)} AND {config.moment} < {quoted(end)}", schema)
+
+
+def with_fallback(spark: SparkSession, config: ApiConfig, where: str, schema: str = RAW_SCHEMA) -> DataFrame:
+    """Filtered records, or unfiltered ones when the filter finds none."""
+    found = ask(config, Request(where, f"count({config.key}) AS n", limit=1))[0]
+    return records(spark, config, where if int(str(found["n"])) else None, schema)
+
+
+def changes(spark: SparkSession, config: ApiConfig, start: str, columns: tuple[str, ...] = CHANGES, schema: str = RAW_SCHEMA) -> DataFrame:
+    """A stream of the records made from `start` on, and then of those that change."""
+    spark.dataSource.register(RecordsSource)
+    return spark.readStream.format(FORMAT).schema(schema).options(**config.options(), since=start, changes=",".join(columns)).load()

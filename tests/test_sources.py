@@ -1,85 +1,115 @@
 import json
+from datetime import datetime
+from urllib.parse import parse_qs, urlsplit
 
 import pytest
 
 from servista.functions import clean
-from servista.sources import catalog, landing, rest
+from servista.sources import catalog, landing, local_api, rest
 from servista.streaming import bronze
 
 
-class Server:
-    """Answers from a list of records, after the given statuses."""
+class Answers:
+    """Answers from a list of keys, after the given statuses."""
 
-    def __init__(self, n, statuses=()):
-        self.n, self.statuses, self.urls, self.waits = n, [*statuses], [], []
+    def __init__(self, n, statuses=(), order=sorted):
+        self.keys, self.statuses, self.urls, self.waits, self.order = [f"{i:04d}" for i in range(n)], [*statuses], [], [], order
 
     def get(self, url, headers, timeout):
         self.urls.append(url)
         if self.statuses:
             return self.statuses.pop(0), b""
-        args = dict(p.split("=") for p in url.split("?")[1].replace("%24", "$").split("&"))
-        a = int(args["$offset"])
-        return 200, json.dumps([{"sr_number": str(i)} for i in range(a, min(self.n, a + int(args["$limit"])))]).encode()
+        args = {k: v[0] for k, v in parse_qs(urlsplit(url).query).items()}
+        where = args["$where"]
+        if "IS NULL" in where:
+            return 200, b"[]"
+        last = where.split("> '")[1].split("'")[0] if "> '" in where else ""
+        found = [k for k in self.order(self.keys) if k > last][: int(args["$limit"])]
+        return 200, json.dumps([{"sr_number": k} for k in found]).encode()
 
-    def client(self, **more):
-        return rest.ApiClient(rest.ApiConfig("http://x/y", page_size=10, **more), self.get, self.waits.append)
+    def all(self, **more):
+        return [r["sr_number"] for r in rest.records_by_key(rest.ApiConfig("http://x/y", page_size=10, **more), None, self.get, self.waits.append)]
 
 
 @pytest.mark.parametrize(("n", "pages"), [(0, 1), (1, 1), (10, 2), (11, 2), (25, 3)])
 def test_pages(n, pages):
-    s = Server(n)
-    assert len([*s.client().all()]) == n and len(s.urls) == pages
+    a = Answers(n)
+    assert a.all() == a.keys and len(a.urls) == pages + 1 and a.waits == [0.1] * (pages - 1)
 
 
-def test_bound_retry_and_error():
-    s = Server(25, [429, 503])
-    assert len([*s.client().all(most=12)]) == 12 and s.waits[:2] == [0.5, 1.0]
-    with pytest.raises(rest.ApiError):
-        [*Server(3, [500] * 4).client().all()]
-    with pytest.raises(rest.ApiError):
-        [*Server(3, [404]).client().all()]
+def test_retry_and_errors():
+    a = Answers(5, [429, 503])
+    assert len(a.all()) == 5 and a.waits[:2] == [0.5, 1.0]
+    for statuses in ([500] * 4, [404]):
+        with pytest.raises(rest.ApiError, match="status"):
+            Answers(3, statuses).all()
+    with pytest.raises(rest.ApiError, match="order"):
+        Answers(30, order=lambda keys: keys[::-1]).all()
 
 
 def test_query_url():
-    url = rest.Request("a > '1'", "a,b", limit=0, offset=3).url(rest.ApiConfig("http://x/y", page_size=10))
-    assert "%24limit=10" in url and "%24offset=3" in url and "%24where=a+%3E+%271%27" in url and "%24select=a%2Cb" in url
+    url = rest.Request("a > '1'", "a,b", "k").url(rest.ApiConfig("http://x/y", page_size=10))
+    assert "%24limit=10" in url and "%24order=k" in url and "%24where=a+%3E+%271%27" in url and "%24select=a%2Cb" in url
 
 
-def test_chunks_stop_at_a_short_one():
-    assert [len(c) for c in rest.chunks(Server(25).client(), None, 10)] == [10, 10, 5]
-    assert [len(c) for c in rest.chunks(Server(25).client(), None, 10, most_files=1)] == [10]
+def test_windows_cover_a_span():
+    assert rest.windows("2024-01-01T00:00:00", "2024-01-25T12:00:00", 10) == [("2024-01-01T00:00:00", "2024-01-11T00:00:00"), ("2024-01-11T00:00:00", "2024-01-21T00:00:00"), ("2024-01-21T00:00:00", "2024-01-25T12:00:00")]
+    assert rest.windows("2024-01-01", "2024-01-01", 10) == []
 
 
-def test_initial_load_lands_every_chunk(tmp_path):
-    files = landing.initial_load(Server(215).client(), str(tmp_path), size=10)
-    landed = [r["sr_number"] for f in files for r in json.load(open(f))]
-    assert len(files) == 22 and landed == [str(i) for i in range(215)]
-    assert len(landing.initial_load(Server(215).client(), str(tmp_path / "some"), size=10, most_files=3)) == 3
+SCHEMA = "sr_number string, created_date string, last_modified_date string, ward string"
 
 
-def test_latest_records_with_null_and_missing_order():
-    got = rest.latest_records(iter([{"sr_number": "1", "last_modified_date": None, "v": 1}, {"sr_number": "1", "last_modified_date": "2024", "v": 2}, {"sr_number": "1", "v": 3}, {"v": 4}]))
-    assert [r["v"] for r in got] == [2]
+def table(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_watermark_is_monotone(tmp_path):
-    state = str(tmp_path / "state.json")
-    loader = rest.IncrementalLoader(None, state)
-    (tmp_path / "state.json").write_text("broken")
-    assert loader.watermark() is None
+def some(n):
+    """Many records of the same few times, some without a time, one without a key; in shuffled order."""
+    day = lambda k: f"2024-01-{1 + k % 5:02d}T00:00:00"
+    rows = [(str(i), day(i) if i % 11 else None, day(i + 3) if i % 2 else None, "it's") for i in range(n)]
+    return [*rows[::3], *rows[1::3], *rows[2::3], (None, day(1), None, "no key")]
 
-    class Fake:
-        recent = staticmethod(lambda days, now: [{"sr_number": "1", "created_date": "2024-05-01", "closed_date": "2024-06-01"}])
-        changes_since = staticmethod(lambda mark: [{"sr_number": "2", "created_date": "2020-01-01"}])
 
-    loader.client = Fake()
-    loader.load()
-    assert loader.watermark() is None
-    loader.commit()
-    assert loader.watermark() == "2024-06-01"
-    loader.load()
-    loader.commit()
-    assert loader.watermark() == "2024-06-01"
+def config(url, **more):
+    return rest.ApiConfig(url, page_size=7, pause=0.0, retry_backoff=0.0, window_days=2, **more)
+
+
+def test_executors_read_every_record_once(spark):
+    rows = some(200)
+    with local_api.serve(table(spark, rows), fails_every=5) as url:
+        df = rest.records(spark, config(url), schema=SCHEMA)
+        assert df.rdd.getNumPartitions() == 4  # without a time, two windows, and the last moment
+        assert sorted(map(repr, df.collect())) == sorted(repr(r) for r in table(spark, rows).collect())
+        assert {r.sr_number for r in rest.records(spark, config(url), "ward = 'it''s'", SCHEMA).collect()} == {r[0] for r in rows if r[0]}
+        last = rest.changes_since(spark, config(url), "2024-01-04T00:00:00", ("created_date", "last_modified_date"), SCHEMA)
+        assert {r.sr_number for r in last.collect()} == {r[0] for r in rows if r[0] and max(r[1] or "", r[2] or "") > "2024-01-04T00:00:00"}
+        assert rest.with_fallback(spark, config(url), "ward = 'none'", SCHEMA).count() == len(rows)
+        assert rest.with_fallback(spark, config(url), "sr_number = '7'", SCHEMA).count() == 1
+    with local_api.serve(table(spark, rows).limit(0)) as url:
+        assert rest.records(spark, config(url), schema=SCHEMA).count() == 0
+
+
+def test_an_error_of_the_api_fails_the_job(spark):
+    with local_api.serve(table(spark, some(5)), fails_every=1) as url, pytest.raises(Exception, match="status 503"):
+        rest.records(spark, config(url), schema=SCHEMA).count()
+
+
+def test_loads_land_every_change_once(spark, tmp_path):
+    folder, checkpoint = str(tmp_path / "land"), str(tmp_path / "checkpoint")
+    rows = [(f"{i:03d}", f"2024-01-{1 + i % 9:02d}T00:00:00", None, "a") for i in range(60)]
+    later = [(k, c, "2024-02-01T00:00:00", "b") if int(k) % 10 == 0 else (k, c, None, w) for k, c, _, w in rows] + [("100", "2024-02-03T00:00:00", "2024-02-01T00:00:00", "new"), ("101", "2024-01-09T00:00:00", None, "at the mark")]
+    landed = lambda: sorted((r.sr_number, r.ward) for r in landing.read_landing(spark, folder).collect())
+    want = [(k, w) for k, c, _, w in rows if c >= "2024-01-03T00:00:00"]
+    for served, more in ((rows, want), (later, [(k, "b") for k, *_ in rows if int(k) % 10 == 0] + [("100", "new")]), (later, [])):
+        with local_api.serve(table(spark, served)) as url:
+            landing.incremental_load(spark, config(url), folder, checkpoint, "2024-01-03T00:00:00", ("created_date", "last_modified_date"), SCHEMA).awaitTermination()
+        want = want + more if more is not want else want
+        assert landed() == sorted(want)
+    with local_api.serve(table(spark, rows)) as url:
+        for _ in range(2):
+            landing.initial_load(spark, config(url), str(tmp_path / "first"), 1, datetime(2024, 6, 1), schema=SCHEMA)
+    assert landing.read_landing(spark, str(tmp_path / "first")).count() == 60
 
 
 ROWS = [
@@ -89,16 +119,19 @@ ROWS = [
 ]
 
 
+LANDED = "sr_number string, sr_type string, status string, created_date string, ward int, location struct<a: int>, duplicate boolean"
+
+
 def test_bronze_and_staged_streams(spark, tmp_path):
     land, root = str(tmp_path / "land"), str(tmp_path / "tables")
-    landing.write_landing(ROWS, land, "initial")
+    landing.write_landing(spark.createDataFrame(ROWS, LANDED), land, "initial")
     b, s = bronze.run_bronze(spark, land, root)
     raw = spark.read.parquet(b)
-    assert raw.count() == 3 and raw.filter("sr_number = '1'").first().location == '{"a": 1}'
+    assert raw.count() == 3 and raw.filter("sr_number = '1'").first().location == '{"a":1}'
     assert [r.ward for r in spark.read.parquet(s).collect()] == [28]
     bronze.run_bronze(spark, land, root)
     assert spark.read.parquet(b).count() == 3
-    landing.write_landing([ROWS[0] | {"sr_number": "9"}], land)
+    landing.write_landing(spark.createDataFrame([{**ROWS[0], "sr_number": "9"}], LANDED), land)
     bronze.run_bronze(spark, land, root)
     assert {r.sr_number for r in spark.read.parquet(s).collect()} == {"1", "9"}
     assert bronze.ingestion_counts(spark.read.parquet(b)).count() >= 1
@@ -120,14 +153,6 @@ def test_config_from_the_environment(monkeypatch):
     assert rest.ApiConfig.from_env().app_token == "t"
 
 
-def test_fetchers_ask_for_what_they_say(monkeypatch):
-    asked = []
-    monkeypatch.setattr(rest.ApiClient, "all", lambda self, where=None, *a: asked.append(where) or iter(()))
-    rest.fetch_recent(rest.ApiConfig("http://x"), 3)
-    rest.fetch_since(rest.ApiConfig("http://x"), "2024-01-01")
-    assert asked[0].startswith("created_date >= '") and asked[1] == "created_date > '2024-01-01'"
-
-
 def test_catalog_and_volume(spark, tmp_path):
     names = catalog.create_layers(spark, "t_", reset=True)
     assert len(names) == 5 and catalog.describe_layers(spark, names).count() == 5
