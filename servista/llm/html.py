@@ -1,15 +1,20 @@
 """Main text of web pages by two passes over text blocks (operator 10).
 
-A page is cut into blocks at block-level tags; where a block stands gives it a prior: boilerplate (menus, headers,
-footers, forms, notices, adverts, comments and the like), article, or neither. What inline elements of such names hold
-is no text of their block.
+A page is cut into blocks at block-level tags. Where a block stands gives it a prior: tags and roles of menus, footers, forms and
+the like, and what is hidden, are boilerplate; class names that sound like it are a suspicion; an article is where main text is looked for.
+What inline elements of such names hold is no text of their block.
 
 Pass one decides a block by its length, the density of stop words and the density of links:
 
-* with a boilerplate prior it goes, whatever its words are;
+* boilerplate goes, whatever its words are;
 * in an article it is main text from NEAR characters on with so many stop words, links or not; a list item or table
   cell that is mostly links goes; the rest is left open, unless the article has no main text so far: then all of it is;
-* elsewhere it goes where it is mostly links; from LONG characters on the stop words decide; shorter ones are left open.
+* elsewhere it goes where it is mostly links; from LONG characters on the stop words decide; shorter ones are left open;
+* what follows the page's articles of main text goes (comments, notices, teasers), as does what comes before them unless it has more prose.
+
+Suspects go at first. Where one group of them (those of one article, or, if no other article has text, those of containers of equal names)
+has more prose than AGAIN times the text that stays, its names mislead: the page is decided again without them. So a wrapper's name
+never loses an article.
 
 Where stop words are under KNOWN of the words of a page's long blocks, the page is in a language not listed, and length
 and links decide alone. Pass two lets each open block inherit the label of its nearest decided neighbours: an article's
@@ -61,6 +66,8 @@ LAYOUT = frozenset("has with no without".split())
 #: Pass one: characters that make a block long (elsewhere, in an article); stop words to the word of main text; share of
 #: link characters beyond which a block is mostly links; least share of stop words on pages in a listed language.
 LONG, NEAR, STOPS, LINKS, KNOWN = 70, 25, 0.15, 0.33, 0.05
+#: So many times the prose of what stays must suspects have to be taken for main text after all.
+AGAIN = 2
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({RAW_TAGS})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*+)>|<[!?/][^<>]*+>|[^<]+|<",
@@ -77,18 +84,23 @@ def _names(value: str) -> list[list[str]]:
     return [[x.lower() for x in _NAME.findall(name)] for name in value.split()]
 
 
-def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
+NO, SUSPECT, BAD = 0, 1, 2
+
+
+def _boilerplate(tag: str, attrs: str, in_article: bool) -> int:
+    """Whether an element is boilerplate: by tag, role or being hidden, or only by its names (SUSPECT)."""
     if tag in BAD_TAGS or (tag == "header" and not in_article):
-        return True
+        return BAD
+    found = NO
     if not attrs.strip():
-        return False
+        return found
     for key, a, b, c, hidden in _ATTR.findall(attrs):
         value = a or b or c
         key, low = key.lower(), value.lower()
         if hidden or (key == "aria-hidden" and low == "true") or (key == "style" and "display:none" in low.replace(" ", "")):
-            return True
+            return BAD
         if key == "role" and low in BAD_ROLES:
-            return True
+            return BAD
         if key in ("class", "id") and tag not in ("body", "html"):
             for parts in _names(value):
                 bad = BAD_NAMES.intersection(parts)
@@ -97,8 +109,8 @@ def _boilerplate(tag: str, attrs: str, in_article: bool) -> bool:
                 if tag in ("article", "main") and len(parts) > 1:  # of an article that has comments or a footer
                     continue
                 if not (bad <= {"header", "masthead"} and GOOD_NAMES.intersection(parts)):  # an article's header has its title
-                    return True
-    return False
+                    found = SUSPECT
+    return found
 
 
 def _is_article(tag: str, attrs: str) -> bool:
@@ -109,35 +121,35 @@ def _is_article(tag: str, attrs: str) -> bool:
 
 
 class Block:
-    __slots__ = ("article", "bad", "item", "label", "linked", "text")
+    """bad: boilerplate; suspect: the group of suspects it is in, None if none; article: the number of the article around it, 0 if none."""
 
-    def __init__(self, text: str, linked: int, bad: bool, article: int, item: bool):
+    __slots__ = ("article", "bad", "item", "label", "linked", "stops", "suspect", "text", "words")
+
+    def __init__(self, text: str, linked: int, bad: bool, suspect: str | None, article: int, item: bool):
         self.text, self.linked, self.bad, self.article, self.item, self.label = text, linked, bad, article, item, None
+        self.suspect = suspect and (f"article {article}" if article else suspect)
+        self.stops, self.words = sum(map(STOP_WORDS.__contains__, _LETTERS.findall(text.lower()))), text.count(" ") + 1
 
     def mostly_links(self) -> bool:
         return self.linked > LINKS * (len(self.text) - self.text.count(" "))
 
-    def stops(self) -> tuple[int, int]:
-        """Stop words and words."""
-        return sum(map(STOP_WORDS.__contains__, _LETTERS.findall(self.text.lower()))), self.text.count(" ") + 1
-
 
 def blocks(page: str) -> list[Block]:
-    """The page's blocks in order; article is the number of the article container around it, 0 if none."""
+    """The page's blocks in order."""
     out: list[Block] = []
     text: list[str] = []
     linked = n_articles = 0
-    top = ("", False, 0, False, False, False)  # tag, boilerplate, article, link, item, mute
+    top: tuple = ("", False, None, 0, False, False, False)  # tag, boilerplate, suspect, article, link, item, mute
     stack = [top]
     open_tags: Counter[str] = Counter()
-    own_bad, breaks = False, 0
+    own, breaks = NO, 0
 
     def flush():
         nonlocal linked
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             if joined:
-                out.append(Block(joined, linked, top[1] or own_bad, top[2], top[4]))
+                out.append(Block(joined, linked, top[1] or own == BAD, top[2] or (f"p {own}" if own == SUSPECT else None), top[3], top[5]))
             text.clear()
         linked = 0
 
@@ -160,9 +172,9 @@ def blocks(page: str) -> list[Block]:
         tag = m[3] or m[6]
         if tag is None:
             part = m[0]
-            if (part[0] != "<" or part == "<") and not top[5]:
+            if (part[0] != "<" or part == "<") and not top[6]:
                 text.append(part)
-                if top[3]:
+                if top[4]:
                     linked += len("".join(html.unescape(part).split()))
                 if breaks and not part.isspace():
                     breaks = 0
@@ -176,55 +188,73 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK_TAGS:
             flush()
-            own_bad = False
+            own = NO
             breaks = 0
         attrs = m[4] or m[7] or ""
-        _, bad, article, link, item, mute = top
+        _, bad, suspect, article, link, item, mute = top
         if m[2] or m[5]:
             if open_tags[tag]:
                 close(tag)
         elif tag in INLINE_TAGS:
             if tag == "a" and open_tags["a"]:
                 close("a")
-                _, bad, article, link, item, mute = top
-            mute = mute or _boilerplate(tag, attrs, article > 0)
+                _, bad, suspect, article, link, item, mute = top
+            mute = mute or _boilerplate(tag, attrs, article > 0) > NO
             if tag == "a" or mute:  # others change nothing, and are often left open
-                enter(tag, bad, article, link or tag == "a", item, mute)
+                enter(tag, bad, suspect, article, link or tag == "a", item, mute)
         elif tag == "p":
-            own_bad = _boilerplate(tag, attrs, article > 0)
+            own = _boilerplate(tag, attrs, article > 0)
         elif tag in BLOCK_TAGS and tag not in VOID and not attrs.endswith("/"):
-            bad = bad or _boilerplate(tag, attrs, article > 0)
+            kind = _boilerplate(tag, attrs, article > 0)
+            bad = bad or kind == BAD
+            if kind == SUSPECT and not suspect:
+                suspect = " ".join(attrs.split())
             if not bad and not article and _is_article(tag, attrs):
                 n_articles += 1
                 article = n_articles
-            enter(tag, bad, article, link, tag in ITEM_TAGS or (item and tag not in ("article", "main")), mute)
+            enter(tag, bad, suspect, article, link, tag in ITEM_TAGS or (item and tag not in ("article", "main")), mute)
     flush()
     return out
 
 
-def first_pass(found: list[Block]) -> None:
+def is_known(found: list[Block]) -> bool:
+    """Whether the page's long blocks have stop words."""
+    long_ = [b for b in found if len(b.text) >= LONG and not b.bad]
+    return sum(b.stops for b in long_) >= KNOWN * sum(b.words for b in long_)
+
+
+def prose(b: Block, known: bool) -> int:
+    """Characters of a long block of few links and many stop words, else 0."""
+    return len(b.text) if len(b.text) >= LONG and not b.mostly_links() and (b.stops >= STOPS * b.words or not known) else 0
+
+
+def first_pass(found: list[Block], known: bool) -> None:
     """Set the label (True: main text) of each block that its own words and place decide."""
-    seen = [b.stops() for b in found]
-    long_ = [x for b, x in zip(found, seen, strict=True) if len(b.text) >= LONG and not b.bad]
-    known = sum(s for s, _ in long_) >= KNOWN * sum(n for _, n in long_)
     good = set()
-    for b, (stops, n) in zip(found, seen, strict=True):
-        prose = stops >= STOPS * n or not known
-        if b.bad:
+    for b in found:
+        wordy = b.stops >= STOPS * b.words or not known
+        if b.bad or b.suspect:
             b.label = False
         elif b.article:
             if b.mostly_links() and b.item:
                 b.label = False
-            elif len(b.text) >= NEAR and prose:
+            elif len(b.text) >= NEAR and wordy:
                 b.label = True
                 good.add(b.article)
         elif b.mostly_links():
             b.label = False
         elif len(b.text) >= LONG:
-            b.label = prose
+            b.label = wordy
     for b in found:
         if b.label is None and b.article and b.article not in good:
             b.label = True
+    inside = [i for i, b in enumerate(found) if b.label and b.article in good]
+    if inside:
+        before = sum(prose(b, known) for b in found[: inside[0]] if b.label and not b.article)
+        first = inside[0] if before <= sum(prose(found[i], known) for i in inside) else 0
+        for b in [*found[:first], *found[inside[-1] + 1 :]]:
+            if not b.article:
+                b.label = False
 
 
 def second_pass(found: list[Block]) -> None:
@@ -238,7 +268,7 @@ def second_pass(found: list[Block]) -> None:
             key = found[i].article
             if first[i] is not None:
                 last[0] = i
-                if key and not found[i].bad:  # boilerplate inside an article decides nothing about the text around it
+                if key and not (found[i].bad or found[i].suspect):  # boilerplate inside an article decides nothing about the text around it
                     last[key] = i
             elif key in last:
                 d, label = abs(i - last[key]), first[last[key]]
@@ -249,9 +279,26 @@ def second_pass(found: list[Block]) -> None:
             b.label = label
 
 
+def misled(found: list[Block], known: bool) -> str | None:
+    """The group of suspects that has far more prose than there is text without them; where an article has some, only another article's."""
+    have: Counter[str] = Counter()
+    articles = any(b.label and b.article for b in found)
+    for b in found:
+        if b.suspect and not b.bad and (b.article or not articles):
+            have[b.suspect] += prose(b, known)
+    group, most = max(have.items(), key=lambda x: x[1], default=(None, 0))
+    return group if most > AGAIN * sum(len(b.text) for b in found if b.label) else None
+
+
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    first_pass(found)
+    known = is_known(found)
+    first_pass(found, known)
+    group = misled(found, known)
+    if group:
+        for b in found:
+            b.label, b.suspect = None, b.suspect if b.suspect != group else None
+        first_pass(found, known)
     second_pass(found)
     return "\n".join(b.text for b in found if b.label)
 

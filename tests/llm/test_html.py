@@ -36,27 +36,64 @@ def test_pages(name):
     assert html.main_text(page).split("\n") == (want or [""])
 
 
+@pytest.mark.parametrize("wrapper", ["elementor-widget-container", "hero-banner", "social-history", "related-post", "comments-open", "page-header overlay"])
+def test_no_wrapper_loses_an_article(wrapper):
+    article = f"<article><h1>Head</h1><p>{P}</p><p>Tiny.</p></article>"
+    around = f'<nav><a href=/>x</a></nav>%s<div class="cookie-notice">{P}</div><footer>{P}</footer>'
+    want = html.main_text(around % article)
+    assert want.split("\n") == ["Head", P, "Tiny."]
+    for inner in (article, f"<div><section>{article}</section></div>", article.replace("<article>", f'<article><div class="{wrapper}">').replace("</article>", "</div></article>")):
+        assert html.main_text(around % f'<div class="{wrapper}">{inner}</div>') == want
+    no_article = article.replace("article", "section")
+    assert html.main_text(around % f'<div class="{wrapper}">{no_article * 3}</div>').count(P) == 3
+
+
+@pytest.mark.parametrize("name", ["cc-window", "thread", "discussion", "x"])
+def test_place_tells_unnamed_notices_and_comments(name):
+    article = f"<article><h1>Head</h1><p>{P}</p><p>{P}</p></article>"
+    extra = f'<div class="{name}"><p>{P}</p><p>short</p></div>'
+    assert html.main_text(article + extra) == html.main_text(extra + article) == html.main_text(article)
+    assert html.main_text(article + extra + article.replace("Head", "Part 2")).count(P) == 5  # what stands between parts isn't told apart
+
+
 def plain_two_passes(specs):
-    """Labels of blocks (place, text, share of links, list item), place 0: elsewhere, -1: boilerplate, k: k-th article."""
+    """Labels of blocks (place, text, share of links, list item, suspect group), place 0: elsewhere, -1: boilerplate, k: k-th article."""
     share = lambda t: sum(w.strip(".").lower() in html.STOP_WORDS for w in t.split()) / len(t.split())
-    long_ = [t for k, t, _, _ in specs if k >= 0 and len(t) >= 70]
+    long_ = [t for k, t, *_ in specs if k >= 0 and len(t) >= 70]
     known = sum(share(t) * len(t.split()) for t in long_) >= 0.05 * sum(len(t.split()) for t in long_)
-    first = []
-    for k, t, links, item in specs:
-        prose = not known or share(t) >= 0.15
-        if k < 0 or (links > 0.33 and (item or k == 0)):
-            first.append(False)
-        elif k > 0:
-            first.append(True if len(t) >= 25 and prose else None)
-        else:
-            first.append(prose if len(t) >= 70 else None)
-    said = list(first)
-    for i, (k, *_) in enumerate(specs):
-        if first[i] is None and k > 0 and not any(x and specs[j][0] == k for j, x in enumerate(said)):
-            first = [True if x is None and specs[j][0] == k else x for j, x in enumerate(first)]
+    wordy = [not known or share(t) >= 0.15 for _, t, *_ in specs]
+    prose = [len(t) if len(t) >= 70 and links <= 0.33 and w else 0 for (_, t, links, *_), w in zip(specs, wordy, strict=True)]
+
+    def decided(off):
+        first = []
+        for (k, t, links, item, group), w in zip(specs, wordy, strict=True):
+            if k < 0 or group in off or (links > 0.33 and (item or k == 0)):
+                first.append(False)
+            elif k > 0:
+                first.append(True if len(t) >= 25 and w else None)
+            else:
+                first.append(w if len(t) >= 70 else None)
+        good = {k for (k, *_), x in zip(specs, first, strict=True) if x and k > 0}
+        first = [True if x is None and k > 0 and k not in good else x for (k, *_), x in zip(specs, first, strict=True)]
+        inside = [i for i, x in enumerate(first) if x and specs[i][0] in good]
+        if inside:
+            before = sum(prose[i] for i in range(inside[0]) if first[i] and specs[i][0] == 0)
+            for i, (k, *_) in enumerate(specs):
+                if k == 0 and (i > inside[-1] or (i < inside[0] and before <= sum(prose[i] for i in inside))):
+                    first[i] = False
+        return first
+
+    off = {g for *_, g in specs if g}
+    first = decided(off)
+    articles = any(x and k > 0 for (k, *_), x in zip(specs, first, strict=True))
+    have = {g: sum(n for (k, *_, h), n in zip(specs, prose, strict=True) if h == g and (k > 0 or (k == 0 and not articles))) for g in dict.fromkeys(g for *_, g in specs if g)}
+    best = max(have, key=have.get, default=None)
+    if best and have[best] > 2 * sum(len(t) for (_, t, *_), x in zip(specs, first, strict=True) if x):
+        off = off - {best}
+        first = decided(off)
     out = []
-    for i, (k, *_) in enumerate(specs):
-        near = [(abs(i - j), not x, x) for j, x in enumerate(first) if x is not None and (k == 0 or specs[j][0] == k)]
+    for i, (k, *_, group) in enumerate(specs):
+        near = [(abs(i - j), not x, x) for j, x in enumerate(first) if x is not None and (k == 0 or (specs[j][0] == k and specs[j][4] not in off))]
         out.append(first[i] if first[i] is not None else bool(near) and min(near)[2])
     return out
 
@@ -64,28 +101,35 @@ def plain_two_passes(specs):
 def test_random_pages_equal_plain_two_passes():
     rng = random.Random(3)
     stop, rare = ["the", "of", "and", "to", "in", "is"], ["river", "stone", "market", "winter", "signal", "harbour"]
-    changed = 0
-    for _ in range(300):
-        specs, page, of_rare = [], [], rng.choice([0.3, 0.7, 0.95, 1.0])
-        for section in range(rng.randrange(1, 5)):
-            kind = rng.choice(["plain", "bad", "article"])
+    changed = forgiven = 0
+    for _ in range(500):
+        specs, page, of_rare, articles = [], [], rng.choice([0.3, 0.7, 0.95, 1.0]), 0
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.choice(["plain", "bad", "article", "named", "named article", "article named"])
+            name = rng.choice(["widget", "hero-banner", "ads"])
+            articles += "article" in kind
+            place = -1 if kind == "bad" else articles if "article" in kind else 0
+            group = (f"article {articles}" if place else f'class="{name}"') if "named" in kind else None
             inner = []
             for _ in range(rng.randrange(1, 6)):
                 words = [rng.choice(rare if rng.random() < of_rare else stop) for _ in range(rng.choice([2, 3, 5, 9, 20]))]
                 n = rng.choice([0, 0, 0, len(words), len(words) // 2])
                 item = rng.random() < 0.3
                 chars = len("".join(words))
-                specs.append(({"plain": 0, "bad": -1, "article": section + 1}[kind], " ".join(words), len("".join(words[:n])) / chars, item))
+                specs.append((place, " ".join(words), len("".join(words[:n])) / chars, item, group))
                 body = f"<a href=x>{' '.join(words[:n])}</a> {' '.join(words[n:])}" if n else " ".join(words)
                 inner.append(f"<li>{body}</li>" if item else f"<p>{body}</p>")
-            page.append({"plain": "<div>%s</div>", "bad": "<nav>%s</nav>", "article": "<article>%s</article>"}[kind] % "".join(inner))
+            own = f'<div class="{name}">%s</div>'
+            shape = {"plain": "<div>%s</div>", "bad": "<nav>%s</nav>", "article": "<article>%s</article>", "named": own, "named article": own % "<article>%s</article>", "article named": f"<article>{own}</article>"}[kind]
+            page.append(shape % "".join(inner))
         found = html.blocks("".join(page))
-        assert [b.text for b in found] == [t for _, t, _, _ in specs]
-        html.first_pass(found)
+        assert [(b.text, b.suspect) for b in found] == [(s[1], s[4]) for s in specs]
+        known = html.is_known(found)
+        html.first_pass(found, known)
         changed += any(b.label is None for b in found)
-        html.second_pass(found)
-        assert [b.label for b in found] == plain_two_passes(specs)
-    assert changed > 100
+        forgiven += html.misled(found, known) is not None
+        assert html.main_text("".join(page)).split("\n") == ([s[1] for s, x in zip(specs, plain_two_passes(specs), strict=True) if x] or [""])
+    assert changed > 100 and forgiven > 40
 
 
 def test_very_long_page():
