@@ -5,7 +5,9 @@ of a window and ignores the others, so the hash of what it sees survives substit
 benchmark windows under all masks are joined with those of the documents' windows. Around each hit the item's own
 words are laid along the document at that offset, and the longest stretch with enough equal words is kept: a match needs at
 least MIN_WORDS words (or the whole item, if it is shorter), at least MIN_SHARE of them equal, and it must cover
-MIN_COVER of the item or WINDOW_WORDS words. Where none does, EXACT_WORDS equal words in a row are a match too. Items of fewer than 8 words have masks of their own, which find them with any
+MIN_COVER of the item or WINDOW_WORDS words. Where none does, EXACT_WORDS equal words in a row are a match too. Together the masks hit every stretch that
+the rule allows: those of MASKS every one of 17 to 21 words, whichever quarter of them is replaced, and with MIDDLE_MASKS, which items of
+8 to 26 words have too, every one of 8 to 16 (a test tries all). Items of fewer than 8 words have masks of their own, which find them with any
 one word replaced; of fewer than MIN_ITEM words they are too common inside texts, and match texts that are nothing else.
 
 The seeds of the benchmark are searched as a sorted array in each task where there are at most BROADCAST_SEEDS of them
@@ -24,10 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-# Spaced seeds, weight 4 to 6, spans 5 to 11, and those for short items.
+# Spaced seeds, weight 4 to 6, spans 4 to 11, and those for short items.
 MASKS = ("111111", "1101011001", "11100101001", "1100101101", "101100111", "11011")
+MIDDLE_MASKS = ("1111", "1100011")
 SHORT_MASKS = ("11110", "11101", "10111", "01111")
-SHORT = 8
+#: Items from SHORT words on have MASKS, below MIDDLE words MIDDLE_MASKS too; a match of longer ones has over 16 words.
+SHORT, MIDDLE = 8, 27
 MIN_ITEM, MIN_WORDS, MIN_SHARE, MIN_COVER, WINDOW_WORDS, EXACT_WORDS = 5, 8, 0.75, 0.6, 20, 13
 BROADCAST_SEEDS = 2_000_000
 #: Items that a document is compared with in one go where the benchmark isn't broadcast.
@@ -56,7 +60,7 @@ def seeds(words: np.ndarray, offs: np.ndarray, masks: tuple[int, ...] | None = N
     The last number stands for texts of fewer than MIN_ITEM words as a whole. masks chooses numbers; None: all.
     """
     n = np.diff(offs)
-    for k, mask in enumerate((*MASKS, *SHORT_MASKS)):
+    for k, mask in enumerate((*MASKS, *MIDDLE_MASKS, *SHORT_MASKS)):
         if masks is not None and k not in masks:
             continue
         at = common.ranges(offs[:-1], np.maximum(n - len(mask) + 1, 0))
@@ -75,12 +79,18 @@ def seeds(words: np.ndarray, offs: np.ndarray, masks: tuple[int, ...] | None = N
         yield WHOLE, common.mix(h), offs[few]
 
 
-WHOLE = len(MASKS) + len(SHORT_MASKS)
+WHOLE = len(MASKS) + len(MIDDLE_MASKS) + len(SHORT_MASKS)
 
 
 def _serves(mask: int, length: np.ndarray) -> np.ndarray:
     """Whether items of so many words have seeds of a mask."""
-    return length < MIN_ITEM if mask == WHOLE else (length >= MIN_ITEM) & (length < SHORT) if mask >= len(MASKS) else length >= MIN_ITEM
+    if mask == WHOLE:
+        return length < MIN_ITEM
+    if mask < len(MASKS):
+        return length >= MIN_ITEM
+    if mask < len(MASKS) + len(MIDDLE_MASKS):
+        return (length >= SHORT) & (length < MIDDLE)
+    return (length >= MIN_ITEM) & (length < SHORT)
 
 
 class Items:
@@ -150,7 +160,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     document from doc_start to doc_end, words and equal words of the stretch."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("text <> ''")
     size = items.agg(F.sum(F.size(F.split("text", r"\s+"))).alias("n")).first()["n"] or 0
-    if size * len(MASKS) > BROADCAST_SEEDS:
+    if size * (len(MASKS) + len(MIDDLE_MASKS)) > BROADCAST_SEEDS:
         return _leaks_by_join(docs, items)
     held = [(r["item_id"], r["text"]) for r in items.collect()]  # at most BROADCAST_SEEDS / masks words
     rows = common.text_only(docs)

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -72,6 +73,35 @@ def test_items_with_three_of_four_equal_words(spark, n, gone):
     assert [tuple(r) for r in decontaminate.leaks(docs, items).select("doc_id", "n_words", "n_equal").collect()] == [(1, n, n - len(gone))]
 
 
+def seen(mask, gone, length):
+    """Whether a mask fits somewhere into a stretch without looking at a replaced word."""
+    bits = [k for k, c in enumerate(mask) if c == "1"]
+    return any(not any(at + k in gone for k in bits) for at in range(length - len(mask) + 1))
+
+
+@pytest.mark.parametrize("n", range(8, 22))
+def test_masks_hit_every_stretch_with_three_of_four_equal(n):
+    masks = [m for m in decontaminate.MASKS if "0" in m] + [m for m in decontaminate.MASKS if "0" not in m]
+    masks += decontaminate.MIDDLE_MASKS if n <= 16 else ()
+    for gone in combinations(range(n), n // 4):
+        assert any(seen(m, gone, n) for m in masks), gone
+    least = max(decontaminate.MIN_WORDS, -(-decontaminate.MIDDLE * 6 // 10))
+    assert least > 16  # longer items match by stretches that need no middle masks
+
+
+@pytest.mark.parametrize("n", [8, 9, 10, 12, 16, 26])
+def test_items_of_middle_length_are_found(spark, n):
+    """Every item of which a quarter at random is replaced is found: recall is 1."""
+    rng = random.Random(n)
+    items = [[f"i{k}w{j}" for j in range(n)] for k in range(120)]
+    docs = []
+    for k, words in enumerate(items):
+        gone = rng.sample(range(n), n // 4)
+        docs.append((k, f"{text(rng, 15)} {' '.join('other' if j in gone else w for j, w in enumerate(words))} {text(rng, 15)}"))
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == {(k, k) for k in range(120)}
+
+
 def plain_leaks(doc, item):
     """Whether some laying of the item along the document has a stretch that meets the rule."""
     whole = len(item)
