@@ -105,9 +105,9 @@ def _spread(values: pa.Array, full: np.ndarray, n: int) -> pa.Array:
     return values.take(pa.array(at, mask=at < 0))
 
 
-def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n (set size), node (set hash, null for an empty set), keys, sig, packed (the text under zstd) for each row."""
-    rows = common.text_only(docs)
+def sketch(docs: DataFrame, width: int, tag: str | None = None) -> DataFrame:
+    """doc_id, n (set size), node (set hash, null for an empty set), keys, sig, packed (the text under zstd), tag (null if none) for each row."""
+    rows = common.text_only(docs.withColumn("tag", F.col(tag) if tag else F.lit(None).cast("long")), "tag")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.no_resident()
@@ -120,9 +120,9 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             raw = data.tobytes()
             packed = [press.compress(raw[s:e]) for s, e in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), _spread(pa.array(ids), full, n), _spread(flat, full, n), _spread(_binary(sig), full, n), pa.array(packed, pa.binary())], ["doc_id", "n", "node", "keys", "sig", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at).astype(np.int64)), _spread(pa.array(ids), full, n), _spread(flat, full, n), _spread(_binary(sig), full, n), pa.array(packed, pa.binary()), b.column(2)], ["doc_id", "n", "node", "keys", "sig", "packed", "tag"])
 
-    return rows.mapInArrow(run, "doc_id long, n long, node long, keys array<long>, sig binary, packed binary")
+    return rows.mapInArrow(run, "doc_id long, n long, node long, keys array<long>, sig binary, packed binary, tag long")
 
 
 def least_matches(threshold: float, miss: float = MISS, step: int = STEP, total: int = BANDS * ROWS) -> list[int]:
@@ -243,9 +243,10 @@ def block_links(small: DataFrame, large: DataFrame, width: int, percent: int) ->
     return left.cogroup(right).applyInArrow(run, "a long, b long")
 
 
-def groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id of the group), kept for each row of docs."""
-    seen = common.materialise(sketch(docs, width), "sketches")
+def groups(docs: DataFrame, width: int = 2, percent: int = 80, tag: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id of the group), kept for each row of docs; with the column `tag` (a long) also that
+    and `comp`, a number of the group (null for an empty set)."""
+    seen = common.materialise(sketch(docs, width, tag), "sketches")
     has = seen.filter(F.col("node").isNotNull())
     nodes = common.materialise(has.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "nodes")
     keyed = has.select("node", F.posexplode("keys").alias("band", "key")).select(F.xxhash64("band", "key").alias("key"), "node")
@@ -280,7 +281,7 @@ def groups(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     final = common.materialise(final, "final")
     common.drop(nodes, buckets, sizes, open_, members, pairs, involved, left, edges, labels, member, opened, more, merged)
     least = final.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_node = final.select("node", "comp").join(least, "comp").select("node", "component_id")
-    out = seen.select("doc_id", "n", "node").join(of_node, "node", "left")
+    of_node = final.select("node", "comp").join(least, "comp").select("node", "component_id", "comp")
+    out = seen.select("doc_id", "n", "node", "tag").join(of_node, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), *(["tag", "comp"] if tag else []))

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -87,6 +88,25 @@ def test_null_and_repeated_ids(spark, tables, tmp_path):
     assert sorted(map(repr, [(r.doc_id, r.text) for r in got.collect()])) == sorted(map(repr, [rows[k] for k in (1, 3, 4, 5, 6, 7)]))
 
 
+def test_columns_of_any_name_and_type(spark, tables):
+    """Names with dots, the helpers' own names, and a map go through every stage that returns documents."""
+    path, text, _ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    odd = docs.select("*", F.col("doc_id").alias("a.b"), F.concat(F.lit("r"), "doc_id").alias("__row"), F.lit(None).cast("string").alias("__ROW2"), F.create_map(F.lit("k"), "lang").alias("m"), F.col("source").alias("all"))
+    odd = odd.union(odd.filter("doc_id = 20"))  # a row twice, equal in all columns
+    plain = docs.union(docs.filter("doc_id = 20"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        odd, plain = stage(spark, odd, path), stage(spark, plain, path)
+        odd.write.parquet(f"{path}/odd-{name}")
+        plain.write.parquet(f"{path}/plain-{name}")
+        odd, plain = spark.read.parquet(f"{path}/odd-{name}"), spark.read.parquet(f"{path}/plain-{name}")
+        assert odd.columns[-5:] == ["a.b", "__row", "__ROW2", "m", "all"]
+        rows = odd.select("doc_id", "text", F.col("`a.b`").alias("ab"), "__row", "m").collect()
+        assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in plain.collect())
+        assert all(r.ab == r.doc_id and r["__row"] == f"r{r.doc_id}" and set(r.m) == {"k"} for r in rows)
+    assert [r.doc_id for r in rows].count(20) == 1
+
+
 def test_run_and_empty(spark, tables, tmp_path):
     path, _, _ = tables
     assert corpus_pipeline.run(spark, path).count() == 43
