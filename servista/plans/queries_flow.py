@@ -205,6 +205,36 @@ def volume_folders(spark, sf_dir):
     return spark.createDataFrame([(n, good and not v.exists()) for n in names], "name string, good boolean")
 
 
+@query("""SELECT folder, count(*) AS n, count(DISTINCT o_custkey) AS customers FROM (SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'initial' ELSE 'incremental' END AS folder, o_custkey FROM orders) GROUP BY folder""")
+def volume_contents(spark, sf_dir):
+    """Orders put into two folders of a volume by date, and read back by folder; a third folder stays empty."""
+    v = catalog.Volume(spark, scratch(spark, "volumes"), "raw").create("initial", "incremental", "checkpoints")
+    orders = table(spark, sf_dir, "orders").select("o_orderdate", "o_custkey")
+    first = F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")
+    for folder, rows in (("initial", orders.filter(first)), ("incremental", orders.filter(~first))):
+        rows.write.mode("append").parquet(f"{v.path}/{folder}")
+    each = [spark.read.parquet(f"{v.path}/{folder}").withColumn("folder", F.lit(folder)) for folder in v.list() if v.list(folder)]
+    return each[0].unionByName(each[1]).groupBy("folder").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("customers"))
+
+
+@query("SELECT 'raw.orders' AS name, count(*) AS n, 'Landing files' AS comment FROM orders UNION ALL SELECT 'gold.orders_by_status', count(DISTINCT o_orderstatus), 'Aggregates' FROM orders")
+def tables_of_layers(spark, sf_dir):
+    """Databases of the layers, a table of orders in one and an aggregate of it, read by its name, in another."""
+    prefix, path = "servista_q_", scratch(spark, "layers")
+    names = catalog.create_layers(spark, prefix, reset=True)
+    try:
+        table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus").write.option("path", f"{path}/orders").saveAsTable(f"{prefix}raw.orders")
+        catalog.table(spark, f"{prefix}raw.orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).write.option("path", f"{path}/by_status").saveAsTable(f"{prefix}gold.orders_by_status")
+        counts = catalog.table(spark, f"{prefix}raw.orders").agg(F.count("*").alias("n")).select(F.lit("raw").alias("layer"), F.lit("orders").alias("table"), "n")
+        counts = counts.union(catalog.table(spark, f"{prefix}gold.orders_by_status").agg(F.count("*").alias("n")).select(F.lit("gold"), F.lit("orders_by_status"), "n"))
+        comments = catalog.describe_layers(spark, names).filter("tables = 1").select(F.substring("name", len(prefix) + 1, 99).alias("layer"), "comment")
+        out = counts.join(comments, "layer").select(F.concat_ws(".", "layer", "table").alias("name"), "n", "comment")
+        out.write.parquet(f"{path}/out")
+    finally:
+        catalog.drop_layers(spark, prefix)
+    return spark.read.parquet(f"{path}/out")
+
+
 @query(f"WITH {R} SELECT sr_number, created_date FROM r WHERE created_date > TIMESTAMP '2001-01-01'")
 def since(spark, sf_dir):
     return changes.since(requests(spark, sf_dir), "created_date", F.lit("2001-01-01").cast("timestamp")).select("sr_number", "created_date")
