@@ -44,7 +44,7 @@ def clusters(seed):
     return rows
 
 
-@pytest.mark.parametrize("width, percent", [(5, 80), (2, 80), (5, 60), (1, 40)])
+@pytest.mark.parametrize("width, percent", [(5, 80), (2, 60), (1, 40)])
 def test_equals_brute_force(spark, width, percent):
     rows = brute.awkward() + clusters(1)
     assert got(metric.groups(brute.table(spark, rows), width, percent)) == want(rows, width, percent)
@@ -60,10 +60,12 @@ def test_without_broadcast_small_blocks_and_no_recursion(spark, monkeypatch):
 
 def test_order_of_shingles_changes_no_link(spark, monkeypatch):
     rows = clusters(3)
-    for often, stretch in ((1, 100), (10**9, 1 << 21)):
-        monkeypatch.setattr(metric, "OFTEN", often)
-        monkeypatch.setattr(metric, "STRETCH", stretch)
-        assert got(metric.groups(brute.table(spark, rows))) == want(rows)
+    monkeypatch.setattr(metric, "OFTEN", 1)
+    monkeypatch.setattr(metric, "STRETCH", 100)
+    assert got(metric.groups(brute.table(spark, rows))) == want(rows)
+    monkeypatch.setattr(metric, "LAST", 0)  # no shingle is known to repeat
+    rows = rows[:60]
+    assert got(metric.groups(brute.table(spark, rows))) == want(rows)
 
 
 def test_a_link_of_the_window_counts(spark):
