@@ -13,7 +13,11 @@ places in them. About one run starts in every 75 bytes.
 2. Runs of one anchor are dealt by a hash of all bytes that their windows cover together. Runs that are equal as a whole
    repeat as a whole; one of them stands for all from here on.
 3. The windows of the remaining runs of an anchor go through the radix passes, in one task. An anchor with more than GROUP
-   different runs (a phrase in very many contexts) is dealt out by its windows' hashes instead, with partial counts.
+   different runs (a phrase in very many contexts) is divided first (see divide): its windows by halves of the places that the anchor has in
+   them, each half by the bytes that all its windows have in common around the anchor, longer with every pass. Parts that
+   are equal as a whole repeat, and one of them goes on; groups that are small enough go through the radix passes.
+
+Runs that are equal as a whole are found by a hash of 64 bits; everything else is compared by its bytes.
 
 Edge cases: null and empty texts, and texts shorter than DEPTH, lose nothing; windows of rows with equal text or equal
 doc_id count as separate places; a string that repeats within one text (also overlapping itself) is removed; an
@@ -25,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from . import common
 
 DEPTH, DIGIT = 200, 50
-#: Runs of one anchor that are compared in one task.
+#: Runs of one anchor, or parts of them, that are compared in one task.
 GROUP = 2000
 #: Bytes of a digit.
 BYTES = 8
@@ -134,16 +139,6 @@ def _bytes_of(df: DataFrame, texts: DataFrame, depth: int) -> DataFrame:
     return each.mapInArrow(run, "row long, anchor long, whole long, first int, windows int, hot boolean, alone boolean, bytes binary")
 
 
-def _window_hashes(col: pa.Array, anchor: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of (anchor, window) for all windows of byte strings, the string each comes from, and its place there."""
-    data, offs = common.text_arrays(col)
-    n = np.diff(offs) - depth + 1
-    start = common.ranges(offs[:-1], n)
-    of = np.repeat(np.arange(len(n)), n)
-    h = common.span_hash(common.prefix_hash(data), start, start + depth) + anchor[of].view(np.uint64) * common.BASE
-    return common.mix(h), of, start - offs[of]
-
-
 def _intervals(row: np.ndarray, first: np.ndarray, of: np.ndarray, place: np.ndarray, depth: int) -> pa.RecordBatch:
     """Runs of neighbouring windows, given in order, as (row, start, end) in bytes."""
     new = np.ones(len(of), bool)
@@ -206,21 +201,58 @@ def _compare(found: DataFrame, depth: int) -> DataFrame:
     return found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "row long, start long, end long")
 
 
-def _compare_hot(found: DataFrame, depth: int) -> DataFrame:
-    """The same for anchors of any number of runs: windows are grouped by their hash, with a partial aggregate first."""
+_PART = "anchor long, context binary, row long, first int, windows int, alone boolean, at int, low int, high int, bytes binary"
+
+
+def _halves(parts: DataFrame, depth: int, digit: int) -> DataFrame:
+    """Each part (of runs of one anchor: the windows in which the anchor's place is from low to high) cut into two halves of these places, with
+    the bytes around the anchor that all windows of such a half have in common. `at` is the anchor's place in bytes, null if not known yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                c = b.slice(k, 500)
-                h, of, place = _window_hashes(c.column(7), c.column(1).to_numpy(), depth)
-                pick = pa.array(of)
-                yield pa.RecordBatch.from_arrays([c.column(0).take(pick), pa.array(c.column(3).to_numpy().astype(np.int64)[of] + place), pa.array(h.view(np.int64)), c.column(6).take(pick)], ["row", "start", "window", "alone"])
-
-    windows = found.mapInArrow(run, "row long, start long, window long, alone boolean")
-    place = F.xxhash64("row", "start")
-    twice = windows.groupBy("window").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("window")
-    return windows.filter("alone").join(twice, "window").select("row", "start", (F.col("start") + depth).alias("end"))
+            out = []
+            for r in b.to_pylist():
+                raw, at = r["bytes"], r["at"]
+                if at is None:
+                    p = common.prefix_hash(np.frombuffer(raw, np.uint8))
+                    _, inv = common.powers(len(p))
+                    n = depth - digit + 1
+                    h = common.mix((p[digit : digit + n] - p[:n]) * inv[:n])
+                    at = int((h.view(np.int64) == r["anchor"]).argmax())
+                middle = (r["low"] + r["high"]) // 2
+                for low, high in ((r["low"], middle), (middle, r["high"])):
+                    a, z = max(0, at - high + 1), min(r["windows"] - 1, at - low)
+                    if a <= z:
+                        out.append((r["anchor"], raw[at - low : at + depth - high + 1], r["row"], r["first"] + a, z - a + 1, r["alone"], at - a, low, high, raw[a : z + depth]))
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+            cols = [*zip(*out, strict=True)] if out else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [f.split()[0] for f in _PART.split(", ")])
+
+    return parts.mapInArrow(run, _PART)
+
+
+def divide(found: DataFrame, depth: int, digit: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """For runs of anchors with many: intervals (row, start, end) that repeat, and parts (as found) of groups of at most GROUP.
+
+    Windows are equal only if they have the anchor at the same place and agree around it, so each pass deals what is left by one more half
+    of the places and more common bytes, until one place is left and the common bytes are the window itself.
+    """
+    parts = found.select("anchor", "row", "first", "windows", "alone", "bytes", F.lit(None).cast("int").alias("at"), F.lit(0).alias("low"), F.lit(depth - digit + 1).alias("high"))
+    intervals, small = [], []
+    while parts.limit(1).count():
+        dealt = _halves(parts, depth, digit)
+        dealt = common.materialise(dealt.withColumn("anchor", F.xxhash64("anchor", "low", "context")).drop("context"), "halves")
+        kinds = dealt.groupBy("anchor", "bytes").agg(F.count("*").alias("n"), F.min(F.struct("row", "first", "windows", "alone", "at", "low", "high")).alias("x"))
+        kinds = common.materialise(kinds.select("anchor", "bytes", "n", "x.*"), "kinds")
+        again = dealt.filter("alone").join(kinds.filter("n > 1").select("anchor", "bytes"), ["anchor", "bytes"], "left_semi")
+        again = again.select("row", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") - 1 + depth).cast("long").alias("end"))
+        intervals.append(common.materialise(again, "repeated-parts"))
+        sizes = common.materialise(kinds.groupBy("anchor").agg(F.count("*").alias("size")).filter("size > 1"), "sizes")
+        left = kinds.withColumn("alone", F.col("alone") & (F.col("n") == 1)).drop("n").join(common.few(sizes), "anchor")
+        small.append(common.materialise(left.filter(F.col("size") <= GROUP).select("anchor", "row", "first", "windows", "alone", "bytes"), "small"))
+        parts = common.materialise(left.filter((F.col("size") > GROUP) & (F.col("high") - F.col("low") > 1)).drop("size"), "large")
+        common.drop(dealt, kinds, sizes)
+    return intervals, small
 
 
 def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, whole: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -244,10 +276,13 @@ def repeats(docs: DataFrame, depth: int = DEPTH, digit: int = DIGIT, whole: bool
     kind = ["anchor", "whole"]
     again = several.join(hot_runs, kind, "left_semi").union(several.join(hot_runs, kind, "left_anti").join(repeated.select(*kind), kind, "left_semi"))
     of_runs = [df.select("row", F.col("first").cast("long").alias("start"), (F.col("first") + F.col("windows") - 1 + depth).cast("long").alias("end")) for df in (some.filter("not several"), again)]
-    intervals = of_runs[0].union(of_runs[1]).union(_compare(found.filter("not hot"), depth)).union(_compare_hot(found.filter("hot"), depth))
+    divided, small = divide(found.filter("hot"), depth, digit)
+    fields = ("anchor", "row", "first", "alone", "bytes")
+    compared = reduce(DataFrame.union, [df.select(*fields) for df in (found.filter("not hot"), *small)])
+    intervals = reduce(DataFrame.union, [*of_runs, *divided, _compare(compared, depth)])
     each = intervals.groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("cuts"))
     each = common.materialise(each, "intervals")
-    common.drop(some, equal, found)
+    common.drop(some, equal, found, *divided, *small)
     return texts, each
 
 

@@ -36,6 +36,19 @@ def test_short_alphabet_and_hot_anchors(spark, monkeypatch, group):
     check(spark, rows, depth=16, digit=5)
 
 
+def test_one_anchor_of_very_many_runs(spark):
+    """60,000 texts around one phrase: an anchor in it has over 50,000 runs, which are divided by their bytes."""
+    rng = random.Random(17)
+    core = "".join(rng.choice("abcdefgh") for _ in range(13))
+    rows = [(i, "".join(rng.choice("pqrst") for _ in range(9)) + core + "".join(rng.choice("uvwxyz") for _ in range(9))) for i in range(60_000)]
+    found = suffixes.repeats(brute.table(spark, rows), 16, 12)[0]
+    runs = found.selectExpr("explode(anchor) AS anchor", "doc_id").groupBy("anchor").count().orderBy("count", ascending=False).first()["count"]
+    assert runs >= 50_000
+    want = check(spark, rows, 16, 12)
+    assert 0.1 < sum(w[0][1] > 0 for w in want.values()) / 60_000
+    assert any(0 < w[0][1] < 31 for w in want.values())
+
+
 @pytest.mark.parametrize("depth", [1, 7, 8, 9, 20])
 def test_radix_passes_leave_what_repeats(depth):
     rng = random.Random(depth)
