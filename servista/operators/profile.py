@@ -37,7 +37,7 @@ def recommendation(rate: Column) -> Column:
 
 
 def quantiles(df: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Exact quartiles, 95th percentile and mean, by radix selection: no group is gathered in a task."""
+    """Exact quartiles, 95th percentile and mean; large groups by radix selection, so that no task holds one (see selection)."""
     shares = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
     return selection.quantiles(df, column, shares, by).drop("n")
 

@@ -15,6 +15,8 @@ from servista.plans.session import scratch
 
 #: Bits that one pass tells apart; it divides 64.
 DIGIT = 16
+#: Values of the largest group up to which a group may be held by one task: then Spark's own exact percentile gives the same.
+HELD = 1_000_000
 _TOP = -(2**63)
 
 
@@ -64,16 +66,19 @@ def select(values: DataFrame, targets: DataFrame, work: str) -> DataFrame:
     return found.select(*targets.columns, value_of_bits("prefix").alias("value"))
 
 
-def quantiles(df: DataFrame, column: str, shares: dict[str, float], by: list[str] | None = None) -> DataFrame:
+def quantiles(df: DataFrame, column: str, shares: dict[str, float], by: list[str] | None = None, held: int | None = None) -> DataFrame:
     """Exact quantiles of a column by group, linear between neighbours, under the names of `shares`; n and mean of its values.
 
-    Nulls are left out; a group without values has n = 0 and nulls. The rows are read once, into a table of group and bits.
+    Nulls are left out; a group without values has n = 0 and nulls. Where no group has more than `held` values (HELD) a task
+    holds a group's; else the rows are read once more, into a table of group and bits, and ranks are selected.
     """
     by, work = list(by or []), scratch(df.sparkSession, "quantiles")
     x, group = F.col(column).cast("double"), F.struct(*[F.col(c) for c in by] or [F.lit(0).alias("all")])
     # an aggregate of its own reads the groups' sizes; without groups there is one row even of an empty table
     sizes = df.groupBy(*by).agg(F.count(x).alias("n"), F.avg(x).alias("mean")).select(group.alias("g"), "n", "mean")
     sizes = _kept(sizes, f"{work}/sizes")
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= (HELD if held is None else held):
+        return df.groupBy(*by).agg(*[F.percentile(x, float(q)).alias(name) for name, q in shares.items()], F.count(x).alias("n"), F.avg(x).alias("mean"))
     values = _kept(df.filter(x.isNotNull()).select(group.alias("g"), ordered_bits(x).alias("bits")), f"{work}/bits")
     places = F.array(*[F.struct(F.lit(name).alias("name"), (F.lit(float(q)) * (F.col("n") - 1)).alias("place")) for name, q in shares.items()])
     sought = sizes.filter("n > 0").select("g", F.explode(places).alias("p")).select("g", "p.name", "p.place")

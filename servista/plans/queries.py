@@ -203,7 +203,7 @@ def top_words(spark, sf_dir):
 
 @query("SELECT l_returnflag, l_linestatus, quantile_cont(l_extendedprice, 0.01) AS p1, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.999) AS p999, count(l_extendedprice) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus")
 def price_quantiles(spark, sf_dir):
-    return selection.quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", {"p1": 0.01, "p50": 0.5, "p999": 0.999}, ["l_returnflag", "l_linestatus"]).drop("mean")
+    return selection.quantiles(table(spark, sf_dir, "lineitem"), "l_extendedprice", {"p1": 0.01, "p50": 0.5, "p999": 0.999}, ["l_returnflag", "l_linestatus"], held=0).drop("mean")
 
 
 #: Columns of lineitem whose uniqueness is asked for, alone and together.

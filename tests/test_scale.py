@@ -30,14 +30,14 @@ def test_bits_sort_as_values_do(spark):
     assert len({b for x, b, _ in got if x == 0}) == 1
 
 
-@pytest.mark.parametrize("digit", [16, 32])
-def test_quantiles_equal_numpy(spark, monkeypatch, digit):
+@pytest.mark.parametrize("digit, held", [(16, 0), (32, 0), (16, None)])
+def test_quantiles_equal_numpy(spark, monkeypatch, digit, held):
     monkeypatch.setattr(selection, "DIGIT", digit)
     rng = random.Random(2)
     rows = [("hot", rng.choice([1.0, 2.5, -3.0, rng.gauss(0, 1e6)])) for _ in range(3000)]
     rows += [(None, rng.random()) for _ in range(17)] + [("one", 7.25), ("none", None), ("two", -1.0), ("two", 2.0), ("two", None)]
     shares = {"low": 0.0, "a": 0.1, "half": 0.5, "b": 0.975, "high": 1.0}
-    got = {r.g: r for r in selection.quantiles(spark.createDataFrame(rows, "g string, x double"), "x", shares, ["g"]).collect()}
+    got = {r.g: r for r in selection.quantiles(spark.createDataFrame(rows, "g string, x double"), "x", shares, ["g"], held).collect()}
     for g in {r[0] for r in rows}:
         own = [x for h, x in rows if h == g and x is not None]
         assert got[g].n == len(own)
@@ -47,9 +47,10 @@ def test_quantiles_equal_numpy(spark, monkeypatch, digit):
 
 def test_quantiles_of_a_whole_and_of_an_empty_table(spark):
     df = spark.createDataFrame([(float(i),) for i in range(101)], "x double")
-    assert tuple(selection.quantiles(df, "x", {"p": 0.25, "m": 0.5}).first()) == (25.0, 50.0, 101, 50.0)
-    assert tuple(selection.quantiles(df.limit(0), "x", {"p": 0.25}).first()) == (None, 0, None)
-    assert selection.quantiles(df.limit(0).withColumn("g", F.lit(1)), "x", {"p": 0.25}, ["g"]).count() == 0
+    for held in (-1, None):
+        assert tuple(selection.quantiles(df, "x", {"p": 0.25, "m": 0.5}, held=held).first()) == (25.0, 50.0, 101, 50.0)
+        assert tuple(selection.quantiles(df.limit(0), "x", {"p": 0.25}, held=held).first()) == (None, 0, None)
+        assert selection.quantiles(df.limit(0).withColumn("g", F.lit(1)), "x", {"p": 0.25}, ["g"], held).count() == 0
 
 
 def test_selection_counts_before_the_shuffle(spark, monkeypatch):
@@ -57,7 +58,7 @@ def test_selection_counts_before_the_shuffle(spark, monkeypatch):
     seen = []
     whole = selection._kept
     monkeypatch.setattr(selection, "_kept", lambda df, path: seen.append(plan_of(df)) or whole(df, path))
-    selection.quantiles(spark.range(20_000).selectExpr("CAST(id % 977 AS double) AS x", "'hot' AS g"), "x", {"p": 0.5}, ["g"]).collect()
+    selection.quantiles(spark.range(20_000).selectExpr("CAST(id % 977 AS double) AS x", "'hot' AS g"), "x", {"p": 0.5}, ["g"], 1000).collect()
     passes = [p for p in seen if "digit" in p]
     assert len(passes) == 4 and all("partial_count" in p and "SinglePartition" not in p for p in passes)
 
