@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from servista.operators import frequent, selection
@@ -24,11 +22,25 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 def null_profile(df: DataFrame) -> DataFrame:
     """One row a column: rows, non-null, distinct values, the least one as a sample, null_rate, and the tolerance it suggests.
 
-    Each column has an aggregate of its own that reads no other, so rows aren't multiplied by columns.
+    Two scans, whatever the number of columns: one for counts and least values, one for the distinct values of all columns, which go
+    through one shuffle as (column, value) after equal ones of a task have become one.
     """
-    each = [df.select(F.col(f"`{c}`").alias("x")).agg(F.lit(c).alias("column"), F.count("*").alias("n_rows"), F.count("x").alias("n_values"), F.countDistinct("x").alias("n_distinct"), F.min("x").cast("string").alias("sample")) for c in df.columns]
+    kinds = dict(df.dtypes)
+    each = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+    def text(c: Column, kind: str) -> Column:
+        if kind in ("double", "float"):
+            return (c + F.lit(0.0)).cast("string")  # -0.0 is 0.0
+        return F.hex(c) if kind == "binary" else F.to_json(F.struct(c.alias("x"))) if "<" in kind else c.cast("string")
+
+    wide = df.agg(F.count("*").alias("n_rows"), *[F.count(c).alias(f"n{k}") for k, c in enumerate(each)], *[F.min(c).cast("string").alias(f"least{k}") for k, c in enumerate(each)])
+    values = F.array(*[F.struct(F.lit(k).alias("k"), F.when(c.isNotNull(), text(c, kinds[name])).alias("x")) for k, (name, c) in enumerate(zip(df.columns, each, strict=True))])
+    distinct = df.select(F.explode(values).alias("v")).select("v.k", "v.x").filter("x IS NOT NULL").distinct().groupBy("k").agg(F.count("*").alias("n_distinct"))
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("column"), F.col("n_rows"), F.col(f"n{k}").alias("n_values"), F.col(f"least{k}").alias("sample")) for k, name in enumerate(df.columns)])
+    out = wide.select(F.explode(rows).alias("r")).select("r.*").join(F.broadcast(distinct), "k", "left")  # a row a column
     rate = 1 - F.try_divide(F.col("n_values"), F.col("n_rows"))
-    return reduce(DataFrame.unionByName, each).withColumn("null_rate", F.coalesce(rate, F.lit(0.0))).withColumn("recommendation", recommendation(F.col("null_rate")))
+    out = out.select("column", "n_rows", "n_values", F.coalesce("n_distinct", F.lit(0).cast("long")).alias("n_distinct"), "sample", F.coalesce(rate, F.lit(0.0)).alias("null_rate"))
+    return out.withColumn("recommendation", recommendation(F.col("null_rate")))
 
 
 def recommendation(rate: Column) -> Column:

@@ -125,3 +125,20 @@ def test_hashes_that_collide_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(q.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (3, None)], "k int, rule string")
     assert {r.rule: (r.checked, r.good) for r in q.unique_rules(df, [q.rule("unique", "k"), q.rule("unique", "rule"), q.rule("unique_combination", "rule", "k")]).collect()} == {"unique:k": (4, 2), "unique:rule": (2, 0), "unique_combination:rule,k": (4, 2)}
+
+
+def test_null_profile_of_many_columns_is_two_scans(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 0.0, -0.0, 1.5]), rng.choice([None, "a", "b", ""]), rng.randrange(5), rng.choice([None, [1, 2], [2]]), None) for _ in range(200)]
+    schema = "x double, `s.t` string, i int, l array<int>, n string"
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, schema).withColumns({f"c{k}": F.col("i") * k for k in range(20)}).write.parquet(path)
+    got = {r.column: r for r in profile.null_profile(spark.read.parquet(path)).collect()}
+    for k, name in enumerate(("x", "s.t", "i", "l", "n")):
+        own = [repr(r[k] + 0.0 if isinstance(r[k], float) else r[k]) for r in rows if r[k] is not None]
+        assert (got[name].n_rows, got[name].n_values, got[name].n_distinct) == (200, len(own), len(set(own)))
+        assert got[name].null_rate == pytest.approx(1 - len(own) / 200)
+    assert (got["c3"].n_distinct, got["c3"].sample, got["n"].sample, got["n"].recommendation) == (5, "0", None, "nullable")
+    plan = profile.null_profile(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and "Expand" not in plan
+    assert {r.n_rows for r in profile.null_profile(spark.read.parquet(path).limit(0)).collect()} == {0}
