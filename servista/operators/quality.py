@@ -182,7 +182,7 @@ def unique_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
     df = df.select(*[F.col(c).alias(name) for c, name in used.items()])
     keys = [(r.kind, [used[c] for c in r.columns]) for r in rules]
     counts = _keys_of(df, keys, []).groupBy("rule", "hash").agg(F.count("*").alias("n"))
-    counts.withColumn("again", F.col("n") > 1).write.partitionBy("again").parquet(work)
+    counts.withColumn("again", F.col("n") > 1).write.parquet(work)
     seen = df.sparkSession.read.schema("rule int, hash long, n long, again boolean").parquet(work)
     suspects = seen.filter("again").select("rule", "hash")
     few = suspects.limit(SUSPECTS + 1).count() <= SUSPECTS
