@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
-from servista.plans.session import scratch
+from servista.plans.session import shuffles_removed
 
 ACTIONS = ("fail", "warn", "drop", "info")
 
@@ -119,7 +119,7 @@ RESULT = "rule string, kind string, column string, action string, checked long,
 
 
 def evaluate(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row a rule. All value, count and SQL rules share one aggregate; all uniqueness rules share two scans (see unique_rules)."""
+    """One row a rule. All value, count and SQL rules share one aggregate; uniqueness rules share two scans while keys are few (see unique_rules)."""
     have = set(df.columns)
     one_pass: list[Column] = [F.count("*").alias("n")]
     for i, r in enumerate(rules):
@@ -157,45 +157,43 @@ def evaluate(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 UNIQUE = ("unique", "unique_combination")
-#: Hashes that are broadcast into the second scan, at most.
-SUSPECTS = 1_000_000
+#: Keys (rows times rules) that one shuffle of several rules takes, at most.
+ENTRIES = 10_000_000
 
 
-def _keys_of(df: DataFrame, keys: list[tuple[str, list[str]]], keep: list[str]) -> DataFrame:
-    """A row (rule, hash, the columns to keep) for each row of df and each rule (kind, columns) that checks it: nulls of a single column aren't."""
-    kinds, each = dict(df.dtypes), []
-    for i, (kind, columns) in enumerate(keys):
-        parts = [F.col(c) + F.lit(0.0) if kinds[c] in ("double", "float") else F.col(c) for c in columns]  # -0.0 is 0.0
-        one = F.struct(F.lit(i).alias("rule"), F.xxhash64(*parts).alias("hash"))
-        each.append(F.when(F.col(columns[0]).isNotNull(), one) if kind == "unique" else one)
-    return df.select(*keep, F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("key")).select("key.rule", "key.hash", *keep)
+def _totals(df: DataFrame, rules: dict[int, Rule]) -> DataFrame:
+    """(rule, checked, good) by the number of each rule, from one scan and one shuffle of the keys themselves, equal ones of a task combined."""
+    used = {c: f"c{k}" for k, c in enumerate(dict.fromkeys(c for r in rules.values() for c in r.columns))}
+    df = df.select(*[F.col(c).alias(name) for c, name in used.items()])
+    kinds = dict(df.dtypes)
+    each = []
+    for i, r in rules.items():
+        own = {used[c] for c in r.columns}
+        one = F.struct(F.lit(i).alias("rule"), *[(F.col(c) if c in own else F.lit(None).cast(kinds[c])).alias(c) for c in used.values()])
+        each.append(F.when(F.col(used[r.columns[0]]).isNotNull(), one) if r.kind == "unique" else one)
+    key = each[0] if len(each) == 1 else F.explode(F.array(*each))
+    keys = df.select(key.alias("key")).filter("key IS NOT NULL").select("key.*").groupBy("rule", *used.values()).agg(F.count("*").alias("n"))
+    return keys.groupBy("rule").agg(F.sum("n").alias("checked"), F.count_if(F.col("n") == 1).alias("good"))
 
 
 def unique_rules(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """One row for each rule of kind unique or unique_combination, from two scans for all of them.
+    """One row for each rule of kind unique or unique_combination.
 
-    The first counts hashes of all rules' keys in one shuffle. Hashes that occur once are unique keys; the second scan takes the rows
-    of the other hashes alone and counts their keys themselves, so a collision of hashes changes nothing.
+    Keys are compared themselves, not their hashes. Several rules share a scan and a shuffle while their keys, by a count of df
+    before it, are at most ENTRIES; so many rows make a round for each rule, over its own columns. A round's shuffle is removed before
+    the next: the disk holds the keys of one rule then, not of all. The last round runs with the result.
     """
-    work = scratch(df.sparkSession, "unique")
-    used = {c: f"c{k}" for k, c in enumerate(dict.fromkeys(c for r in rules for c in r.columns))}
-    df = df.select(*[F.col(c).alias(name) for c, name in used.items()])
-    keys = [(r.kind, [used[c] for c in r.columns]) for r in rules]
-    counts = _keys_of(df, keys, []).groupBy("rule", "hash").agg(F.count("*").alias("n"))
-    counts.withColumn("again", F.col("n") > 1).write.parquet(work)
-    seen = df.sparkSession.read.schema("rule int, hash long, n long, again boolean").parquet(work)
-    suspects = seen.filter("again").select("rule", "hash")
-    few = suspects.limit(SUSPECTS + 1).count() <= SUSPECTS
-    rows = _keys_of(df, keys, list(used.values())).join(F.broadcast(suspects) if few else suspects, ["rule", "hash"], "left_semi")
-    own = [F.when(F.col("rule").isin([i for i, (_, columns) in enumerate(keys) if c in columns]), F.col(c)).alias(c) for c in used.values()]
-    again = rows.groupBy("rule", *own).agg(F.count("*").alias("n"))
-    one = F.lit(1).cast("long")
-    good = seen.filter("NOT again").select("rule", F.col("n").alias("checked"), one.alias("good"))
-    all_ = good.unionByName(again.select("rule", F.col("n").alias("checked"), F.when(F.col("n") == 1, one).otherwise(0).alias("good")))
-    total = all_.groupBy("rule").agg(F.sum("checked").alias("checked"), F.sum("good").alias("good"))
-    named = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.kind).alias("kind"), F.lit(r.column).alias("column"), F.lit(r.action).alias("action"), F.lit(float(r.mostly)).alias("mostly")) for i, r in enumerate(rules)]))
+    each = max(1, ENTRIES // max(1, df.count())) if len(rules) > 1 else 1
+    rounds = [dict(list(enumerate(rules))[k : k + each]) for k in range(0, len(rules), each)]
+    known = {i: (0, 0) for i in range(len(rules))}
+    with shuffles_removed(df.sparkSession):
+        for some in rounds[:-1]:
+            known |= {r["rule"]: (r["checked"], r["good"]) for r in _totals(df, some).collect()}
+    total = _totals(df, rounds[-1])
+    before = lambda i: [F.lit(n).cast("long").alias(c) for c, n in zip(("known_checked", "known_good"), known[i], strict=True)]
+    named = F.explode(F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.kind).alias("kind"), F.lit(r.column).alias("column"), F.lit(r.action).alias("action"), F.lit(float(r.mostly)).alias("mostly"), *before(i)) for i, r in enumerate(rules)]))
     every = df.sparkSession.range(1).select(named.alias("r")).select("r.*").join(F.broadcast(total), "rule", "left")
-    checked, ok = (F.coalesce(c, F.lit(0).cast("long")) for c in ("checked", "good"))
+    checked, ok = (F.coalesce(F.col(c), F.col(f"known_{c}")) for c in ("checked", "good"))
     return every.select(F.col("label").alias("rule"), "kind", "column", "action", checked.alias("checked"), ok.alias("good"), F.when(checked == 0, F.lit(True)).otherwise(ok / checked >= F.col("mostly")).alias("success"))
 
 

@@ -3,6 +3,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -127,6 +128,26 @@ def test_hashes_that_collide_are_told_apart(spark, monkeypatch):
     assert {r.rule: (r.checked, r.good) for r in q.unique_rules(df, [q.rule("unique", "k"), q.rule("unique", "rule"), q.rule("unique_combination", "rule", "k")]).collect()} == {"unique:k": (4, 2), "unique:rule": (2, 0), "unique_combination:rule,k": (4, 2)}
 
 
+@pytest.mark.parametrize("together", [1, 3])
+def test_uniqueness_of_many_keys_goes_in_rounds(spark, tmp_path, monkeypatch, together):
+    n, path = 100_000, tmp_path / "t"
+    monkeypatch.setattr(q, "ENTRIES", together * n, raising=False)
+    i = F.col("id")
+    spark.range(n).select((i * 7919 % 30011).alias("a"), (i * 31 % 997).alias("b"), (i * 17 % 50021).cast("double").alias("x"), (i % 7).cast("int").alias("l")).write.parquet(str(path))
+    df = spark.read.parquet(str(path))
+    keys = ["a", "b", "x", "l", "ab", "ax", "bx", "xl", "abx", "axl"]
+    folders = [Path(str(d)) for d in spark._jsc.sc().env().blockManager().diskBlockManager().localDirs()] + [Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))]
+    files = lambda: {f: f.stat().st_size for d in folders for f in d.rglob("*") if f.is_file()}
+    before = files()
+    got = {r.column: (r.checked, r.good) for r in q.unique_rules(df, [q.rule("unique" if len(k) == 1 else "unique_combination", *k) for k in keys]).collect()}
+    left = sum(size for f, size in files().items() if f not in before)
+    rows = df.collect()
+    for k in keys:
+        count = Counter(tuple(r[c] for c in k) for r in rows)
+        assert got[",".join(k)] == (n, sum(m == 1 for m in count.values())), k
+    assert left < 4 * sum(f.stat().st_size for f in path.glob("*.parquet"))  # the last round's shuffle
+
+
 def test_null_profile_of_many_columns_is_two_scans(spark, tmp_path):
     rng = random.Random(9)
     rows = [(rng.choice([None, 0.0, -0.0, 1.5]), rng.choice([None, "a", "b", ""]), rng.randrange(5), rng.choice([None, [1, 2], [2]]), None) for _ in range(200)]
